@@ -51,9 +51,10 @@ def topk_by_score(df: DataFrame, k: int, by: str = "query_id", score: str = "sco
     return topk(df, k, [by], [F.col(score).desc(), F.col(tie)])
 
 
-def product_projection(raw: DataFrame) -> DataFrame:
+def product_projection(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The twelve product columns; lists stay text, prices become numbers or null."""
     return raw.select(
+        *(keep or []),
         "url",
         "title",
         "description",

@@ -14,7 +14,7 @@ def scan_catalog_csv(spark: SparkSession, path: str, schema: StructType = RAW_CA
     """Every column as text (no inference pass); quoted cells may span lines.
 
     A multi-line file cannot be split, so a large catalog should be many files.
-    Missing cells are null, quoted empty cells are ''.
+    Empty cells are null.
     """
     return (
         spark.read.schema(schema)

@@ -15,14 +15,21 @@ def table_exists(spark: SparkSession, name: str) -> bool:
 
 
 def create_table_if_absent(
-    spark: SparkSession, name: str, schema: StructType, bucket_by: str | None = None, buckets: int = 64
+    spark: SparkSession,
+    name: str,
+    schema: StructType,
+    bucket_by: str | None = None,
+    buckets: int = 64,
+    path: str | None = None,
 ) -> bool:
-    """True if the table was created. ``bucket_by`` co-locates later joins on that key."""
+    """True if the table was created. ``bucket_by`` co-locates later joins on that key; ``path`` keeps it outside the warehouse."""
     if table_exists(spark, name):
         return False
     writer = spark.createDataFrame([], schema).write.format("parquet").mode("ignore")
     if bucket_by:
         writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
+    if path:
+        writer = writer.option("path", path)
     writer.saveAsTable(name)
     return True
 
