@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.fields import clean_price
-from shelfspark.schema import ANSWER, ANSWER_KEYS, LIST_FIELDS
+from shelfspark.functions.strings import once
+from shelfspark.schema import ANSWER, ANSWER_KEYS
+from shelfspark.session import with_computed
 
 
 def json_block(answer: Column) -> Column:
@@ -33,32 +35,31 @@ def repair_json(block: Column) -> Column:
 
 def parse_json(answer: Column) -> Column:
     """Well-formed JSON text out of an answer: as is, else repaired, else null."""
-    block = json_block(answer)
-    return F.coalesce(strict_json(block), strict_json(repair_json(block)))
+    return once(json_block(answer), lambda b: F.coalesce(strict_json(b), once(repair_json(b), strict_json)))
+
+
+def _error(answer: Column, json: Column) -> Column:
+    missing = F.array_except(F.array(*map(F.lit, ANSWER_KEYS)), F.json_object_keys(json))
+    return (
+        F.when(json_block(answer).isNull(), F.lit("no JSON object"))
+        .when(json.isNull(), F.lit("unreadable JSON"))
+        .otherwise(
+            once(missing, lambda m: F.when(F.size(m) > 0, F.concat(F.lit("missing "), F.array_join(m, ","))))
+        )
+    )
 
 
 def with_parsed_answer(df: DataFrame, answer: str = "answer") -> DataFrame:
     """Adds ``json`` and ``error`` (why there is no usable object)."""
-    block = json_block(F.col(answer))
-    out = df.withColumn("json", parse_json(F.col(answer)))
-    present = F.json_object_keys("json")
-    missing = F.array_except(F.array(*map(F.lit, ANSWER_KEYS)), present)
-    return out.withColumn(
-        "error",
-        F.when(block.isNull(), F.lit("no JSON object"))
-        .when(F.col("json").isNull(), F.lit("unreadable JSON"))
-        .when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ","))),
-    )
+    parsed = with_computed(df, json=parse_json(F.col(answer)))
+    return with_computed(parsed, error=_error(F.col(answer), F.col("json")))
 
 
-def product_columns(url: str = "url", title: str = "title") -> list[Column]:
-    """Typed product columns from ``json`` plus the page's own url and title."""
-    fields = F.from_json("json", ANSWER)
-    return [
-        F.col(url).alias("url"),
-        F.col(title).alias("title"),
-        fields["description"].alias("description"),
-        clean_price(fields["price_without_discount"]).alias("price_without_discount"),
-        clean_price(fields["price"]).alias("price"),
-        *[fields[name].alias(name) for name in LIST_FIELDS],
-    ]
+def with_product_columns(df: DataFrame) -> DataFrame:
+    """Typed product columns out of ``json``, read once."""
+    fields = F.col("_fields")
+    typed = {name: fields[name] for name in ANSWER_KEYS}
+    typed.update({name: clean_price(fields[name]) for name in ("price_without_discount", "price")})
+    return with_computed(df, _fields=F.from_json("json", ANSWER)).select(
+        *df.columns, *[typed[name].alias(name) for name in ANSWER_KEYS]
+    )

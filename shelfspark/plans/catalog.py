@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.fields import price_error
 from shelfspark.operators.keyed_writes import partial_update, put_by_id, upsert
-from shelfspark.operators.metrics import observed, run_record
+from shelfspark.operators.metrics import run_record
 from shelfspark.operators.models import TextEncoder, generate_context, summarize_title
 from shelfspark.operators.rows import (
     needs_embedding,
@@ -102,6 +102,5 @@ def backfill_embeddings(products: DataFrame, encoder: TextEncoder, path: str, te
     element = products.schema["description_embedding"].dataType.elementType.simpleString()
     pending = nonempty_text(needs_embedding(products), text).select("url", text)
     encoded = encoder.encode(pending, text, "description_embedding", element).select("url", "description_embedding")
-    counted, watch = observed(encoded, processed=F.count("*"))
-    partial_update(products, counted, "url", ["description_embedding"], ["url"])[0].write.mode("overwrite").parquet(path)
-    return run_record(products.sparkSession, "backfill_embeddings", started, watch.get["processed"])
+    partial_update(products, encoded, "url", ["description_embedding"], ["url"])[0].write.mode("overwrite").parquet(path)
+    return run_record(products.sparkSession, "backfill_embeddings", started, pending.count())

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.answers import product_columns, with_parsed_answer
-from shelfspark.functions.html import links
+from shelfspark.functions.answers import with_parsed_answer, with_product_columns
+from shelfspark.functions.html import html_title, links
 from shelfspark.functions.templates import EXTRACT_TEMPLATE, fill
 from shelfspark.functions.urls import PRODUCT_PATH, is_product_url, resolve_link
 from shelfspark.operators.keyed_writes import absent_rows, mark_done, upsert
@@ -49,10 +49,9 @@ def ask_for_answers(pages: DataFrame, factory: Callable[[], TextModel]) -> DataF
 
 def extracted(pages: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed products with `page_id`, and the pages whose answer is unusable (with ``error``)."""
-    parsed = with_parsed_answer(with_content(pages).drop("content").join(answers, "page_id", "left"))
-    shaped = parsed.select("page_id", "error", "answer", *product_columns())
-    good, bad = split_bad_rows(shaped)
-    return good.drop("answer"), bad.select("page_id", "url", "answer", "error")
+    titled = pages.select("page_id", "url", html_title(F.col("html")).alias("title"))
+    good, bad = split_bad_rows(with_parsed_answer(titled.join(answers, "page_id", "left")))
+    return with_product_columns(good).drop("answer", "json"), bad.select("page_id", "url", "answer", "error")
 
 
 @dataclass(frozen=True)

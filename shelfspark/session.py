@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Row bound under which a side may be broadcast. A bound must be known before
@@ -65,6 +65,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds costly columns that are computed once per row.
+
+    Spark copies a projected expression into every filter above it. It does not
+    look into the output of a generator, so a one-element array keeps each
+    expression in a single place.
+    """
+    values = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.explode(F.array(values)).alias("_computed")).select(
+        *kept, *[F.col(f"_computed.{name}").alias(name) for name in columns]
+    )
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """True if ``df`` holds at most ``rows`` rows; reads no more than needed."""
     return df.limit(rows + 1).count() <= rows
