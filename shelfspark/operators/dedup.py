@@ -159,27 +159,35 @@ def _candidate_groups(items: DataFrame, threshold: int, counts: np.ndarray) -> D
     )
 
 
+def _collected(groups: DataFrame) -> DataFrame:
+    """One row per group, its members as arrays in rank order.
+
+    A group has at most two parts, so the arrays are bounded, and one Arrow batch
+    carries many groups to Python.
+    """
+    members = F.sort_array(F.collect_list(F.struct("ord", "text", "part", "kept")))
+    packed = groups.groupBy("scope", "token", "i", "j").agg(members.alias("m"))
+    return packed.where(F.size("m") > 1).select("scope", (F.col("i") == F.col("j")).alias("same"), "m.ord", "m.text", "m.part", "m.kept")
+
+
 _HIST = 64
 
 
 def _histograms(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), _HIST), dtype=np.int16)
     for i, text in enumerate(texts):
-        for ch in text:
-            out[i, ord(ch) % _HIST] += 1
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        out[i] = np.bincount(codes % _HIST, minlength=_HIST)
     return out
 
 
-def _near(frame: pd.DataFrame, x: float) -> Iterator[tuple[int, np.ndarray]]:
+def _near(texts: list[str], part: np.ndarray, same_part: bool, x: float) -> Iterator[tuple[int, np.ndarray]]:
     """For every row (in rank order): the earlier rows of the group that may be near it.
 
     Length and letter counts rule most out: texts at distance d differ by at most
     d letters.
     """
-    texts = frame["text"].tolist()
     lengths = np.array([len(t) for t in texts])
-    part = frame["part"].to_numpy()
-    same_part = frame["i"].iloc[0] == frame["j"].iloc[0]
     hist = _histograms(texts)
     for row in range(1, len(texts)):
         limit = (1.0 - x) * (lengths[:row] + lengths[row])
@@ -213,23 +221,20 @@ def _distinct_texts(df: DataFrame, order: str, text: str, scope: str | None) ->
 def similar_pairs(df: DataFrame, threshold: int = 95, order: str = "ord", text: str = "text", scope: str | None = None) -> DataFrame:
     """`scope, ord, other, ratio`: distinct texts and every earlier text that reaches the threshold."""
     _check(threshold)
-    items = _distinct_texts(df, order, text, scope)
-    groups = _candidate_groups(items, threshold, _slot_counts(items))
+    items = _distinct_texts(df, order, text, scope).withColumn("kept", F.lit(False))
+    groups = _collected(_candidate_groups(items, threshold, _slot_counts(items)))
     x = (threshold - 0.5) / 100.0
-    schema = "scope string, ord long, other long, ratio int"
 
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord", ignore_index=True)
-        texts, ords = frame["text"].tolist(), frame["ord"].to_numpy()
-        found = []
-        for row, rows in _near(frame, x):
-            for other in rows:
-                value = ratio(texts[row], texts[other])
-                if value >= threshold:
-                    found.append((frame["scope"].iloc[0], ords[row], ords[other], value))
-        return pd.DataFrame(found, columns=["scope", "ord", "other", "ratio"])
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for g in frame.itertuples():
+                for row, rows in _near(g.text, g.part, g.same, x):
+                    values = [(other, ratio(g.text[row], g.text[other])) for other in rows]
+                    found.extend((g.scope, g.ord[row], g.ord[o], v) for o, v in values if v >= threshold)
+            yield pd.DataFrame(found, columns=["scope", "ord", "other", "ratio"])
 
-    return groups.groupBy("scope", "token", "i", "j").applyInPandas(pairs, schema).distinct()
+    return groups.mapInPandas(pairs, "scope string, ord long, other long, ratio int").distinct()
 
 
 def dedup_catalog(
@@ -247,29 +252,29 @@ def dedup_catalog(
     items = cut_lineage(_distinct_texts(df, order, text, scope))
     counts = _slot_counts(items)
 
-    def verdicts(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord", ignore_index=True)
-        texts, fresh = frame["text"].tolist(), frame["kept"].to_numpy()
-        flags: dict[int, int] = {}
-        if not fresh.all():
-            for row, rows in _near(frame, x):
-                if fresh[row]:
-                    continue
-                # Kept neighbors decide, so they are looked at first.
-                for other in rows[np.argsort(~fresh[rows], kind="stable")]:
-                    if ratio(texts[row], texts[other]) >= threshold:
-                        flags[row] = 2 if fresh[other] else 1
-                        break
-        rows = list(flags)
-        return pd.DataFrame(
-            {"scope": frame["scope"].iloc[0], "ord": frame["ord"].iloc[rows], "flag": [flags[r] for r in rows]}
-        )
+    def verdicts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            flags = [(g.scope, g.ord[row], flag) for g in frame.itertuples() for row, flag in judge(g)]
+            yield pd.DataFrame(flags, columns=["scope", "ord", "flag"])
+
+    def judge(g) -> Iterator[tuple[int, int]]:
+        """Undecided rows with an earlier neighbor: 2 if one is kept, else 1."""
+        if g.kept.all():
+            return
+        for row, rows in _near(g.text, g.part, g.same, x):
+            if g.kept[row]:
+                continue
+            # Kept neighbors decide, so they are looked at first.
+            for other in rows[np.argsort(~g.kept[rows], kind="stable")]:
+                if ratio(g.text[row], g.text[other]) >= threshold:
+                    yield row, 2 if g.kept[other] else 1
+                    break
 
     state = items.withColumn("kept", F.lit(False))
     kept_parts: list[DataFrame] = []
     while True:
-        groups = _candidate_groups(state, threshold, counts)
-        seen = groups.groupBy("scope", "token", "i", "j").applyInPandas(verdicts, "scope string, ord long, flag int")
+        groups = _collected(_candidate_groups(state, threshold, counts))
+        seen = groups.mapInPandas(verdicts, "scope string, ord long, flag int")
         flags = seen.groupBy("scope", "ord").agg(F.max("flag").alias("flag"))
         judged = cut_lineage(state.where(~F.col("kept")).join(flags, ["scope", "ord"], "left"))
         fresh = judged.where(F.col("flag").isNull()).drop("flag").withColumn("kept", F.lit(True))

@@ -18,7 +18,7 @@ from shelfspark.functions.strings import analyze, edge_ngrams, letter_tokens
 from shelfspark.operators.postings import Analyzer, TextIndex, index_for
 from shelfspark.operators.rows import SCORE_DECIMALS, attach, topk_by_score
 from shelfspark.operators.skew import spread_join
-from shelfspark.session import at_most
+from shelfspark.session import at_most, with_computed
 
 #: Similarity and field settings of the product index.
 K1, B = 1.2, 0.75
@@ -96,6 +96,7 @@ def match_scores(queries: DataFrame, docs: DataFrame | TextIndex, rule: MatchRul
             ).alias("clauses")
         )
         .withColumn("m", rule.needed(F.col("n")))
+        .withColumn("n_distinct", F.size(F.array_distinct(F.transform("clauses", lambda c: c["term"]))))
     )
 
     probes = weighted.select(
@@ -111,16 +112,22 @@ def match_scores(queries: DataFrame, docs: DataFrame | TextIndex, rule: MatchRul
         F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tfs")
     )
     joined = candidates.join(doc_terms, ["field", "id"]).join(weighted, ["query_id", "field"])
+
+    # Most candidates hold too few of the terms; a set intersection tells, before
+    # anything is looked up. Repeated clauses can only raise the count.
+    terms = F.transform("clauses", lambda c: c["term"])
+    shared = F.size(F.array_intersect(terms, F.map_keys("tfs")))
+    likely = joined.where(shared >= F.col("m") - (F.col("n") - F.col("n_distinct")))
+
     norm = F.lit(K1) * (1 - B + B * F.col("dl") / F.col("avg_dl"))
     hits = F.filter(
         F.transform("clauses", lambda c: F.struct(c["weight"].alias("w"), F.try_element_at("tfs", c["term"]).alias("tf"))),
         lambda c: c["tf"].isNotNull(),
     )
-    score = F.aggregate(hits, F.lit(0.0), lambda acc, h: acc + h["w"] * h["tf"] / (h["tf"] + norm))
-    return (
-        joined.select("query_id", "field", "id", "m", F.size(hits).alias("matched"), score.alias("score"))
-        .where(F.col("matched") >= F.col("m"))
-        .select("query_id", "field", "id", "matched", F.round("score", SCORE_DECIMALS).alias("score"))
+    scored = with_computed(likely.withColumn("norm", norm), hits=hits).where(F.size("hits") >= F.col("m"))
+    score = F.aggregate("hits", F.lit(0.0), lambda acc, h: acc + h["w"] * h["tf"] / (h["tf"] + F.col("norm")))
+    return scored.select(
+        "query_id", "field", "id", F.size("hits").alias("matched"), F.round(score, SCORE_DECIMALS).alias("score")
     )
 
 

@@ -18,6 +18,7 @@ from shelfspark.functions.strings import analyze, once, strip
 from shelfspark.functions.templates import CONTEXT_TEMPLATE, fill
 from shelfspark.operators.postings import TextIndex
 from shelfspark.operators.rows import SCORE_DECIMALS
+from shelfspark.session import spread, with_computed
 
 #: Vector length and batch size of the models in use.
 DIMS = 1536
@@ -85,15 +86,16 @@ class TextEncoder:
 
     @staticmethod
     def fit(df: DataFrame, text: str, dims: int = DIMS) -> TextEncoder:
-        counts = TextEncoder._counts(df.where(F.col(text).isNotNull()).select(text), text, dims)
+        counts = TextEncoder._counts(spread(df.where(F.col(text).isNotNull()).select(text)), text, dims)
         return TextEncoder(IDF(inputCol="_counts", outputCol="_weighted").fit(counts), dims)
 
     def encode(self, df: DataFrame, text: str, out: str = "embedding", element: str = "float") -> DataFrame:
         """Adds ``out``, an array of ``element`` numbers; null text gives null."""
-        weighted = self.idf.transform(self._counts(df, text, self.dims))
+        weighted = self.idf.transform(self._counts(spread(df), text, self.dims))
         unit = Normalizer(p=2.0, inputCol="_weighted", outputCol="_unit").transform(weighted)
         numbers = vector_to_array(F.col("_unit")).cast(f"array<{element}>")
-        return unit.withColumn(out, F.when(F.col(text).isNotNull(), numbers)).drop("_counts", "_weighted", "_unit")
+        computed = with_computed(unit, **{out: F.when(F.col(text).isNotNull(), numbers)})
+        return computed.drop("_counts", "_weighted", "_unit")
 
     def save(self, path: str) -> None:
         self.idf.write().overwrite().save(path)

@@ -9,18 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.strings import analyze
-from shelfspark.session import scratch_path
+from shelfspark.session import scratch_path, spread
 
 Analyzer = Callable[[Column], Column]
 
 
 def field_tokens(docs: DataFrame, fields: list[str], analyzer: Analyzer = analyze, id_col: str = "id") -> DataFrame:
-    """`field, id, dl, tokens`: one row per document and non-empty field. No shuffle."""
+    """`field, id, dl, tokens`: one row per document and non-empty field."""
     per_field = F.explode(
         F.array(*[F.struct(F.lit(f).alias("field"), analyzer(F.col(f)).alias("tokens")) for f in fields])
     )
     return (
-        docs.select(F.col(id_col).alias("id"), per_field.alias("f"))
+        spread(docs).select(F.col(id_col).alias("id"), per_field.alias("f"))
         .select("f.field", "id", F.size("f.tokens").alias("dl"), "f.tokens")
         .where("dl > 0")
     )
@@ -44,6 +44,15 @@ def build_postings(docs: DataFrame, fields: list[str], analyzer: Analyzer = anal
     return count_terms(field_tokens(docs, fields, analyzer, id_col))
 
 
+#: Stands for the document itself: one row per document and field, so that field
+#: statistics need no second pass over the texts. No analyzer makes this term.
+WHOLE = ""
+
+
+def _with_whole(tokens: DataFrame) -> DataFrame:
+    return tokens.withColumn("tokens", F.concat(F.array(F.lit(WHOLE)), "tokens"))
+
+
 def write_postings(postings: DataFrame, path: str) -> None:
     """Stored in term order, so a lookup of few terms prunes row groups by min/max.
 
@@ -68,20 +77,22 @@ class TextIndex:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextIndex:
-        return TextIndex(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats")])
+        postings, terms, stats = (spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats"))
+        return TextIndex(postings.where(F.col("term") != WHOLE), terms, stats)
 
 
-def _finish_index(spark: SparkSession, tokens: DataFrame, path: str) -> TextIndex:
-    document_frequency(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
-    field_stats(tokens).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+def _finish_index(spark: SparkSession, path: str) -> TextIndex:
+    stored = spark.read.parquet(f"{path}/postings")
+    document_frequency(stored.where(F.col("term") != WHOLE)).write.mode("overwrite").parquet(f"{path}/terms")
+    field_stats(stored.where(F.col("term") == WHOLE)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     return TextIndex.load(spark, path)
 
 
 def store_index(docs: DataFrame, fields: list[str], path: str, analyzer: Analyzer = analyze, id_col: str = "id") -> TextIndex:
     """Writes the full index, to be searched any number of times."""
     tokens = field_tokens(docs, fields, analyzer, id_col)
-    write_postings(count_terms(tokens), f"{path}/postings")
-    return _finish_index(docs.sparkSession, tokens, path)
+    write_postings(count_terms(_with_whole(tokens)), f"{path}/postings")
+    return _finish_index(docs.sparkSession, path)
 
 
 def index_for(vocabulary: DataFrame, docs: DataFrame, fields: list[str], analyzer: Analyzer, id_col: str = "id") -> TextIndex:
@@ -89,10 +100,12 @@ def index_for(vocabulary: DataFrame, docs: DataFrame, fields: list[str], analyze
 
     Written once to the shared folder, since the search reads them several times.
     """
-    path = scratch_path(docs.sparkSession, "postings")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "postings")
     tokens = field_tokens(docs, fields, analyzer, id_col)
-    count_terms(tokens, vocabulary).write.parquet(f"{path}/postings")
-    return _finish_index(docs.sparkSession, tokens, path)
+    wanted = vocabulary.unionByName(spark.createDataFrame([(WHOLE,)], "term string"))
+    count_terms(_with_whole(tokens), wanted).write.parquet(f"{path}/postings")
+    return _finish_index(spark, path)
 
 
 def field_stats(tokens: DataFrame) -> DataFrame:

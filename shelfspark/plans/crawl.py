@@ -15,6 +15,7 @@ from shelfspark.functions.urls import PRODUCT_PATH, is_product_url, resolve_link
 from shelfspark.operators.keyed_writes import absent_rows, mark_done, upsert
 from shelfspark.operators.models import TextModel, apply_text_model
 from shelfspark.operators.rows import split_bad_rows
+from shelfspark.session import spread
 from shelfspark.sources.pages import with_content
 
 
@@ -49,7 +50,7 @@ def ask_for_answers(pages: DataFrame, factory: Callable[[], TextModel]) -> DataF
 
 def extracted(pages: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed products with `page_id`, and the pages whose answer is unusable (with ``error``)."""
-    titled = pages.select("page_id", "url", html_title(F.col("html")).alias("title"))
+    titled = spread(pages).select("page_id", "url", html_title(F.col("html")).alias("title"))
     good, bad = split_bad_rows(with_parsed_answer(titled.join(answers, "page_id", "left")))
     return with_product_columns(good).drop("answer", "json"), bad.select("page_id", "url", "answer", "error")
 

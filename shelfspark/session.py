@@ -79,6 +79,16 @@ def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Gives every core rows if the input has fewer splits than there are cores.
+
+    For costly per-row work over a small file. A large input has more splits
+    than cores and is left where it is, so nothing large is ever moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """True if ``df`` holds at most ``rows`` rows; reads no more than needed."""
     return df.limit(rows + 1).count() <= rows

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import answers, fields, html, strings, templates, urls
 from shelfspark.operators import metrics, models, rows
+from shelfspark.session import spread, with_computed
 from shelfspark.plans.crawl import extract_links, extracted
+from shelfspark.sources.pages import scan_pages, with_content
 from shelfspark.suite import derive as d
 from shelfspark.suite import sqltext as q
 from shelfspark.suite.registry import query
@@ -97,14 +99,12 @@ def with_empty_lists(df):
 
 @query("scan_pages", "SELECT page_id, url, html FROM pages")
 def _(spark, sf):
-    from shelfspark.sources.pages import scan_pages
-
     return scan_pages(spark, f"{sf}/pages.parquet")
 
 
 @query("html_to_text", f"SELECT page_id, {q.visible_text('html')} AS content FROM pages")
 def _(spark, sf):
-    return pages(spark, sf).select("page_id", html.html_to_text(F.col("html")).alias("content"))
+    return with_content(pages(spark, sf)).select("page_id", "content")
 
 
 @query("html_title", f"SELECT page_id, {q.title('html')} AS title FROM pages")
@@ -220,7 +220,8 @@ def _(spark, sf):
 def tokens_query(name, analyzer, sql):
     @query(name, f"SELECT doc_id, len(l) AS tokens, {q.joined('l')} AS value FROM (SELECT doc_id, {sql('text')} AS l FROM documents) x")
     def _(spark, sf):
-        toks = d.table(spark, sf, "documents").select("doc_id", analyzer(F.col("text")).alias("l"))
+        docs = spread(d.table(spark, sf, "documents").select("doc_id", "text"))
+        toks = with_computed(docs, l=analyzer(F.col("text")))
         return toks.select("doc_id", F.size("l").cast("bigint").alias("tokens"), text_list("l").alias("value"))
 
 
@@ -428,10 +429,20 @@ def _length_model():
     return lambda texts: [str(len(t)) for t in texts]
 
 
-@query("embed_text")
+@query(
+    "embed_text",
+    f"""WITH hashed AS (SELECT doc_id, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % 1536 AS bucket, count(*) AS tf
+      FROM (SELECT doc_id, unnest({q.tokens('text')}) AS term FROM documents) x GROUP BY ALL),
+    df AS (SELECT bucket, count(*) AS df FROM hashed GROUP BY bucket),
+    n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
+    w AS (SELECT doc_id, bucket, tf * ln((n + 1.0) / (df + 1)) AS w FROM hashed JOIN df USING (bucket) CROSS JOIN n)
+    SELECT doc_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS value FROM w WHERE w > 0""",
+)
 def _(spark, sf):
     docs = d.table(spark, sf, "documents").select("doc_id", "text")
-    return models.TextEncoder.fit(docs, "text").encode(docs, "text").select("doc_id", "embedding")
+    dense = models.TextEncoder.fit(docs, "text").encode(docs, "text", element="double")
+    cells = dense.select("doc_id", F.posexplode("embedding").alias("bucket", "value")).where("value <> 0")
+    return cells.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("value", 6).alias("value"))
 
 
 @query(
