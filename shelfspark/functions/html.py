@@ -39,7 +39,7 @@ OTHER_ENTITIES = {
 ENTITIES = {name: chr(0xA0 + i) for i, name in enumerate(LATIN1_ENTITIES)} | OTHER_ENTITIES
 
 _ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+[0-9]*);"
-_HIDDEN = r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>"
+_HIDDEN = r"(?is)<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\z)"
 _COMMENT = r"(?s)<!--.*?-->"
 _TAG = r"""<(?:[A-Za-z/!?](?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>"""
 _CUT = "\x01"

@@ -27,7 +27,7 @@ def _fold_table() -> tuple[str, str]:
     for start, stop in ((0xC0, 0x250), (0x1E00, 0x1F00)):
         for ch in map(chr, range(start, stop)):
             base = unicodedata.normalize("NFD", ch)[0]
-            if base != ch and base.isascii() and base.isalpha():
+            if ch == ch.lower() and base != ch and base.isascii() and base.isalpha():
                 table[ch] = base
     return "".join(table), "".join(table.values())
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.session import cut_lineage
+from shelfspark.session import cut_lineage, spread
 
 #: Lowest threshold :func:`similar_pairs` can find candidates for.
 LOWEST_THRESHOLD = 80
@@ -109,6 +109,8 @@ def _needed_overlap(length: int, x: float) -> int:
 
 
 def _prefix(text: str, x: float, counts: np.ndarray) -> list[str]:
+    if (1.0 - x) * len(text) * 2.0 / x <= 1.0:
+        return []  # too short for any unequal text to come near
     tokens = _bigrams(text)
     need = max(1, _needed_overlap(len(text), x))
     tokens.sort(key=lambda t: (counts[_slot(t)], t))
@@ -133,19 +135,25 @@ def _slot_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
-def _candidate_groups(items: DataFrame, threshold: int, counts: np.ndarray) -> DataFrame:
+def _with_tokens(texts: DataFrame, threshold: int) -> DataFrame:
+    """Adds each text's prefix ``tokens``; stored, since every round reads them."""
+    x = (threshold - 0.5) / 100.0
+    counts = _slot_counts(texts)
+
+    @F.pandas_udf("array<string>")
+    def prefix(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: _prefix(t, x, counts))
+
+    return cut_lineage(spread(texts).withColumn("tokens", prefix(F.col("text"))))
+
+
+def _candidate_groups(items: DataFrame) -> DataFrame:
     """`token, i, j, part, ...item columns`: groups of bounded size that hold every near-duplicate pair.
 
     The members of a frequent token are spread over parts; each pair of parts is
     one group, so no task sees more than two parts.
     """
-    x = (threshold - 0.5) / 100.0
-
-    @F.pandas_udf("array<string>")
-    def prefix(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _prefix(t, x, counts))
-
-    members = items.withColumn("token", F.explode(prefix(F.col("text"))))
+    members = items.withColumn("token", F.explode("tokens")).drop("tokens")
     keys = ["scope", "token"]
     parts = members.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)
     parts = parts.select(*keys, F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("parts"))
@@ -221,8 +229,8 @@ def _distinct_texts(df: DataFrame, order: str, text: str, scope: str | None) ->
 def similar_pairs(df: DataFrame, threshold: int = 95, order: str = "ord", text: str = "text", scope: str | None = None) -> DataFrame:
     """`scope, ord, other, ratio`: distinct texts and every earlier text that reaches the threshold."""
     _check(threshold)
-    items = _distinct_texts(df, order, text, scope).withColumn("kept", F.lit(False))
-    groups = _collected(_candidate_groups(items, threshold, _slot_counts(items)))
+    items = _with_tokens(_distinct_texts(df, order, text, scope), threshold).withColumn("kept", F.lit(False))
+    groups = _collected(_candidate_groups(items))
     x = (threshold - 0.5) / 100.0
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,8 +257,7 @@ def dedup_catalog(
     """
     _check(threshold)
     x = (threshold - 0.5) / 100.0
-    items = cut_lineage(_distinct_texts(df, order, text, scope))
-    counts = _slot_counts(items)
+    items = _with_tokens(_distinct_texts(df, order, text, scope), threshold)
 
     def verdicts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -273,7 +280,7 @@ def dedup_catalog(
     state = items.withColumn("kept", F.lit(False))
     kept_parts: list[DataFrame] = []
     while True:
-        groups = _collected(_candidate_groups(state, threshold, counts))
+        groups = _collected(_candidate_groups(state))
         seen = groups.mapInPandas(verdicts, "scope string, ord long, flag int")
         flags = seen.groupBy("scope", "ord").agg(F.max("flag").alias("flag"))
         judged = cut_lineage(state.where(~F.col("kept")).join(flags, ["scope", "ord"], "left"))

@@ -59,7 +59,7 @@ def write_changes(df: DataFrame, path: str, batch_id: int) -> None:
 
 def read_changes(spark: SparkSession, path: str, schema: StructType, before_batch: int | None = None) -> DataFrame:
     """All changes, or those of earlier batches; an absent or empty table reads as no rows."""
-    full = StructType(schema.fields).add("batch_id", "long")
+    full = StructType(list(schema.fields)).add("batch_id", "long")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
