@@ -22,16 +22,21 @@ def batch_index(queries: DataFrame, docs: DataFrame) -> TextIndex:
 
 
 def hybrid_search(
-    queries: DataFrame, docs: DataFrame, encoder: TextEncoder, size_per_source: int = 10, index: TextIndex | None = None
+    queries: DataFrame,
+    docs: DataFrame,
+    vectors: DataFrame,
+    encoder: TextEncoder,
+    size_per_source: int = 10,
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """Up to ``size_per_source`` hits of either kind per query, in one shape, nothing merged.
 
-    ``docs`` holds `id`, the searchable text columns and `embedding` made by the
-    same ``encoder``.
+    ``docs`` holds `id` and the searchable text columns, ``vectors`` holds
+    `id, embedding` made by the same ``encoder``.
     """
     lexical = search_bm25(queries, docs, size_per_source, index=index)
     asked = encoder.encode(queries, "query", element="double").select("query_id", "embedding")
-    near = semantic_search(asked, docs.select("id", "embedding"), size_per_source)
+    near = semantic_search(asked, vectors.select("id", "embedding"), size_per_source)
     bound = 10_000 * size_per_source if at_most(queries, 10_000) else None
     stored = [c for c in ["title", "description", "price", "url"] if c in docs.columns]
     return union_hits(
@@ -49,6 +54,7 @@ def rerank_sort(hits: DataFrame, final_size: int = 10) -> DataFrame:
 def search_and_rerank(
     queries: DataFrame,
     docs: DataFrame,
+    vectors: DataFrame,
     encoder: TextEncoder,
     size_per_source: int = 10,
     final_size: int = 10,
@@ -62,7 +68,7 @@ def search_and_rerank(
     idf-weighted term share is used.
     """
     index = batch_index(queries, docs)
-    hits = hybrid_search(queries, docs, encoder, size_per_source, index)
+    hits = hybrid_search(queries, docs, vectors, encoder, size_per_source, index)
     text = rerank_text(F.col("title"), F.col("description"), F.col("resumen"))
     if model is None:
         weights = term_weights(queries, index)

@@ -18,7 +18,7 @@ from shelfspark.functions.strings import analyze, edge_ngrams, letter_tokens
 from shelfspark.operators.postings import Analyzer, TextIndex, index_for
 from shelfspark.operators.rows import SCORE_DECIMALS, attach, topk_by_score
 from shelfspark.operators.skew import spread_join
-from shelfspark.session import at_most, with_computed
+from shelfspark.session import at_most, scratch_path, with_computed
 
 #: Similarity and field settings of the product index.
 K1, B = 1.2, 0.75
@@ -98,6 +98,10 @@ def match_scores(queries: DataFrame, docs: DataFrame | TextIndex, rule: MatchRul
         .withColumn("m", rule.needed(F.col("n")))
         .withColumn("n_distinct", F.size(F.array_distinct(F.transform("clauses", lambda c: c["term"]))))
     )
+    # As small as the query table and read twice: kept in the shared folder.
+    path = scratch_path(queries.sparkSession, "weights")
+    weighted.write.parquet(path)
+    weighted = queries.sparkSession.read.parquet(path)
 
     probes = weighted.select(
         "query_id", "field", F.explode(F.expr("array_distinct(slice(transform(clauses, c -> c.term), 1, n - m + 1))")).alias("term")

@@ -157,7 +157,8 @@ combined AS (
 def with_vectors(spark, sf):
     found = docs(spark, sf)
     encoder = TextEncoder.fit(found, "description")
-    return encoder.encode(found, "description", element="double"), encoder
+    encoded = encoder.encode(found.select("id", "description"), "description", element="double")
+    return found, encoded.select("id", "embedding"), encoder
 
 
 @query("hybrid_search", BM25 + "," + EMBED + "SELECT * FROM combined")

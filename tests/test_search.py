@@ -124,8 +124,8 @@ def test_rerank_ranks_are_dense_and_bounded(spark):
     ddf = spark.createDataFrame([(*d, 1.0) for d in docs], "id long, product_resume string, title string, description string, price double")
     asked = spark.createDataFrame([(1, "old ring"), (2, "zzz")], "query_id long, query string")
     encoder = TextEncoder.fit(ddf, "description", dims=64)
-    indexed = encoder.encode(ddf, "description", element="double")
-    out = search_and_rerank(asked, indexed, encoder, 10, 7).orderBy("query_id", "rank").collect()
+    vecs = encoder.encode(ddf, "description", element="double").select("id", "embedding")
+    out = search_and_rerank(asked, ddf, vecs, encoder, 10, 7).orderBy("query_id", "rank").collect()
     first = [r for r in out if r["query_id"] == 1]
     assert [r["rank"] for r in first] == list(range(1, 8))
     assert all(a["score"] >= b["score"] for a, b in zip(first, first[1:]))
@@ -133,7 +133,7 @@ def test_rerank_ranks_are_dense_and_bounded(spark):
     def by_length():
         return lambda pairs: [str(len(p)) for p in pairs]
 
-    scored = search_and_rerank(asked, indexed, encoder, 10, 3, model=by_length).where("query_id = 1").collect()
+    scored = search_and_rerank(asked, ddf, vecs, encoder, 10, 3, model=by_length).where("query_id = 1").collect()
     assert len(scored) == 3 and all(r["score"] > 0 for r in scored)
 
 
