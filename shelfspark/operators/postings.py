@@ -54,7 +54,7 @@ def _with_whole(tokens: DataFrame) -> DataFrame:
 
 
 def write_postings(postings: DataFrame, path: str) -> None:
-    """Stored in term order, so a lookup of few terms prunes row groups by min/max.
+    """Stored in term order: equal terms lie together, and a filter on one term skips row groups.
 
     The document id is part of the range, so a term found in a third of all
     documents is cut over many files.

@@ -23,7 +23,10 @@ def build_session(cores: str | int = "*", app: str = "shelfspark", **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # One shuffle partition per core; merging them by size would idle cores, as
+        # the work per row (scoring, comparing) outweighs its bytes.
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")

@@ -138,12 +138,17 @@ def _(spark, sf):
     return found.select("url", "already_scraped", "first_seen")
 
 
-@query("extract_products", EXTRACTED + "SELECT * EXCLUDE page_id FROM products UNION ALL SELECT * FROM (SELECT 'https://shop.example.com/old' AS url, 'old' AS title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS DOUBLE) AS pwd, CAST(NULL AS DOUBLE) AS price, '' AS a, '' AS b, '' AS c, '' AS d, '' AS e FROM pages LIMIT 1) o")
+@query(
+    "extract_products",
+    EXTRACTED + """SELECT * EXCLUDE page_id FROM products
+    UNION ALL SELECT replace(url, 'example', 'sample'), 'old', NULL, NULL, NULL, '', '', '', '', '' FROM pages""",
+)
 def _(spark, sf):
-    known = pages(spark, sf).limit(1).select(
-        F.lit("https://shop.example.com/old").alias("url"),
+    known = pages(spark, sf).select(
+        F.regexp_replace("url", "example", "sample").alias("url"),
         F.lit("old").alias("title"),
-        *[F.lit(None).cast(t).alias(c) for c, t in (("description", "string"), ("price_without_discount", "double"), ("price", "double"))],
+        F.lit(None).cast("string").alias("description"),
+        *[F.lit(None).cast("double").alias(c) for c in ("price_without_discount", "price")],
         *[F.array().cast("array<string>").alias(c) for c in LIST_FIELDS],
     )
     done = crawl.extract_products(pages(spark, sf), d.derive(spark, sf, d.ANSWERS), known, d.derive(spark, sf, d.FRONTIER))
