@@ -149,9 +149,9 @@ def _(spark, sf):
 YES_NO = "CASE WHEN toxic = 1 THEN ' SÍ ' || chr(10) WHEN quality = 1 THEN 'si' ELSE 'No, sí' END"
 
 
-@query("yes_no_answer", f"SELECT doc_id, toxic = 1 OR quality = 1 AS yes FROM labels")
+@query("yes_no_answer", "SELECT doc_id, toxic = 1 OR quality = 1 AS yes FROM labels")
 def _(spark, sf):
-    return d.table(spark, sf, "labels").select("doc_id", urls.is_yes(F.expr(YES_NO.replace("||", "||"))).alias("yes"))
+    return d.table(spark, sf, "labels").select("doc_id", urls.is_yes(F.expr(YES_NO)).alias("yes"))
 
 
 EVENT_ANSWERS = f"WITH a AS ({d.EVENT_ANSWERS}) "
@@ -290,9 +290,6 @@ def _(spark, sf):
     return rows.pending_urls(d.derive(spark, sf, d.FRONTIER), 100).select("url", "first_seen")
 
 
-PENDING = "SELECT doc_id AS id, title, CASE WHEN id % 17 <> 0 THEN text END AS description"
-
-
 def embeddable(spark, sf):
     """Documents with the vector of the same number, where there is one; every 17th lost its description."""
     vectors = d.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("description_embedding"))
