@@ -18,10 +18,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def having(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+def having(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``keys`` (stored). Few keys go to the rows, else the rows are shuffled."""
     few = keys.count() <= BROADCAST_KEYS
-    return df.join(F.broadcast(keys) if few else keys, key, "left_semi")
+    return df.join(F.broadcast(keys) if few else keys, key, how)
+
+
+def lacking(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in ``keys`` (stored), rows without a key among them."""
+    return having(df, keys, key, "left_anti")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import byte_bpe, minhash, quality, secret_scan, sharding
+from shelfspark.llm import byte_bpe, decontaminate, minhash, quality, secret_scan, sharding
 from shelfspark.llm.registry import query
 
 
@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_decontamination")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("*", F.lit(True).alias("contaminated"))
+
+
 @query("op4_minhash")
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = minhash.Near(shingle=3, percent=85, bands=36, rows=6)
