@@ -72,16 +72,16 @@ def _hashes_of(tokens: list[str]) -> np.ndarray:
 _UNIT_HASHES = np.sort(_hashes_of(UNITS))
 
 
-def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, template hash, value hash) of each token, in order; the value is 0 for plain words.
+def tokens(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, word's start, word's end, token's start, token's end, hash in lower case) of each token, and the bytes.
 
-    A number holds a digit and no letter. A unit follows a number. A name begins with
-    a capital where no sentence begins; names side by side are one token.
+    A token is a word without the punctuation at its edges; a word of punctuation alone is none.
     """
     data, bounds = text_bytes(texts)
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    if not len(data):
-        return none
+    none = np.zeros(0, np.int64)
+    core = np.flatnonzero(_CORE[data])
+    if not len(core):
+        return none, none, none, none, none, np.zeros(0, np.uint64), data
     word = ~_SPACE[data]
     first = np.zeros(len(data) + 1, bool)
     first[bounds[:-1]] = True
@@ -89,27 +89,34 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begins[1:] &= ~word[:-1] | first[1:-1]
     ends[:-1] &= ~word[1:] | first[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    core = np.flatnonzero(_CORE[data])
-    if not len(core):
-        return none
     lo, hi = np.searchsorted(core, start), np.searchsorted(core, end) - 1
     some = lo <= hi
-    row = np.searchsorted(bounds, start, "right") - 1
-    # Sentences begin at a row's first word, after a stop and after a line break.
+    start, end, a, b = start[some], end[some], core[lo[some]], core[hi[some]] + 1
+    return np.searchsorted(bounds, start, "right") - 1, start, end, a, b, span_hashes(_lower(data), a, b), data
+
+
+def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, template hash, value hash) of each token, in order; the value is 0 for plain words.
+
+    A number holds a digit and no letter. A unit follows a number. A name begins with
+    a capital where no sentence begins; names side by side are one token.
+    """
+    row, start, end, a, b, value, data = tokens(texts)
+    if not len(row):
+        return row, value, value
+    # Sentences begin at a row's first token, after a stop and after a line break.
     lines = np.concatenate([[0], np.cumsum(data == 10)])
-    opens = np.ones(len(start), bool)
+    opens = np.ones(len(row), bool)
     opens[1:] = (row[1:] != row[:-1]) | _STOP[data[end[:-1] - 1]] | (lines[start[1:]] != lines[end[:-1]])
-    row, opens, a, b = row[some], opens[some], core[lo[some]], core[hi[some]] + 1
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     letters = np.concatenate([[0], np.cumsum(_CORE[data] & ~_DIGIT[data] & (data != ord("%")))])
-    value = span_hashes(_lower(data), a, b)
     number = (digits[b] > digits[a]) & (letters[b] == letters[a])
     after_number = np.zeros(len(a), bool)
     after_number[1:] = number[:-1] & (row[1:] == row[:-1])
     known = np.minimum(np.searchsorted(_UNIT_HASHES, value), len(_UNIT_HASHES) - 1)
     unit = after_number & (_UNIT_HASHES[known] == value)
-    capital = _UPPER[data[a]] | ((data[a] == 0xC3) & (a + 1 < len(data)) & (data[np.minimum(a + 1, len(data) - 1)] <= 0x9E))
-    name = capital & ~opens & ~number & ~unit
+    latin = (data[a] == 0xC3) & (data[np.minimum(a + 1, len(data) - 1)] <= 0x9E)
+    name = (_UPPER[data[a]] | latin) & ~opens & ~number & ~unit
     token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
     slot = np.where(number | unit | name, value, np.uint64(0))
     again = np.zeros(len(a), bool)
