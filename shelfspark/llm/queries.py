@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import byte_bpe, decontaminate, minhash, quality, secret_scan, sharding, toxicity
+from shelfspark.llm import byte_bpe, decontaminate, minhash, quality, secret_scan, sharding, toxicity, warc
 from shelfspark.llm.registry import query
+from shelfspark.suite import sqltext as q
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,48 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _urn_sql(kind: str, seed: str) -> str:
+    h = f"md5('{kind}:' || {seed})"
+    parts = " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'<urn:uuid:' || {parts} || '>'"
+
+
+OP6_SQL = f"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html,
+    coalesce(CAST(page_id AS VARCHAR), '') || ' ' || coalesce(url, '') AS seed, chr(13) || chr(10) AS nl FROM pages
+), r AS (
+  SELECT *, {_urn_sql("response", "seed")} AS refers_to, 'sha256:' || sha256(html) AS source_digest,
+    {q.visible_text("html")} AS txt, {q.title("html")} AS title FROM p
+), b AS (
+  SELECT *, 'conversion' AS warc_type, {_urn_sql("conversion", "refers_to")} AS record_id,
+    'text/plain; charset=utf-8' AS content_type, txt AS block FROM r
+  UNION ALL
+  SELECT *, 'metadata' AS warc_type, {_urn_sql("metadata", "refers_to")} AS record_id,
+    'application/warc-fields' AS content_type,
+    'http-header: HTTP/1.1 200 OK' || nl || 'http-header: Content-Type: text/html; charset=utf-8' || nl
+    || 'http-header: Content-Length: ' || CAST(strlen(html) AS VARCHAR) || nl || 'payload-digest: ' || source_digest || nl
+    || CASE WHEN title = '' THEN '' ELSE 'title: ' || title || nl END
+    || 'derivative: ' || {_urn_sql("conversion", "refers_to")} || nl || 'text-digest: sha256:' || sha256(txt) || nl AS block
+  FROM r
+), d AS (
+  SELECT *, CAST(strlen(block) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest FROM b
+)
+SELECT page_id, warc_type, record_id, refers_to, url AS target_uri, content_type, content_length, block_digest, source_digest,
+  'WARC/1.1' || nl || 'WARC-Type: ' || warc_type || nl || 'WARC-Record-ID: ' || record_id || nl
+  || 'WARC-Date: 1970-01-01T00:00:00Z' || nl || coalesce('WARC-Target-URI: ' || url || nl, '')
+  || 'WARC-Refers-To: ' || refers_to || nl || 'WARC-Block-Digest: ' || block_digest || nl
+  || 'Content-Type: ' || content_type || nl || 'Content-Length: ' || CAST(content_length AS VARCHAR) || nl || nl AS header,
+  block
+FROM d
+"""
+
+
+@query("op6_warc", OP6_SQL)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 @query("op7_sharding")
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(
