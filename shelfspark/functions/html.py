@@ -39,8 +39,11 @@ OTHER_ENTITIES = {
 ENTITIES = {name: chr(0xA0 + i) for i, name in enumerate(LATIN1_ENTITIES)} | OTHER_ENTITIES
 
 _ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+[0-9]*);"
-_HIDDEN = r"(?is)<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\z)"
+#: Comments and elements that aren't shown, whichever begins first: a tag in a comment opens nothing.
+_HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\z)"
 _COMMENT = r"(?s)<!--.*?-->"
+#: Titles in there are not the document's.
+_NOT_HEAD = r"(?is)<!--.*?-->|<(script|style|template|svg|body)\b[^>]*>.*?(?:</\1\s*>|\z)"
 _TAG = r"""<(?:[A-Za-z/!?](?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>"""
 _CUT = "\x01"
 
@@ -72,15 +75,14 @@ def html_to_text(c: Column) -> Column:
     are not visible.
     """
     bare = F.regexp_replace(c, _HIDDEN, _CUT)
-    bare = F.regexp_replace(bare, _COMMENT, _CUT)
     bare = F.regexp_replace(bare, _TAG, _CUT)
     strings = F.transform(F.split(bare, _CUT, -1), lambda s: strip(decode_entities(s)))
     return F.array_join(F.filter(strings, lambda s: s != ""), "\n")
 
 
 def html_title(c: Column) -> Column:
-    """Document title with its whitespace collapsed, as a browser reports it; '' if there is none."""
-    raw = F.regexp_extract(c, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    """The head's title with its whitespace collapsed, as a browser reports it; '' if there is none."""
+    raw = F.regexp_extract(F.regexp_replace(c, _NOT_HEAD, ""), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
     return F.trim(F.regexp_replace(decode_entities(raw), r"[\t\n\f\r ]+", " "))
 
 
