@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import byte_bpe, decontaminate, minhash, quality, secret_scan, sharding, suffix_array, toxicity, warc
+from shelfspark.llm import byte_bpe, decontaminate, minhash, passages, quality, secret_scan, sharding, suffix_array, toxicity, warc
 from shelfspark.llm.registry import query
 from shelfspark.suite import sqltext as q
 
@@ -26,6 +26,11 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.remove_repeats(table(spark, sf_dir, "documents"), 400).drop("spans", "kept")
 
 
+@query("op3_passages")
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op4_minhash")
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = minhash.Near(shingle=3, percent=85, bands=36, rows=6)
