@@ -30,13 +30,8 @@ EXTRACT_TEMPLATE = (
     + ", ".join(LIST_FIELDS)
     + ". Leave a key empty if the page does not say.\nPage:\n{content}"
 )
-CLASSIFY_TEMPLATE = "Is this the address of a single product page? Answer Sí or No.\nAddress: {url}"
-SUMMARY_TEMPLATE = "Give the shortest general name of this product.\nTitle: {title}"
-CONTEXT_TEMPLATE = (
-    "Write a report on the product in ten parts: overview, instructions, purpose, setting, use cases, "
-    "strengths and limits, related products, questions, advice, specifications.\n"
-    "Name: {title}\nDescription: {description}"
-)
+#: What is known of a product, as one text.
+CONTEXT_TEMPLATE = "{title}\n{description}"
 
 
 def rerank_text(title: Column, description: Column, summary: Column) -> Column:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.session import cut_lineage, spread
+from shelfspark.session import cut_lineage
 
 #: Lowest threshold :func:`similar_pairs` can find candidates for.
 LOWEST_THRESHOLD = 80
@@ -144,7 +144,7 @@ def _with_tokens(texts: DataFrame, threshold: int) -> DataFrame:
     def prefix(column: pd.Series) -> pd.Series:
         return column.map(lambda t: _prefix(t, x, counts))
 
-    return cut_lineage(spread(texts).withColumn("tokens", prefix(F.col("text"))))
+    return cut_lineage(texts.withColumn("tokens", prefix(F.col("text"))))
 
 
 def _candidate_groups(items: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from shelfspark.functions.strings import analyze, once, strip
 from shelfspark.functions.templates import CONTEXT_TEMPLATE, fill
 from shelfspark.operators.postings import TextIndex
 from shelfspark.operators.rows import SCORE_DECIMALS
-from shelfspark.session import spread, with_computed
+from shelfspark.session import with_computed
 
 #: Vector length and batch size of the models in use.
 DIMS = 1536
@@ -86,12 +86,12 @@ class TextEncoder:
 
     @staticmethod
     def fit(df: DataFrame, text: str, dims: int = DIMS) -> TextEncoder:
-        counts = TextEncoder._counts(spread(df.where(F.col(text).isNotNull()).select(text)), text, dims)
+        counts = TextEncoder._counts(df.where(F.col(text).isNotNull()).select(text), text, dims)
         return TextEncoder(IDF(inputCol="_counts", outputCol="_weighted").fit(counts), dims)
 
     def encode(self, df: DataFrame, text: str, out: str = "embedding", element: str = "float") -> DataFrame:
         """Adds ``out``, an array of ``element`` numbers; null text gives null."""
-        weighted = self.idf.transform(self._counts(spread(df), text, self.dims))
+        weighted = self.idf.transform(self._counts(df, text, self.dims))
         unit = Normalizer(p=2.0, inputCol="_weighted", outputCol="_unit").transform(weighted)
         numbers = vector_to_array(F.col("_unit")).cast(f"array<{element}>")
         computed = with_computed(unit, **{out: F.when(F.col(text).isNotNull(), numbers)})
@@ -135,16 +135,20 @@ def rerank_score(weights: Column, text: Column) -> Column:
     return F.round(F.coalesce(once(found, share), F.lit(0.0)), SCORE_DECIMALS)
 
 
-def summarize_title(title: Column, words: int = 3) -> Column:
-    """Short general name: text after the last bar and a brand before a comma are dropped, then some words kept."""
+#: Where a general name ends: a measure, a dash between words, a bar, a size or a pack.
+_NAME_END = r"(?i)\s+(?:\d+([.,]\d+)?\s?(?:kg|g|mg|lb|oz|l|ml|cl|cm|mm|m|in|w|v|gb|tb|pcs|pz|pzas|pack)\b|[-–—|]\s|size\b|talla\b|pack of\b|paquete\b).*$"
+
+
+def summarize_title(title: Column) -> Column:
+    """Short general name: without text after the last bar, a brand before a comma, and all from a measure, dash or size on."""
     no_shop = strip(F.regexp_replace(title, r"\|[^|]*$", ""))
     no_brand = strip(F.regexp_replace(no_shop, r"^[^,]*,\s*(?=\S)", ""))
-    return F.array_join(F.slice(F.split(no_brand, r"\s+"), 1, words), " ")
+    return F.regexp_replace(F.regexp_replace(no_brand, _NAME_END, ""), r"\s+", " ")
 
 
 def generate_context(title: Column, description: Column) -> Column:
-    """Context text from the known columns."""
-    return fill(CONTEXT_TEMPLATE, title=title, description=description)
+    """Context text made of the known columns; nothing is asked of a model."""
+    return strip(fill(CONTEXT_TEMPLATE, title=title, description=description))
 
 
 __all__ = [

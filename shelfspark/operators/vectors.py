@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.operators.rows import SCORE_DECIMALS, topk
@@ -24,19 +24,39 @@ BROADCAST_BYTES = 64 << 20
 #: Bytes of vectors one task holds at a time when blocks are joined.
 BLOCK_BYTES = 64 << 20
 
+#: Queries scored together, and bytes of their scores against a block.
+SCORED_QUERIES, SCORE_BYTES = 256, 32 << 20
+
 _UNIT = 10**SCORE_DECIMALS
 _HITS = "query_id bigint, id bigint, similarity double"
 _HIT_SCHEMA = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
 
 
 def usable(df: DataFrame, dims: int) -> DataFrame:
-    """Rows with a complete, non-zero vector; no other can be compared."""
+    """Rows with a complete, finite, non-zero vector; no other can be compared."""
+    return df.where(misfit(dims).isNull())
+
+
+def misfit(dims: int) -> Column:
+    """Why a row's vector can't be compared, null if it can."""
     v = F.col("embedding")
-    return df.where((F.size(v) == dims) & F.exists(v, lambda x: x != 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)))
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return (
+        F.when(v.isNull() | (F.size(v) != dims), F.lit("length"))
+        .when(F.exists(v, odd), F.lit("not finite"))
+        .when(~F.exists(v, lambda x: x != 0), F.lit("zero"))
+    )
+
+
+def split_misfits(df: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that can be compared, and the others with an ``error``."""
+    return usable(df, dims), df.withColumn("error", misfit(dims)).where("error is not null")
 
 
 def dims_of(vectors: DataFrame) -> int | None:
-    row = vectors.where(F.size("embedding") > 0).select(F.size("embedding").alias("n")).first()
+    """The most frequent length of the stored vectors (the larger of equals): the same for any order of rows."""
+    lengths = vectors.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("n")).count()
+    row = lengths.orderBy(F.desc("count"), F.desc("n")).first()
     return row["n"] if row else None
 
 
@@ -63,6 +83,11 @@ def _score_block(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: i
     return key // n, ids[n - 1 - key % n]
 
 
+def _score_rows(queries: int) -> int:
+    """Vectors whose scores against so many queries stay within bounds."""
+    return max(1, SCORE_BYTES // (8 * queries))
+
+
 def _hit_batch(query_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     columns = [np.repeat(query_ids, ids.shape[1]), ids.ravel(), scores.ravel() / _UNIT]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_HIT_SCHEMA)
@@ -70,7 +95,7 @@ def _hit_batch(query_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> pa
 
 def _scan(query_ids: np.ndarray, queries: np.ndarray, k: int):
     """Running top k of every query over the batches of one partition."""
-    step = 256
+    step = SCORED_QUERIES
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray] | None] = [None] * (-(-len(query_ids) // step))
@@ -81,9 +106,12 @@ def _scan(query_ids: np.ndarray, queries: np.ndarray, k: int):
             order = np.argsort(ids, kind="stable")
             vectors = _unit_rows(batch.column(1), queries.shape[1])[order]
             for i in range(len(parts)):
-                new = _score_block(queries[i * step : (i + 1) * step], vectors, ids[order], k)
-                old = parts[i]
-                parts[i] = _best(*new, k) if old is None else _best(*[np.concatenate(p, axis=1) for p in zip(old, new)], k)
+                asked = queries[i * step : (i + 1) * step]
+                for lo in range(0, len(ids), _score_rows(len(asked))):
+                    hi = lo + _score_rows(len(asked))
+                    new = _score_block(asked, vectors[lo:hi], ids[order][lo:hi], k)
+                    old = parts[i]
+                    parts[i] = _best(*new, k) if old is None else _best(*[np.concatenate(p, axis=1) for p in zip(old, new)], k)
         for i, part in enumerate(parts):
             if part is not None:
                 yield _hit_batch(query_ids[i * step : (i + 1) * step], *part)
@@ -96,13 +124,20 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
 
 
 def semantic_search(
-    queries: DataFrame, vectors: DataFrame, k: int = 5, broadcast_bytes: int = BROADCAST_BYTES, n_cells: int = 256
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int = 5,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    n_cells: int = 256,
+    dims: int | None = None,
 ) -> DataFrame:
     """`query_id, id, similarity, rank`: exact top ``k`` by `(1 + cosine) / 2`.
 
-    ``queries`` holds `query_id, embedding`, ``vectors`` holds `id, embedding`.
+    ``queries`` holds `query_id, embedding`, ``vectors`` holds `id, embedding`. ``dims`` is the
+    length of a vector, by default the stored vectors' most frequent one. Rows with another
+    vector take no part; ``split_misfits`` tells which and why.
     """
-    dims = dims_of(queries)
+    dims = dims or dims_of(vectors)
     if dims is None:
         return _ranked(queries.sparkSession.createDataFrame([], _HITS), k)
     queries, vectors = usable(queries, dims), usable(vectors, dims)
@@ -129,10 +164,10 @@ def vector_scan(queries: DataFrame, vectors: DataFrame, k: int, dims: int) -> Da
 
 
 def semantic_search_ann(
-    queries: DataFrame, vectors: DataFrame, k: int = 5, n_cells: int = 64, n_probe: int = 8
+    queries: DataFrame, vectors: DataFrame, k: int = 5, n_cells: int = 64, n_probe: int = 8, dims: int | None = None
 ) -> DataFrame:
-    """Approximate top ``k``: only the ``n_probe`` cells nearest to each query are scored."""
-    dims = dims_of(queries)
+    """Approximate top ``k``: the ``n_probe`` cells nearest to each query are scored, more if they hold fewer than ``k``."""
+    dims = dims or dims_of(vectors)
     if dims is None:
         return _ranked(queries.sparkSession.createDataFrame([], _HITS), k)
     cells = Cells.build(usable(vectors, dims), dims, n_cells)
@@ -150,7 +185,7 @@ class Cells:
     def build(vectors: DataFrame, dims: int, n_cells: int) -> Cells:
         """``n_cells`` bounds what reaches the driver: that many pivots and as many statistics."""
         vectors = vectors.select(F.col("id").cast("bigint").alias("id"), "embedding")
-        picked = vectors.orderBy(F.xxhash64("id"), "id").limit(n_cells).select("embedding").toArrow()
+        picked = vectors.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n_cells).select("embedding").toArrow()
         pivots = _unit_rows(picked.column(0), dims) if picked.num_rows else np.zeros((0, dims))
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,11 +220,10 @@ class Cells:
                 q = _unit_rows(batch.column(1), dims)
                 gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (q @ pivots[filled].T)))
                 order = np.argsort(gap, axis=1, kind="stable")
-                if n_probe is None:
-                    before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                    first = before < k
-                else:
-                    first = np.broadcast_to(np.arange(len(filled)) < n_probe, order.shape)
+                before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                first = before < k
+                if n_probe is not None:
+                    first = first | (np.arange(len(filled)) < n_probe)
                 taken = np.zeros(order.shape, dtype=bool)
                 np.put_along_axis(taken, order, first, axis=1)
                 if second:
@@ -242,7 +276,7 @@ class Cells:
             v = _unit_rows(vectors.column("embedding"), dims)
             q = _unit_rows(asking.column("embedding"), dims)
             query_ids = asking.column("query_id").to_numpy()
-            step = 256
+            step = max(1, min(SCORED_QUERIES, SCORE_BYTES // (8 * len(ids))))
             return pa.Table.from_batches(
                 [
                     _hit_batch(query_ids[i : i + step], *_score_block(q[i : i + step], v, ids, k))

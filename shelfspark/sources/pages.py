@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.html import html_title, html_to_text
-from shelfspark.session import spread, with_computed
+from shelfspark.session import with_computed
 
 PAGE_DDL = "page_id bigint, url string, html string"
 
@@ -21,5 +21,5 @@ def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 def with_content(pages: DataFrame) -> DataFrame:
     """Replaces the HTML by the page's title and visible text."""
-    read = with_computed(spread(pages), title=html_title(F.col("html")), content=html_to_text(F.col("html")))
+    read = with_computed(pages, title=html_title(F.col("html")), content=html_to_text(F.col("html")))
     return read.drop("html")

@@ -52,27 +52,33 @@ def fan_out_write(df: DataFrame, paths: dict[str, str], formats: dict[str, str]
         df.unpersist()
 
 
-def write_changes(df: DataFrame, path: str, batch_id: int) -> None:
-    """Adds one batch of changes. Writing a batch again replaces it, so retries are harmless."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def write_changes(df: DataFrame, path: str, batch_id: int, run: str = "load") -> None:
+    """Adds one batch of a writer's run. Writing a batch again replaces it and nothing else, so retries are harmless.
 
+    ``run`` names the writer and its checkpoint: several writers share a table, and one
+    that starts anew with batch 0 leaves the earlier run's rows alone.
+    """
+    df.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
-def read_changes(spark: SparkSession, path: str, schema: StructType, before_batch: int | None = None) -> DataFrame:
-    """All changes, or those of earlier batches; an absent or empty table reads as no rows."""
-    full = StructType(list(schema.fields)).add("batch_id", "long")
+
+def read_changes(
+    spark: SparkSession, path: str, schema: StructType, without: tuple[str, int] | None = None
+) -> DataFrame:
+    """All changes, or all but one batch of one run (which is being written); an absent or empty table reads as no rows."""
+    full = StructType(list(schema.fields)).add("run", "string").add("batch_id", "long")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
         return spark.createDataFrame([], full)
     out = spark.read.schema(full).option("basePath", path).parquet(path)
-    return out if before_batch is None else out.where(F.col("batch_id") < before_batch)
+    return out if without is None else out.where(~((F.col("run") == without[0]) & (F.col("batch_id") == without[1])))
 
 
 def read_current(spark: SparkSession, path: str, schema: StructType, key: str, order: list[str]) -> DataFrame:
-    """The newest row per key over all batches of changes."""
-    return latest_by_key(read_changes(spark, path, schema), [key], [*order, "batch_id"]).drop("batch_id")
+    """The newest row per key over all batches of changes; equal rows in ``order`` go by batch, then run."""
+    return latest_by_key(read_changes(spark, path, schema), [key], [*order, "batch_id", "run"]).drop("batch_id", "run")
 
 
 def compact(spark: SparkSession, path: str, target: str, schema: StructType, key: str, order: list[str]) -> None:
     """Folds all changes into one batch of a new change table."""
-    write_changes(read_current(spark, path, schema, key, order), target, 0)
+    write_changes(read_current(spark, path, schema, key, order), target, 0, "compacted")

@@ -1,12 +1,14 @@
 """Structured Streaming jobs over pages and products.
 
-State lives in change tables: each micro-batch adds one folder named after its
-batch id, so a batch that is replayed replaces its own rows and nothing else.
-Nothing is rewritten and no operator state grows without bound.
+State lives in change tables: each micro-batch adds one folder named after its run
+(the stream and its checkpoint) and batch id, so a batch that is replayed replaces
+its own rows and nothing else. Streams share a frontier, and a stream that starts
+with a new checkpoint keeps what was there. No operator state grows without bound.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +31,9 @@ QUARANTINE = StructType(
 EMBEDDED = StructType([StructField("url", StringType()), StructField("description_embedding", ArrayType(FloatType()))])
 
 
-def read_frontier(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
+def read_frontier(spark: SparkSession, path: str) -> DataFrame:
     """One row per URL: done if any change says so, first seen at the earliest change."""
-    changes = read_changes(spark, path, FRONTIER, before_batch)
+    changes = read_changes(spark, path, FRONTIER)
     return changes.groupBy("url").agg(
         F.bool_or("already_scraped").alias("already_scraped"), F.min("first_seen").alias("first_seen")
     )
@@ -45,6 +47,11 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return read_current(spark, path, EMBEDDED, "url", [])
 
 
+def run_name(job: str, checkpoint: str) -> str:
+    """The folder name of a job's run: a new checkpoint is a new run."""
+    return f"{job}-{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"
+
+
 def _run(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(work)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -54,10 +61,13 @@ def stream_frontier(
     pages: DataFrame, frontier_path: str, checkpoint: str, inside: str = "/p/", path_pattern: str = PRODUCT_PATH, available_now: bool = True
 ) -> StreamingQuery:
     """Product URLs on arriving pages, each stored once."""
+    run = run_name("discover", checkpoint)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        known = read_frontier(batch.sparkSession, frontier_path, before_batch=batch_id)
-        write_changes(discover_urls(batch, known, inside, path_pattern).select(*FRONTIER.names), frontier_path, batch_id)
+        # The urls alone decide; the history isn't folded for that.
+        known = read_changes(batch.sparkSession, frontier_path, FRONTIER, (run, batch_id)).select("url")
+        fresh = discover_urls(batch, known, inside, path_pattern).select(*FRONTIER.names)
+        write_changes(fresh, frontier_path, batch_id, run)
 
     return _run(pages, work, checkpoint, available_now)
 
@@ -66,16 +76,17 @@ def stream_upsert_products(
     pages: DataFrame, answers: DataFrame, paths: dict[str, str], checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
     """Products of arriving pages into ``paths['products']``, failures into ``paths['quarantine']``,
-    done marks into ``paths['frontier']``."""
+    done marks into ``paths['frontier']``, which the discovering stream may share."""
+    run = run_name("extract", checkpoint)
 
     def work(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             good, bad = extracted(batch, answers)
-            write_changes(good.select(*EXTRACTED.names), paths["products"], batch_id)
-            write_changes(bad.select(*QUARANTINE.names), paths["quarantine"], batch_id)
+            write_changes(good.select(*EXTRACTED.names), paths["products"], batch_id, run)
+            write_changes(bad.select(*QUARANTINE.names), paths["quarantine"], batch_id, run)
             done = batch.select("url", F.lit(True).alias("already_scraped"), F.col("page_id").alias("first_seen"))
-            write_changes(done, paths["frontier"], batch_id)
+            write_changes(done, paths["frontier"], batch_id, run)
         finally:
             batch.unpersist()
 
@@ -86,10 +97,11 @@ def stream_backfill_embeddings(
     products: DataFrame, encoder: TextEncoder, path: str, checkpoint: str, text: str = "product_context", available_now: bool = True
 ) -> StreamingQuery:
     """Vectors for arriving products that lack one and have text."""
+    run = run_name("embed", checkpoint)
 
     def work(batch: DataFrame, batch_id: int) -> None:
         pending = nonempty_text(needs_embedding(batch), text).select("url", text)
         encoded = encoder.encode(pending, text, "description_embedding").select(*EMBEDDED.names)
-        write_changes(encoded, path, batch_id)
+        write_changes(encoded, path, batch_id, run)
 
     return _run(products, work, checkpoint, available_now)

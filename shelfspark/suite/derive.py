@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Tables whose rows take much work each.
+COSTLY = {"documents", "pages"}
+
 #: One catalog row per part, with the blanks and bad values a raw file has.
 PRODUCTS_RAW = """
 SELECT p_partkey AS id,
@@ -110,7 +113,10 @@ FROM customer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A given table. A local session deals the rows of its small files to all cores; any other reads them as they lie."""
+    rows = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    parts = spark.conf.get("spark.shelfspark.scanPartitions", None)
+    return rows.repartition(int(parts)) if parts and name in COSTLY else rows
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str, **frames: DataFrame) -> DataFrame:

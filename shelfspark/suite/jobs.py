@@ -55,7 +55,7 @@ def _(spark, sf):
 
 @query(
     "summarize_catalog",
-    RAW + rf"""SELECT url, title, array_to_string(list_slice(string_split_regex(title, '\s+'), 1, 3), ' ') AS product_resume,
+    RAW + rf"""SELECT url, title, title AS product_resume,
       {q.number('price_without_discount')} AS price_without_discount FROM raw""",
 )
 def _(spark, sf):
@@ -107,7 +107,7 @@ SELECT count(*) FILTER (WHERE pending) AS processed_count, count(*) FILTER (WHER
 
 def _backfill_input(spark, sf):
     products = embeddable(spark, sf).withColumn("url", F.concat(F.lit("doc:"), F.col("doc_id")))
-    return products, TextEncoder.fit(products, "product_context", dims=256)
+    return products, TextEncoder.fit(products, "product_context")
 
 
 @query("backfill_embeddings", BACKFILLED)
@@ -168,12 +168,31 @@ def as_stream(spark, df, name: str, files: int = 4) -> str:
 @query("stream_frontier", DISCOVERED + "SELECT url, already_scraped FROM fresh UNION ALL SELECT url, already_scraped FROM f")
 def _(spark, sf):
     table = scratch_path(spark, "frontier")
-    write_changes(d.derive(spark, sf, d.FRONTIER), table, -1)
+    write_changes(d.derive(spark, sf, d.FRONTIER), table, 0)
     stream = stream_pages(spark, as_stream(spark, pages(spark, sf), "pages"), files_per_batch=1)
     st.stream_frontier(stream, table, scratch_path(spark, "frontier-checkpoint"), **LINK_RULE).awaitTermination()
     return st.read_frontier(spark, table).select("url", "already_scraped")
 
 
+@query(
+    "stream_crawl",
+    DISCOVERED + """, known AS (SELECT url, already_scraped FROM fresh UNION ALL SELECT url, already_scraped FROM f)
+    SELECT url, bool_or(already_scraped) AS already_scraped
+    FROM (SELECT * FROM known UNION ALL SELECT url, true FROM pages) k GROUP BY url""",
+)
+def _(spark, sf):
+    """Discovery and extraction over one frontier; both start again with new checkpoints and change nothing."""
+    paths = {name: scratch_path(spark, name) for name in ("products", "quarantine", "frontier")}
+    write_changes(d.derive(spark, sf, d.FRONTIER), paths["frontier"], 0)
+    source, answers = as_stream(spark, pages(spark, sf), "pages"), d.derive(spark, sf, d.ANSWERS)
+    for _ in range(2):
+        stream = stream_pages(spark, source, files_per_batch=1)
+        st.stream_frontier(stream, paths["frontier"], scratch_path(spark, "discover"), **LINK_RULE).awaitTermination()
+        stream = stream_pages(spark, source, files_per_batch=1)
+        st.stream_upsert_products(stream, answers, paths, scratch_path(spark, "extract")).awaitTermination()
+    return st.read_frontier(spark, paths["frontier"]).select("url", "already_scraped")
+
+
 @query("stream_upsert_products", EXTRACTED + "SELECT * EXCLUDE page_id FROM products")
 def _(spark, sf):
     paths = {name: scratch_path(spark, name) for name in ("products", "quarantine", "frontier")}
@@ -191,12 +210,12 @@ def _(spark, sf):
     st.stream_upsert_products(
         stream, d.derive(spark, sf, d.ANSWERS), paths, scratch_path(spark, "products-checkpoint")
     ).awaitTermination()
-    return read_changes(spark, paths["quarantine"], st.QUARANTINE).drop("batch_id")
+    return read_changes(spark, paths["quarantine"], st.QUARANTINE).drop("batch_id", "run")
 
 
 @query(
     "stream_backfill_embeddings",
-    f"WITH p AS ({EMBEDDABLE}) SELECT 'doc:' || doc_id AS url, CAST(256 AS BIGINT) AS dims FROM p "
+    f"WITH p AS ({EMBEDDABLE}) SELECT 'doc:' || doc_id AS url, CAST(1536 AS BIGINT) AS dims FROM p "
     "WHERE NOT has_vector AND description IS NOT NULL AND coalesce(product_context, '') <> ''",
 )
 def _(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import answers, fields, html, strings, templates, urls
 from shelfspark.operators import metrics, models, rows
-from shelfspark.session import spread, with_computed
+from shelfspark.session import with_computed
 from shelfspark.plans.crawl import extract_links, extracted
 from shelfspark.sources.pages import scan_pages, with_content
 from shelfspark.suite import derive as d
@@ -220,7 +220,7 @@ def _(spark, sf):
 def tokens_query(name, analyzer, sql):
     @query(name, f"SELECT doc_id, len(l) AS tokens, {q.joined('l')} AS value FROM (SELECT doc_id, {sql('text')} AS l FROM documents) x")
     def _(spark, sf):
-        docs = spread(d.table(spark, sf, "documents").select("doc_id", "text"))
+        docs = d.table(spark, sf, "documents").select("doc_id", "text")
         toks = with_computed(docs, l=analyzer(F.col("text")))
         return toks.select("doc_id", F.size("l").cast("bigint").alias("tokens"), text_list("l").alias("value"))
 
@@ -395,8 +395,7 @@ def _(spark, sf):
 
 @query(
     "summarize_title",
-    r"""SELECT p_partkey AS id, array_to_string(list_slice(string_split_regex(p_type || ' ' || p_name || ' size ' || p_size, '\s+'), 1, 3), ' ') AS summary
-    FROM part""",
+    "SELECT p_partkey AS id, p_type || ' ' || p_name AS summary FROM part",
 )
 def _(spark, sf):
     titles = d.derive(
@@ -405,12 +404,9 @@ def _(spark, sf):
     return titles.select("id", models.summarize_title(F.col("title")).alias("summary"))
 
 
-CONTEXT_HEAD = templates.CONTEXT_TEMPLATE.split("{")[0].replace("\n", "' || chr(10) || '")
-
-
 @query(
     "generate_context",
-    RAW + f"""SELECT id, '{CONTEXT_HEAD}' || title || chr(10) || 'Description: ' || coalesce(description, '') AS product_context FROM raw""",
+    RAW + f"""SELECT id, {q.strip("title || chr(10) || coalesce(description, '')")} AS product_context FROM raw""",
 )
 def _(spark, sf):
     return raw(spark, sf).select("id", models.generate_context(F.col("title"), F.col("description")).alias("product_context"))

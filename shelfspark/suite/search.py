@@ -125,9 +125,25 @@ def _(spark, sf):
     return big_rank(vectors.semantic_search(*stored_vectors(spark, sf), k=10, broadcast_bytes=0, n_cells=16))
 
 
-@query("semantic_search_ann")
+PROBED = """
+WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+pivots AS (SELECT row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS cell, e FROM v QUALIFY cell < 32),
+near AS (SELECT v.id, p.cell, list_cosine_similarity(v.e, p.e) AS s FROM v, pivots p),
+placed AS (SELECT id, cell FROM near QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, cell) = 1),
+sizes AS (SELECT cell, count(*) AS n FROM placed GROUP BY cell),
+probes AS (SELECT near.id AS query_id, cell, row_number() OVER w AS r, sum(n) OVER w - n AS before
+  FROM near JOIN sizes USING (cell) WINDOW w AS (PARTITION BY near.id ORDER BY s DESC, cell)),
+taken AS (SELECT query_id, cell FROM probes WHERE r <= 8 OR before < 10),
+scored AS (SELECT query_id, placed.id, round((1 + list_cosine_similarity(a.e, b.e)) / 2, 6) AS similarity
+  FROM taken JOIN placed USING (cell) JOIN v a ON a.id = query_id JOIN v b ON b.id = placed.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM scored)
+SELECT query_id, id, similarity, rank FROM ranked WHERE rank <= 10
+"""
+
+
+@query("semantic_search_ann", PROBED)
 def _(spark, sf):
-    return vectors.semantic_search_ann(*stored_vectors(spark, sf), k=10, n_cells=32, n_probe=8)
+    return big_rank(vectors.semantic_search_ann(*stored_vectors(spark, sf), k=10, n_cells=32, n_probe=8))
 
 
 EMBED = f"""

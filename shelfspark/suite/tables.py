@@ -48,7 +48,7 @@ def _(spark, sf):
 
 @query(
     "write_catalog_csv",
-    RAW + r"SELECT url, title, array_to_string(list_slice(string_split_regex(title, '\s+'), 1, 3), ' ') AS resumen_producto FROM raw",
+    RAW + r"SELECT url, title, title AS resumen_producto FROM raw",
 )
 def _(spark, sf):
     path = scratch_path(spark, "summaries-csv")

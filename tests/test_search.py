@@ -107,6 +107,21 @@ def test_nearest_neighbors_are_exact_both_ways(spark, monkeypatch, seed):
         assert got == want
 
 
+def test_misfit_vectors_change_nothing(spark):
+    good = [(i, [float(i), 1.0, 2.0]) for i in range(1, 30)]
+    odd = [(100, [1.0]), (101, [float("inf"), 1.0, 1.0]), (102, [float("nan"), 1.0, 1.0]), (103, [0.0] * 3), (104, None), (105, [1.0, None, 2.0])]
+    schema = "id long, embedding array<double>"
+    vecs = spark.createDataFrame(odd + good, schema)
+    asked = spark.createDataFrame([(100, [1.0]), *good[:2]], schema).withColumnRenamed("id", "query_id")
+    want = sorted(map(tuple, vectors.semantic_search(asked.where("query_id < 100"), spark.createDataFrame(good, schema), 4).collect()))
+    for kwargs in ({}, {"broadcast_bytes": 0, "n_cells": 4}, {"dims": 3}):
+        assert sorted(map(tuple, vectors.semantic_search(asked, vecs, 4, **kwargs).collect())) == want
+    fits, misfits = vectors.split_misfits(vecs, 3)
+    assert fits.count() == len(good) and sorted(r["id"] for r in misfits.collect()) == [100, 101, 102, 103, 104, 105]
+    found = vectors.semantic_search_ann(asked, vecs, 20, n_cells=8, n_probe=1).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in found} == {1: 20, 2: 20}
+
+
 def test_ann_recall(spark):
     vecs = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     asked = vecs.withColumnRenamed("id", "query_id")
