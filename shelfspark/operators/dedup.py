@@ -52,7 +52,7 @@ def ratio(a: str | None, b: str | None) -> int:
 def dedup_results(
     ranked: DataFrame, threshold: int = 95, by: str = "query_id", order: str = "rank", text: str = "text"
 ) -> DataFrame:
-    """Greedy dedup of each query's hit list; kept rows come back with all their columns' order and text.
+    """Greedy dedup of each query's hit list; kept rows come back as query, rank and text.
 
     For lists whose length is bounded by the search that made them (its ``size``).
     Lists travel to Python as arrays, many queries per Arrow batch. A list of
@@ -227,7 +227,11 @@ def _distinct_texts(df: DataFrame, order: str, text: str, scope: str | None) ->
 
 
 def similar_pairs(df: DataFrame, threshold: int = 95, order: str = "ord", text: str = "text", scope: str | None = None) -> DataFrame:
-    """`scope, ord, other, ratio`: distinct texts and every earlier text that reaches the threshold."""
+    """`scope, ord, other, ratio`: distinct texts and every earlier text that reaches the threshold.
+
+    All pairs are its result, so its size is that of the clusters squared; use
+    :func:`dedup_catalog` to clean a catalog.
+    """
     _check(threshold)
     items = _with_tokens(_distinct_texts(df, order, text, scope), threshold).withColumn("kept", F.lit(False))
     groups = _collected(_candidate_groups(items))
@@ -252,8 +256,9 @@ def dedup_catalog(
 
     Each round keeps the texts without an undecided earlier neighbor, then drops
     the neighbors of kept ones. A group only reports *whether* a text has an
-    earlier neighbor, so the traffic stays linear even where a third of the
-    catalog resembles itself. Rows with a missing text are all kept.
+    earlier neighbor, so no pairs are written; but the members of a token that many
+    texts share are repeated once per part in every round. Rows with a missing text
+    are all kept.
     """
     _check(threshold)
     x = (threshold - 0.5) / 100.0
@@ -295,9 +300,10 @@ def dedup_catalog(
     for part in kept_parts[1:]:
         kept = kept.unionByName(part)
     key = F.col(scope).cast("string") if scope else F.lit("")
-    survivors = kept.select(F.col("scope").alias("_scope"), F.col("ord").alias(order))
-    found = df.where(F.col(text).isNotNull()).withColumn("_scope", key).join(survivors, ["_scope", order], "left_semi")
-    return found.drop("_scope").unionByName(df.where(F.col(text).isNull()))
+    survivors = kept.select(F.col("scope").alias("_scope"), F.col("ord").alias(order), F.col("text").alias(text))
+    # By text too, as two texts may have one rank.
+    found = df.where(F.col(text).isNotNull()).withColumn("_scope", key).join(survivors, ["_scope", order, text], "left_semi")
+    return found.select(*df.columns).unionByName(df.where(F.col(text).isNull()))
 
 
 def recommendations(queries: DataFrame, docs: DataFrame, size: int = 20, threshold: int = 95) -> DataFrame:

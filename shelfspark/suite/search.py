@@ -255,12 +255,40 @@ def _(spark, sf):
 LABELS = "SELECT p_partkey AS ord, p_type || ' ' || p_name || ' ' || p_brand AS text FROM part"
 
 
-@query("similar_pair_join")
+#: Pairs of different texts whose lengths and letter counts allow a ratio of 95 (both exact bounds), then their ratio.
+SIMILAR = f"""
+WITH RECURSIVE labels AS ({LABELS}),
+texts AS MATERIALIZED (SELECT text, min(ord) AS ord FROM labels GROUP BY text),
+alphabet AS (SELECT list(DISTINCT ch) AS chars FROM (SELECT unnest(string_split(text, '')) AS ch FROM texts) x),
+counted AS MATERIALIZED (SELECT text, ord, length(text) AS n,
+  list_transform(chars, lambda ch: length(text) - length(replace(text, ch, ''))) AS letters FROM texts, alphabet),
+pair_texts AS MATERIALIZED (SELECT x.text AS a, y.text AS b FROM counted x JOIN counted y ON y.ord < x.ord
+  AND abs(x.n - y.n) < 0.055 * (x.n + y.n)
+  AND list_sum(list_transform(range(1, len(x.letters) + 1), lambda i: abs(x.letters[i] - y.letters[i]))) < 0.055 * (x.n + y.n)),
+{LCS},
+similar_pairs AS MATERIALIZED (SELECT x.ord, y.ord AS other, CAST(r.ratio AS BIGINT) AS ratio FROM ratios r
+  JOIN texts x ON x.text = r.a JOIN texts y ON y.text = r.b WHERE r.ratio >= 95)
+"""
+
+DEDUPED = SIMILAR.rstrip() + """,
+ranked AS MATERIALIZED (SELECT ord, text, row_number() OVER (ORDER BY ord) AS step FROM texts),
+lists AS MATERIALIZED (SELECT k.step, coalesce(list(s.other) FILTER (WHERE s.other IS NOT NULL), []) AS earlier
+  FROM ranked k LEFT JOIN similar_pairs s ON s.ord = k.ord GROUP BY k.step),
+walk(step, kept) AS (
+  SELECT 0::BIGINT, CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT l.step, CASE WHEN list_has_any(l.earlier, w.kept) THEN w.kept ELSE list_append(w.kept, k.ord) END
+  FROM walk w JOIN lists l ON l.step = w.step + 1 JOIN ranked k ON k.step = l.step)
+SELECT ord, text FROM ranked WHERE ord IN (SELECT unnest(kept) FROM (SELECT kept FROM walk ORDER BY step DESC LIMIT 1) x)
+"""
+
+
+@query("similar_pair_join", SIMILAR + "SELECT ord, other, ratio FROM similar_pairs")
 def _(spark, sf):
     found = dedup.similar_pairs(d.derive(spark, sf, LABELS), 95)
     return found.select("ord", "other", F.col("ratio").cast("bigint").alias("ratio"))
 
 
-@query("dedup_catalog")
+@query("dedup_catalog", DEDUPED)
 def _(spark, sf):
     return dedup.dedup_catalog(d.derive(spark, sf, LABELS), 95)
