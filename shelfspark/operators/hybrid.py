@@ -10,7 +10,7 @@ from shelfspark.functions.templates import rerank_text
 from shelfspark.operators.lexical import SEARCH_BOOSTS, query_clauses, search_bm25
 from shelfspark.operators.models import TextEncoder, apply_text_model, rerank_score, term_weights
 from shelfspark.operators.postings import TextIndex, index_for
-from shelfspark.operators.rows import attach, standardize_hits, topk, union_hits
+from shelfspark.operators.rows import attach, format_hits, merge_products, standardize_hits, topk, union_hits
 from shelfspark.operators.vectors import semantic_search
 from shelfspark.session import at_most
 
@@ -28,10 +28,12 @@ def hybrid_search(
     encoder: TextEncoder,
     size_per_source: int = 10,
     index: TextIndex | None = None,
+    merge: bool = False,
 ) -> DataFrame:
-    """Up to ``size_per_source`` hits of either kind per query, in one shape, nothing merged.
+    """Up to ``size_per_source`` hits of either kind per query, in one shape.
 
-    ``docs`` holds `id` and the searchable text columns, ``vectors`` holds
+    A product found both ways stays two hits, unless ``merge`` asks for one row that names
+    both sources and carries its url. ``docs`` holds `id` and the searchable text columns, ``vectors`` holds
     `id, embedding` made by the same ``encoder``.
     """
     lexical = search_bm25(queries, docs, size_per_source, index=index)
@@ -39,10 +41,27 @@ def hybrid_search(
     near = semantic_search(asked, vectors.select("id", "embedding"), size_per_source)
     bound = 10_000 * size_per_source if at_most(queries, 10_000) else None
     stored = [c for c in ["title", "description", "price", "url"] if c in docs.columns]
-    return union_hits(
+    found = union_hits(
         standardize_hits(lexical, "elastic", "score"),
         standardize_hits(attach(near, docs, stored, bound), "neo4j", "similarity"),
     )
+    if not merge:
+        return found
+    merged = merge_products(found)
+    return attach(merged.drop("url"), docs, ["url"], bound) if "url" in docs.columns else merged
+
+
+def semantic_search_text(
+    queries: DataFrame, docs: DataFrame, vectors: DataFrame, encoder: TextEncoder, size: int = 100
+) -> tuple[DataFrame, DataFrame]:
+    """Text queries to ranked answers: encoded, compared, given their title, url and description.
+
+    Returns the answers, and hits that lack one of these texts with the reason.
+    """
+    asked = encoder.encode(queries, "query", element="double").select("query_id", "embedding")
+    near = semantic_search(asked, vectors.select("id", "embedding"), size)
+    bound = 10_000 * size if at_most(queries, 10_000) else None
+    return format_hits(attach(near, docs, ["title", "url", "description"], bound))
 
 
 def rerank_sort(hits: DataFrame, final_size: int = 10) -> DataFrame:

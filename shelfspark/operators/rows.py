@@ -91,6 +91,26 @@ def standardize_hits(hits: DataFrame, source: str, score: str) -> DataFrame:
     )
 
 
+def limit_per_query(hits: DataFrame, queries: DataFrame, default: int = 100) -> DataFrame:
+    """Each query's first ``limit`` hits, from the ``limit`` column of the query table (null: ``default``).
+
+    The search before it takes the largest limit as its size. Hits carry their rank, so no row is sorted again.
+    """
+    limits = queries.select("query_id", F.coalesce("limit", F.lit(default)).alias("_limit"))
+    return hits.join(limits, "query_id").where(F.col("rank") <= F.col("_limit")).select(*hits.columns)
+
+
+def merge_products(hits: DataFrame) -> DataFrame:
+    """One row per query and product, from standard hits of several sources: all sources, best score and rank, first known texts."""
+    texts = ["title", "description", "price", "url", "resumen"]
+    return hits.groupBy("query_id", "id").agg(
+        *[F.min(c).alias(c) for c in texts],
+        F.array_join(F.sort_array(F.collect_set("source")), "+").alias("source"),
+        F.max("original_score").alias("original_score"),
+        F.min("source_rank").alias("source_rank"),
+    )
+
+
 def union_hits(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     """Both hit lists, nothing merged."""
     return lexical.unionByName(semantic, allowMissingColumns=True)

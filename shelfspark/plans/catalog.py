@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.fields import price_error
 from shelfspark.operators.keyed_writes import partial_update, put_by_id, upsert
-from shelfspark.operators.metrics import run_record
+from shelfspark.operators.metrics import observed, run_record
 from shelfspark.operators.models import TextEncoder, generate_context, summarize_title
 from shelfspark.operators.rows import (
     needs_embedding,
@@ -24,22 +24,21 @@ from shelfspark.schema import RAW_CATALOG, RAW_CATALOG_NO_SUMMARY
 from shelfspark.sources.catalog_csv import scan_catalog_csv, write_catalog_csv
 
 
-def with_row_index(df: DataFrame, name: str = "id") -> DataFrame:
-    """Dense row numbers 0..n-1 in partition order, without moving rows.
+def with_row_id(df: DataFrame, name: str = "id", place: str | None = None) -> DataFrame:
+    """A number for each row of files just read, from the file's name and the row's place in it.
 
-    One counting pass gives each partition its offset; the offsets are as many
-    rows as the input has partitions.
+    ``place`` names a column of text that sorts rows by file and place.
+
+    The same files give the same numbers, however Spark packs them into tasks. Only
+    the first place of each file part is gathered, by a join, and no row is moved for it.
     """
-    numbered = df.withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    sizes = numbered.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).collect()
-    offsets, total = [], 0
-    for row in sorted(sizes):
-        offsets.append((row["_p"], total))
-        total += row["n"]
-    table = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p bigint, _o bigint"))
-    index = F.col("_o") + F.col("_m").bitwiseAND((1 << 33) - 1)
-    return numbered.withColumn("_p", part).join(table, "_p").select(index.alias(name), *df.columns)
+    placed = df.select("*", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    placed = placed.withColumn("_m", F.monotonically_increasing_id())
+    first = placed.groupBy("_f", "_b").agg(F.min("_m").alias("_m0"))
+    number = F.xxhash64("_f", "_b", F.col("_m") - F.col("_m0"))
+    sortable = F.format_string("%s:%020d:%020d", "_f", "_b", F.col("_m") - F.col("_m0"))
+    added = [number.alias(name), *([sortable.alias(place)] if place else [])]
+    return placed.join(first, ["_f", "_b"]).select(*added, *df.columns)
 
 
 def load_errors(raw: DataFrame) -> DataFrame:
@@ -58,22 +57,23 @@ class Loaded:
 def load_catalog(
     spark: SparkSession, path: str, documents: DataFrame | None = None, nodes: DataFrame | None = None
 ) -> Loaded:
-    """Reads the file and puts every good row into both stores: documents by row number, nodes by url."""
-    raw = with_row_index(scan_catalog_csv(spark, path, RAW_CATALOG))
+    """Reads the file and puts every good row into both stores: documents by place in the file, nodes by url."""
+    raw = with_row_id(scan_catalog_csv(spark, path, RAW_CATALOG), place="_place")
     good, refused = split_bad_rows(load_errors(raw))
-    rows = product_projection(good, keep=["id"])
-    no_rows = rows.limit(0)
-    documents, outcomes = put_by_id(no_rows if documents is None else documents, rows, "id", ["id"])
+    rows = product_projection(good, keep=["id", "_place"])
+    no_rows = rows.drop("_place").limit(0)
+    documents, outcomes = put_by_id(no_rows if documents is None else documents, rows, "id", ["_place"])
     target = no_rows.drop("id") if nodes is None else nodes
-    return Loaded(documents, upsert(target, rows, "url", ["id"]), outcomes, refused)
+    return Loaded(documents, upsert(target, rows, "url", ["_place"]), outcomes, refused.drop("_place"))
 
 
 def summarize_catalog(spark: SparkSession, source: str, target: str, nodes: DataFrame | None = None) -> DataFrame:
     """Adds short summaries to a catalog file, writes it, and returns the node store with its rows."""
     raw = scan_catalog_csv(spark, source, RAW_CATALOG_NO_SUMMARY)
     write_catalog_csv(raw.withColumn("resumen_producto", summarize_title(F.col("title"))), target)
-    rows = product_projection(with_row_index(scan_catalog_csv(spark, target)), keep=["id"]).drop("product_context")
-    return upsert(rows.limit(0).drop("id") if nodes is None else nodes, rows, "url", ["id"])
+    read = with_row_id(scan_catalog_csv(spark, target), place="_place")
+    rows = product_projection(read, keep=["_place"]).drop("product_context")
+    return upsert(rows.limit(0).drop("_place") if nodes is None else nodes, rows, "url", ["_place"])
 
 
 def refresh_context(
@@ -93,14 +93,22 @@ def refresh_context(
             "description_embedding", F.lit(None).cast(products.schema["description_embedding"].dataType)
         )
         columns.append("description_embedding")
-    return partial_update(products, updates, "url", columns, ["context_updated_at"])[0]
+    return partial_update(products, updates, "url", columns, ["context_updated_at", "product_context"])[0]
 
 
 def backfill_embeddings(products: DataFrame, encoder: TextEncoder, path: str, text: str = "product_context") -> DataFrame:
-    """Embeds products that lack a vector, writes the new table to ``path``, returns the run record."""
+    """Embeds products that lack a vector, writes the new table to ``path``, returns the run record.
+
+    The vectors are counted by the job that writes them. A failure ends the run and is kept in its record.
+    """
     started = datetime.now(timezone.utc)
     element = products.schema["description_embedding"].dataType.elementType.simpleString()
     pending = nonempty_text(needs_embedding(products), text).select("url", text)
     encoded = encoder.encode(pending, text, "description_embedding", element).select("url", "description_embedding")
-    partial_update(products, encoded, "url", ["description_embedding"], ["url"])[0].write.mode("overwrite").parquet(path)
-    return run_record(products.sparkSession, "backfill_embeddings", started, pending.count())
+    counted, watch = observed(encoded, n=F.count("*"))
+    embedded = partial_update(products, counted, "url", ["description_embedding"], ["url", "description_embedding"])[0]
+    try:
+        embedded.write.mode("overwrite").parquet(path)
+    except Exception as exc:
+        return run_record(products.sparkSession, "backfill_embeddings", started, 0, f"{type(exc).__name__}: {exc}"[:500])
+    return run_record(products.sparkSession, "backfill_embeddings", started, watch.get["n"])

@@ -10,15 +10,18 @@ from shelfspark.schema import RAW_CATALOG
 _FORMAT = {"header": "true", "quote": '"', "escape": '"'}
 
 
-def scan_catalog_csv(spark: SparkSession, path: str, schema: StructType = RAW_CATALOG) -> DataFrame:
+def scan_catalog_csv(
+    spark: SparkSession, path: str, schema: StructType = RAW_CATALOG, multi_line: bool = True
+) -> DataFrame:
     """Every column as text (no inference pass); quoted cells may span lines.
 
-    A multi-line file cannot be split, so a large catalog should be many files.
+    A multi-line file cannot be split, so a large catalog should be many files, or be
+    read with ``multi_line=False`` if no cell spans lines.
     Empty cells are null.
     """
     return (
         spark.read.schema(schema)
-        .options(**_FORMAT, multiLine="true", nullValue="", emptyValue="", mode="PERMISSIVE", enforceSchema="false")
+        .options(**_FORMAT, multiLine=str(multi_line).lower(), nullValue="", emptyValue="", mode="PERMISSIVE", enforceSchema="false")
         .csv(path)
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfspark.functions.strings import analyze
-from shelfspark.operators import dedup, hybrid, lexical, postings, vectors
+from shelfspark.operators import dedup, hybrid, lexical, postings, rows, vectors
 from shelfspark.operators.models import TextEncoder
 from shelfspark.suite import derive as d
 from shelfspark.suite import sqltext as q
@@ -203,6 +203,40 @@ def _(spark, sf):
     return big_rank(hybrid.search_and_rerank(queries(spark, sf), *with_vectors(spark, sf)).drop("source_rank"))
 
 
+MERGED = BM25 + "," + EMBED + """
+SELECT query_id, id, min(title) AS title, min(description) AS description, min(price) AS price, 'doc:' || id AS url,
+  min(resumen) AS resumen, string_agg(DISTINCT source, '+' ORDER BY source) AS source, max(original_score) AS original_score,
+  min(source_rank) AS source_rank FROM combined GROUP BY query_id, id"""
+
+
+def with_url(found):
+    return found.withColumn("url", F.concat(F.lit("doc:"), F.col("id")))
+
+
+@query("hybrid_merged", MERGED)
+def _(spark, sf):
+    found, encoded, encoder = with_vectors(spark, sf)
+    hits = hybrid.hybrid_search(queries(spark, sf), with_url(found), encoded, encoder, merge=True)
+    return hits.withColumn("source_rank", F.col("source_rank").cast("bigint"))
+
+
+@query(
+    "semantic_search_text",
+    BM25 + "," + EMBED + """SELECT query_id, id, title, 'doc:' || id AS url, description, v.score AS similarity_score
+    FROM vranked v JOIN docs USING (id)""",
+)
+def _(spark, sf):
+    found, encoded, encoder = with_vectors(spark, sf)
+    return hybrid.semantic_search_text(queries(spark, sf), with_url(found), encoded, encoder, 10)[0]
+
+
+@query("search_limits", BM25 + " SELECT query_id, id, score, rank FROM ranked WHERE rank <= 1 + query_id % 7")
+def _(spark, sf):
+    asked = queries(spark, sf).withColumn("limit", (1 + F.col("query_id") % 7).cast("int"))
+    hits = lexical.search_bm25(asked.select("query_id", "query"), docs(spark, sf))
+    return big_rank(rows.limit_per_query(hits, asked)).select("query_id", "id", "score", "rank")
+
+
 # --- Dedup --------------------------------------------------------------------------
 
 #: Similarity ratio of (a, b) rows by the textbook recurrence, one row of the table per step.

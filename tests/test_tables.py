@@ -56,10 +56,27 @@ def test_csv_round_trip_with_line_breaks_and_quotes(spark):
     assert got == tuple(v or None for v in row)
 
 
-def test_row_index_is_dense(spark):
-    df = spark.range(1000).repartition(7).where("id % 3 <> 0")
-    got = sorted(r["n"] for r in cat.with_row_index(df, "n").collect())
-    assert got == list(range(df.count()))
+def test_row_ids_do_not_follow_the_packing_of_files(spark):
+    path = scratch_path(spark, "files")
+    for n, rows in (("a", 3), ("b", 30), ("c", 12)):
+        spark.range(rows).selectExpr(f"concat('{n}', id) AS v").coalesce(1).write.mode("append").csv(path)
+    found = []
+    for size in ("1", "134217728"):
+        spark.conf.set("spark.sql.files.openCostInBytes", size)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1" if size != "1" else "50")
+        found.append({r["v"]: r["n"] for r in cat.with_row_id(spark.read.schema("v string").option("multiLine", True).csv(path), "n").collect()})
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert found[0] == found[1] and len(set(found[0].values())) == 45
+
+
+def test_a_failed_backfill_is_recorded(spark):
+    products = spark.createDataFrame([("u", "d", "some words", None)], "url string, description string, product_context string, description_embedding array<float>")
+    encoder = TextEncoder.fit(products, "product_context", dims=8)
+    good = cat.backfill_embeddings(products, encoder, scratch_path(spark, "embedded")).first()
+    assert (good["processed_count"], good["error"]) == (1, None)
+    broken = products.withColumn("url", F.when(F.raise_error(F.lit("gone")).isNull(), F.col("url")))
+    assert "gone" in cat.backfill_embeddings(broken, encoder, scratch_path(spark, "embedded")).first()["error"]
 
 
 def test_load_catalog_refuses_bad_prices_and_merges_urls(spark):
