@@ -109,10 +109,15 @@ def match_scores(queries: DataFrame, docs: DataFrame | TextIndex, rule: MatchRul
     candidates = postings_join(postings.select("field", "term", "id"), probes, sizes).select(
         "query_id", "field", "id"
     ).distinct()
+    # Read twice: by the postings, of which only those of candidates go on, and by the scoring.
+    path = scratch_path(queries.sparkSession, "candidates")
+    candidates.write.parquet(path)
+    candidates = queries.sparkSession.read.parquet(path)
 
-    # The query terms each document field holds, one row per field: the list is
+    # The query terms each candidate's field holds, one row per field: the list is
     # no longer than the document's own vocabulary.
-    doc_terms = postings.groupBy("field", "id", "dl").agg(
+    asked = candidates.select("field", "id").distinct()
+    doc_terms = postings.join(asked, ["field", "id"], "left_semi").groupBy("field", "id", "dl").agg(
         F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tfs")
     )
     joined = candidates.join(doc_terms, ["field", "id"]).join(weighted, ["query_id", "field"])

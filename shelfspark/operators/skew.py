@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.session import BROADCAST_ROWS
+
 #: Rows of one key that one task should see at most.
 ROWS_PER_SPLIT = 1_000_000
 
@@ -17,9 +19,13 @@ def spread_join(
     ``sizes`` holds the row count ``df`` of every key of ``big`` that matters.
     Only keys above ``per_split`` are cut: their big rows are spread by a hash of
     ``spread_by``, their small rows repeated once per split. All other keys have
-    one split. There are at most rows(big)/per_split hot keys.
+    one split. There are at most rows(big)/per_split hot keys; they are counted, and
+    while they are few they go to the rows, so that ``big`` isn't shuffled on the bare
+    key before it is cut.
     """
     hot = sizes.where(F.col("df") > per_split).select(*keys, F.ceil(F.col("df") / per_split).cast("int").alias("_splits"))
+    if hot.count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
     splits = F.coalesce("_splits", F.lit(1))
     left = big.join(hot, keys, "left").withColumn("_split", F.pmod(F.xxhash64(spread_by), splits).cast("int"))
     right = small.join(hot, keys, "left").withColumn("_split", F.explode(F.sequence(F.lit(0), splits - 1)))
