@@ -47,7 +47,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     names = ["token_ids", "n_tokens", "round_trip"]
     kept = [c for c in docs.columns if c.lower() not in names]
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select(kept), path, pattern), path, pattern, out="_decoded")
+    coded = byte_bpe.encode(docs.select(kept), path, pattern, decoded="_decoded")
     return coded.select(
         *kept,
         "token_ids",

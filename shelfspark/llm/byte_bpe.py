@@ -27,7 +27,7 @@ from shelfspark.llm.batches import add_columns, other_columns, quoted
 #: Bytes up to which a run is merged directly.
 LEAF_BYTES = 24
 #: Matches kept with their tokens, per Python worker, and the longest kept.
-CACHED, CACHED_CHARS = 300_000, 40
+CACHED, CACHED_CHARS = 150_000, 40
 #: Above every rank.
 _NONE = 1 << 62
 #: Tokens joined at once in decoding.
@@ -236,8 +236,10 @@ def _loaded(path: str, pattern: str) -> _Matches:
     return _LOADED[path, pattern]
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: all) and ``ids``, the token ids of ``text``.
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """Columns ``keep`` (default: all) and ``ids``, the token ids of ``text``; also ``decoded``, the bytes of these ids, if named.
+
+    Decoding in the same pass saves a second Python worker for each task.
 
     ``path`` names a file of ranks that every executor can read (it comes with an
     installed package). A null text counts as empty and has no tokens; a column
@@ -247,9 +249,14 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     def compute(texts: pa.Array) -> list[pa.Array]:
         rows = _loaded(path, pattern).encode(texts.to_pylist())
         ends = np.cumsum([0, *map(len, rows)]) // 4
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))]
-
-    return add_columns(df, text, StructType([StructField(ids, ArrayType(IntegerType()))]), compute, keep)
+        columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))]
+        if decoded:
+            back = _loaded(path, pattern).pairs.decode
+            columns.append(pa.array([back(np.frombuffer(row, np.int32).tolist()) for row in rows], pa.binary()))
+        return columns
+
+    fields = [StructField(ids, ArrayType(IntegerType())), *([StructField(decoded, BinaryType())] if decoded else [])]
+    return add_columns(df, text, StructType(fields), compute, keep)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
