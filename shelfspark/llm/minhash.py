@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,26 +178,30 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(percent: int):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        members, apart = block[~block["apart"]], block[block["apart"]]
+    def run(block: pa.Table) -> pa.Table:
+        apart = block.column("apart").to_numpy()
+        nodes, parts = block.column("node").to_numpy(), block.column("component").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("shingles")]
+        inside, outside = np.flatnonzero(~apart), np.flatnonzero(apart)
         out: list[tuple[int, int]] = []
-        if len(members) and len(apart):
-            sets = [np.frombuffer(x, np.uint64) for x in members["shingles"]]
-            sizes = np.array([len(s) for s in sets])
-            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        if len(inside) and len(outside):
+            sizes = np.array([len(sets[i]) for i in inside])
+            flat, owner = np.concatenate([sets[i] for i in inside]), np.repeat(np.arange(len(inside)), sizes)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            group, node = members["component"].to_numpy(), members["node"].to_numpy()
-            for n, c, x in zip(apart["node"], apart["component"], apart["shingles"]):
-                own = np.frombuffer(x, np.uint64)
+            group, node = parts[inside], nodes[inside]
+            for i in outside:
+                own = sets[i]
                 lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-                held = np.repeat(lo, hi - lo) + (np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo))
-                both = np.bincount(owner[held], minlength=len(sets))
-                good = (100 * both >= percent * (sizes + len(own) - both)) & (group != c)
+                n = hi - lo
+                held = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                both = np.bincount(owner[held], minlength=len(inside))
+                good = (100 * both >= percent * (sizes + len(own) - both)) & (group != parts[i])
                 # One link to each other component is enough.
                 _, first = np.unique(group[good], return_index=True)
-                out += [(int(n), int(m)) for m in node[good][first]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                out += [(int(nodes[i]), int(m)) for m in node[good][first]]
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -245,7 +248,7 @@ def _rest(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     keys = ["grp", "class", "block", "own", "other"]
     fields = [*keys, "node", "component", "shingles"]
     both = members.select(*fields, F.lit(False).alias("apart")).unionByName(apart.select(*fields, F.lit(True).alias("apart")))
-    return both.groupBy(*keys).applyInPandas(_block_links(percent), "a long, b long")
+    return both.groupBy(*keys).applyInArrow(_block_links(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near(), id: str = "doc_id", text: str = "text") -> DataFrame:
