@@ -274,9 +274,11 @@ def repeated_spans(rows: DataFrame, length: int = 400) -> DataFrame:
         .groupBy("tid")
         .agg(F.collect_list(F.struct("lo", "hi", (F.col("n") == 1).alias("alone"))).alias("asked"))
     )
-    windows = stored(_windows(texts.join(asked, "tid").select("tid", "text", "asked"), length), "windows")
-    again = windows.groupBy("window").agg(F.min("loc").alias("a"), F.max("loc").alias("z")).where("a != z").select("window")
-    part = windows.where("alone").join(again, "window", "left_semi").select("tid", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
+    # One shuffle of the windows and no copy of them; surroundings seen before have spoken once, so no window is frequent.
+    windows = _windows(texts.join(asked, "tid").select("tid", "text", "asked"), length)
+    equal = Window.partitionBy("window")
+    windows = windows.withColumn("_a", F.min("loc").over(equal)).withColumn("_z", F.max("loc").over(equal))
+    part = windows.where("alone and _a != _z").select("tid", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
     return whole.unionByName(part).groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
