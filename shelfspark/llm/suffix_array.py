@@ -40,6 +40,8 @@ GRAM, CUT_GRAM, CUT_WINDOW = 100, 8, 64
 DEPTH = 9
 _PLACE_BITS = np.uint64(28)
 _PLACE = np.uint64((1 << 28) - 1)
+#: Stands for the phrases beyond a stretch's end, below every symbol.
+_END = np.int64(-(1 << 63))
 #: Rows whose neighbours are looked up in one task.
 _CHUNK = 1 << 16
 
@@ -111,6 +113,7 @@ def phrases(data: np.ndarray, marks: np.ndarray, length: int) -> tuple[np.ndarra
     cuts but for their ends. A window belongs to the first cut certain to be equal in
     all its copies; ``lo`` to ``hi`` are the starts of a cut's windows. The prefix hash
     covers as many phrases as every copy of such a window holds, ``DEPTH`` at most.
+    The next phrases beyond a stretch's end are ``_END``.
     """
     n, reach = len(data), CUT_WINDOW - 1
     pre = Prefixes(data)
@@ -119,6 +122,7 @@ def phrases(data: np.ndarray, marks: np.ndarray, length: int) -> tuple[np.ndarra
         return None
     ends = np.append(cuts[1:], n)
     symbol = pre.hash(cuts, ends)
+    symbol[symbol == np.array(_END).view(np.uint64)] += np.uint64(1)
     padded = np.concatenate([symbol, np.zeros(2, np.uint64)])
     # Certain bytes beyond a cut: those in every window minus both uncertain ends.
     certain = length - reach - CUT_GRAM - reach - 2 * CUT_WINDOW
@@ -137,8 +141,11 @@ def phrases(data: np.ndarray, marks: np.ndarray, length: int) -> tuple[np.ndarra
     run_end = np.append(np.flatnonzero(kept[:-1] & ~kept[1:]), len(cuts) - 1)
     at = np.flatnonzero(kept)
     left = run_end[np.searchsorted(run_end, at)] - at
-    fields = (cuts, symbol.view(np.int64), padded[1:-1].view(np.int64), padded[2:].view(np.int64), prefix.view(np.int64), lo, hi, around.view(np.int64))
-    return (*[x[at] for x in fields], left)
+    # All sorts must cut a suffix at the same place, the stretch's end, or equal prefixes are no longer neighbours.
+    next1, next2 = (np.where(left < k, _END, padded[at + k].view(np.int64)) for k in (1, 2))
+    fields = (cuts, symbol.view(np.int64), prefix.view(np.int64), lo, hi, around.view(np.int64))
+    place, symbol, *rest = [x[at] for x in fields]
+    return place, symbol, next1, next2, *rest, left
 
 
 _PHRASES = "place long, symbol long, next1 long, next2 long, prefix long, lo long, hi long, around long, left long"

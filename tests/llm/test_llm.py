@@ -157,6 +157,34 @@ def test_suffix_array_equals_counting(spark):
     assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(texts))] == want
 
 
+def test_suffix_order_of_stretches_that_end_in_a_shared_line(spark):
+    random.seed(8)
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "rstuv" for c in "klmn"]
+
+    def prose(n):
+        return " ".join(random.choices(words, k=n)).encode()
+
+    line, rows, at, marked = prose(70), [], 0, 0
+    copies = [line + prose(200) for _ in range(4)]
+    # Stretches that end within the line, and repeated strings that begin with it.
+    texts = [(prose(250), prose(300), line + prose(300)) for _ in range(60)] + [(prose(150), c, prose(150)) for c in copies * 2]
+    for head, body, tail in texts:
+        data = np.frombuffer(head + body + tail, np.uint8)
+        marks = [len(head) + len(body) - 800 + random.randrange(200)] if len(tail) > 1200 else range(len(head), len(head) + len(body), 100)
+        got = suffix_array.phrases(data, np.array(marks), 400)
+        left, n = got[-1], len(got[0])
+        assert all((got[k + 1][left < k] == np.iinfo(np.int64).min).all() for k in (1, 2))
+        marked += (left == 0).sum()
+        rows += [(at + i, *(int(got[k][i]) for k in (1, 2, 3, 8, 4))) for i in range(n)]
+        at += n
+    # Consecutive stretches are told apart by their ends alone.
+    assert marked >= len(texts)
+    symbols = spark.createDataFrame(rows, "at long, symbol long, next1 long, next2 long, left long, prefix long")
+    order = [r["at"] for r in suffix_array.suffix_order(symbols).orderBy("position").collect()]
+    keys = {r[0]: [rows[k][1] for k in range(r[0], r[0] + min(r[4] + 1, suffix_array.DEPTH))] for r in rows}
+    assert len(order) == len(rows) and [keys[x] for x in order] == sorted(keys.values())
+
+
 @pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
 def test_near_duplicates_equal_all_pairs(spark, size, percent):
     random.seed(size)
