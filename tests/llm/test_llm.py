@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from check import compare, duck
 from pyspark.sql import functions as F
@@ -228,6 +229,37 @@ def test_passages_equal_runs(spark):
         assert 100 * len(a & b) >= 80 * len(a | b)
 
 
+def _tokens(words):
+    return next(passages.token_rows(pa.array([" ".join(words)])))[1]
+
+
+def _found(x, y):
+    return [(a, b + passages.SHINGLE, c, d + passages.SHINGLE) for a, b, c, d, _ in passages.passages(_tokens(x), _tokens(y))]
+
+
+def test_passages_side_by_side_are_found_apart():
+    p, q, r = ([f"{k}{i}" for i in range(60)] for k in "pqr")
+    x, y = p + q, p + r[:30] + q
+    want = [(0, 60, 0, 60), (60, 120, 90, 150)]
+    assert sorted(_found(x, y)) == want
+    assert sorted(_found(y, x)) == [(c, d, a, b) for a, b, c, d in want]
+
+
+def test_passages_whose_words_occur_before_are_found():
+    p, r = ([f"{k}{i}" for i in range(60)] for k in "pr")
+    x, y = r[:20] + p, p[10:22] + r[20:50] + p
+    assert _found(x, y) == [(20, 80, 42, 102)] and _found(y, x) == [(42, 102, 20, 80)]
+
+
+def test_passages_repeated_and_changed():
+    p, r = ([f"{k}{i}" for i in range(200)] for k in "pr")
+    changed = p[:24] + ["other"] + p[25:50]
+    assert _found(r[:40] + p[:50] + r[40:60], changed) == [(40, 90, 0, 50)]
+    assert {x[:2] for x in _found(p[:60] + r[:40] + p[:60], r[60:99] + p[:60])} == {(0, 60), (100, 160)}
+    assert _found(p[:90] + ["more", "words"] + p[90:], p) == [(0, 202, 0, 200)]
+    assert passages.passages(_tokens(["a"] * 3000), _tokens(["a"] * 3000))
+
+
 def test_secrets(spark):
     body = b"0aB3" * 7 + b"xy"
     good = "ghp_" + (body + secret_scan.base62_crc(body)).decode()
