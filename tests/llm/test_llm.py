@@ -260,6 +260,29 @@ def test_passages_repeated_and_changed():
     assert passages.passages(_tokens(["a"] * 3000), _tokens(["a"] * 3000))
 
 
+def test_passages_in_a_family_of_variants(spark):
+    random.seed(4)
+    base = [f"b{i}" for i in range(60)]
+
+    def variant():
+        return [random.choice("xyz") + str(random.randrange(10**6)) if random.random() < 0.05 else w for w in base]
+
+    def around(passage):
+        return " ".join([f"u{random.randrange(10**9)}" for _ in range(40)] + passage + [f"u{random.randrange(10**9)}" for _ in range(40)])
+
+    texts = [around(variant()) for _ in range(300)]
+    for _ in range(40):
+        passage = variant()
+        texts += [around(passage), around(passage)]
+    rows = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r["doc_id"] for r in rows}
+    assert set(range(300, 380)) <= found
+    split = [t.split() for t in texts]
+    for r in rows:
+        a, b = (brute.shingles(" ".join(w), 5) for w in (split[r["doc_id"]][r["lo"] : r["hi"]], split[r["other_id"]][r["other_lo"] : r["other_hi"]]))
+        assert 100 * len(a & b) >= 80 * len(a | b)
+
+
 def test_secrets(spark):
     body = b"0aB3" * 7 + b"xy"
     good = "ghp_" + (body + secret_scan.base62_crc(body)).decode()
