@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import byte_bpe, decontaminate, minhash, passages, quality, secret_scan, sharding, suffix_array, toxicity, warc
+from shelfspark.llm import byte_bpe, decontaminate, minhash, passages, quality, secret_scan, sharding, suffix_array, token_alignment, toxicity, warc
 from shelfspark.llm.registry import query
 from shelfspark.suite import sqltext as q
 
@@ -176,3 +176,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (quality.MEASURED["few_words"]() | quality.MEASURED["repetitive"]()).alias("base_failed"),
         quality.first_rejection(rules).isNull().alias("kept"),
     )
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = token_alignment.Paths(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    return token_alignment.align(table(spark, sf_dir, "documents"), paths, keep=["doc_id"])
