@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfspark.functions.fields import price_error
 from shelfspark.operators.keyed_writes import partial_update, put_by_id, upsert
@@ -21,7 +23,7 @@ from shelfspark.operators.rows import (
     stamp_updated_at,
 )
 from shelfspark.schema import RAW_CATALOG, RAW_CATALOG_NO_SUMMARY
-from shelfspark.sources.catalog_csv import scan_catalog_csv, write_catalog_csv
+from shelfspark.sources.catalog_csv import MALFORMED, scan_catalog_csv, scan_with_malformed, write_catalog_csv
 
 
 def with_row_id(df: DataFrame, name: str = "id", place: str | None = None) -> DataFrame:
@@ -43,7 +45,10 @@ def with_row_id(df: DataFrame, name: str = "id", place: str | None = None) -> Da
 
 def load_errors(raw: DataFrame) -> DataFrame:
     """Adds ``error``: why a raw row cannot be loaded."""
-    return raw.withColumn("error", F.coalesce(*[price_error(F.col(c), c) for c in ("price_without_discount", "price")]))
+    reasons = [price_error(F.col(c), c) for c in ("price_without_discount", "price")]
+    if MALFORMED in raw.columns:
+        reasons.insert(0, F.when(F.col(MALFORMED).isNotNull(), F.lit("malformed row")))
+    return raw.withColumn("error", F.coalesce(*reasons))
 
 
 @dataclass(frozen=True)
@@ -57,8 +62,11 @@ class Loaded:
 def load_catalog(
     spark: SparkSession, path: str, documents: DataFrame | None = None, nodes: DataFrame | None = None
 ) -> Loaded:
-    """Reads the file and puts every good row into both stores: documents by place in the file, nodes by url."""
-    raw = with_row_id(scan_catalog_csv(spark, path, RAW_CATALOG), place="_place")
+    """Reads the file and puts every good row into both stores: documents by place in the file, nodes by url.
+
+    Refused rows carry the reason, and rows with too few or too many cells their text.
+    """
+    raw = with_row_id(scan_with_malformed(spark, path, RAW_CATALOG), place="_place")
     good, refused = split_bad_rows(load_errors(raw))
     rows = product_projection(good, keep=["id", "_place"])
     no_rows = rows.drop("_place").limit(0)
@@ -67,8 +75,21 @@ def load_catalog(
     return Loaded(documents, upsert(target, rows, "url", ["_place"]), outcomes, refused.drop("_place"))
 
 
-def summarize_catalog(spark: SparkSession, source: str, target: str, nodes: DataFrame | None = None) -> DataFrame:
-    """Adds short summaries to a catalog file, writes it, and returns the node store with its rows."""
+def refused_rows(spark: SparkSession, path: str, schema: StructType = RAW_CATALOG) -> DataFrame:
+    """`id, place, malformed_row`: rows of a catalog file whose cells don't fit its header."""
+    raw = with_row_id(scan_with_malformed(spark, path, schema), place="place")
+    return raw.where(F.col(MALFORMED).isNotNull()).select("id", "place", MALFORMED)
+
+
+def summarize_catalog(
+    spark: SparkSession, source: str, target: str, nodes: DataFrame | None = None, refused: str | None = None
+) -> DataFrame:
+    """Adds short summaries to a catalog file, writes it, and returns the node store with its rows.
+
+    Malformed rows can't be summarized; they are written to ``refused``, if it is named.
+    """
+    if refused:
+        refused_rows(spark, source, RAW_CATALOG_NO_SUMMARY).write.mode("overwrite").parquet(refused)
     raw = scan_catalog_csv(spark, source, RAW_CATALOG_NO_SUMMARY)
     write_catalog_csv(raw.withColumn("resumen_producto", summarize_title(F.col("title"))), target)
     read = with_row_id(scan_catalog_csv(spark, target), place="_place")
@@ -104,11 +125,18 @@ def backfill_embeddings(products: DataFrame, encoder: TextEncoder, path: str, te
     started = datetime.now(timezone.utc)
     element = products.schema["description_embedding"].dataType.elementType.simpleString()
     pending = nonempty_text(needs_embedding(products), text).select("url", text)
+    if pending.isEmpty():
+        # Nothing to encode or to count: the table goes on as it is.
+        return _backfilled(products, path, started, lambda: 0)
     encoded = encoder.encode(pending, text, "description_embedding", element).select("url", "description_embedding")
     counted, watch = observed(encoded, n=F.count("*"))
     embedded = partial_update(products, counted, "url", ["description_embedding"], ["url", "description_embedding"])[0]
+    return _backfilled(embedded, path, started, lambda: watch.get["n"])
+
+
+def _backfilled(products: DataFrame, path: str, started: datetime, counted: Callable[[], int]) -> DataFrame:
     try:
-        embedded.write.mode("overwrite").parquet(path)
+        products.write.mode("overwrite").parquet(path)
+        return run_record(products.sparkSession, "backfill_embeddings", started, counted())
     except Exception as exc:
         return run_record(products.sparkSession, "backfill_embeddings", started, 0, f"{type(exc).__name__}: {exc}"[:500])
-    return run_record(products.sparkSession, "backfill_embeddings", started, watch.get["n"])

@@ -120,6 +120,17 @@ def _(spark, sf):
     return extract_links(pages(spark, sf), inside="/")
 
 
+#: The pages again with their hrefs unquoted, behind an attribute that holds `>`, and once more inside a script.
+OTHER_MARKUP = """
+SELECT page_id, url, regexp_replace(html, 'href="(/[^" >]*)"', 'title="a>b" href=$1') || '<script>x = ''<a href="/no">'';</script>' AS html FROM pages
+"""
+
+
+@query("extract_links_any_markup", f"SELECT page_id, url, h AS href FROM (SELECT page_id, url, unnest({HREFS}) AS h FROM pages) x WHERE h NOT LIKE '% %'")
+def _(spark, sf):
+    return extract_links(d.derive(spark, sf, OTHER_MARKUP), inside="/").where("href not like '% %'")
+
+
 @query(
     "resolve_link",
     f"""SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || href AS link

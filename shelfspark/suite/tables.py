@@ -11,7 +11,7 @@ from shelfspark.operators import keyed_writes as kw
 from shelfspark.operators import metrics
 from shelfspark.operators.models import summarize_title
 from shelfspark.operators.rows import stamp_updated_at
-from shelfspark.plans.catalog import load_errors
+from shelfspark.plans.catalog import load_catalog, load_errors
 from shelfspark.session import scratch_path
 from shelfspark.sources import tables as tb
 from shelfspark.sources.catalog_csv import scan_catalog_csv, write_catalog_csv
@@ -46,6 +46,33 @@ def _(spark, sf):
     )
 
 
+#: Lines of a catalog file, some of them with too few or too many cells.
+CSV_LINES = """
+SELECT p_partkey AS n, 'https://shop.example.com/p/' || CAST(p_partkey AS STRING) || ',' || p_name
+  || CASE WHEN p_partkey % 10 = 0 THEN '' WHEN p_partkey % 10 = 1 THEN ',,1,2,,,,,,r,more,cells' ELSE ',,1,2,,,,,,r' END AS value FROM part
+"""
+
+
+def uneven_source(spark, sf) -> str:
+    path = scratch_path(spark, "uneven-csv")
+    header = spark.createDataFrame([(-1, ",".join(CSV_COLUMNS))], "n long, value string")
+    header.unionByName(d.derive(spark, sf, CSV_LINES)).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    return path
+
+
+@query("quarantine_csv_rows", f"SELECT value AS malformed_row, 'malformed row' AS error FROM ({CSV_LINES}) x WHERE n % 10 < 2")
+def _(spark, sf):
+    return load_catalog(spark, uneven_source(spark, sf)).refused.select("malformed_row", "error")
+
+
+@query(
+    "scan_uneven_csv",
+    f"SELECT split_part(value, ',', 1) AS url, split_part(value, ',', 2) AS title FROM ({CSV_LINES}) x WHERE n % 10 >= 2",
+)
+def _(spark, sf):
+    return scan_catalog_csv(spark, uneven_source(spark, sf)).select("url", "title")
+
+
 @query(
     "write_catalog_csv",
     RAW + r"SELECT url, title, title AS resumen_producto FROM raw",

@@ -81,6 +81,38 @@ def test_links(spark):
     assert evaluate(spark, html.links, [page]) == [["/x/p/1"]]
 
 
+@pytest.mark.parametrize(
+    "page, found",
+    [
+        ("<a href=/p/1>x</a>", ["/p/1"]),
+        ('<a title="a>b" href="/p/4">x</a>', ["/p/4"]),
+        ("<a data-x=\"href='/p/9'\" href='/p/2'>x</a>", ["/p/2"]),
+        ("<A\nHREF = '/p/3' href=/p/33>x</A>", ["/p/3"]),
+        ("<script>document.write('<a href=\"/p/5\">')</script><a href=/p/6/>x</a>", ["/p/6/"]),
+        ('<textarea><a href="/p/7"></textarea><noscript><a href="/p/8"></noscript>', []),
+        ('<a href="/p/1?a=1&copy=2&amp;b=3">x</a>', ["/p/1?a=1&copy=2&b=3"]),
+        ("<a href='&#47;p&sol;&#x2f;p/1'>x</a>", ["/p&sol;/p/1"]),
+        ("<a don't href=/p/10>x</a><abbr href=/p/11><a/href=/p/12>", ["/p/10", "/p/12"]),
+        ("<a href=/p/13", []),
+        ('<!-- <script> --><a href="/p/14">x</a><!-- </script> -->', ["/p/14"]),
+    ],
+)
+def test_links_in_any_markup(spark, page, found):
+    assert evaluate(spark, lambda c: html.links(c, "/p"), [page]) == [found]
+
+
+def test_references_without_semicolon(spark):
+    page = "<p>&copy 2020 &copyright &amp &eacute; &Eacutexy &#233 &#xE9 &#150; &nope &ampx</p><p title=\"x>y\">it's <b>so</b></p>"
+    assert evaluate(spark, html.html_to_text, [page]) == ["© 2020 ©right & é Éxy é é – &nope &x\nit's\nso"]
+
+
+def test_long_pages_are_read_whole(spark):
+    tail = "<a href=/p/77>end</a>"
+    page = "<p class=\"x y\" id=z>word</p>" * 60_000 + "<script>" + "if (a < b && c > d) {}" * 60_000 + "</script>" + tail
+    assert evaluate(spark, html.links, [page]) == [["/p/77"]]
+    assert evaluate(spark, html.html_to_text, [page])[0].endswith("word\nend")
+
+
 def test_urls(spark):
     good = ["https://a.example/p/1", "http://a.example:8080/x/y/p/0042", "https://a.example/p/p/7", "https://a.example//p/99", "https://a.example/p/12?size=3"]
     bad = ["https://a.example/p/", "https://a.example/p/12/", "https://a.example/p/12a", "https://a.example/?u=/p/12", "https://p.example/12", "", None]

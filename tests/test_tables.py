@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.functions.answers import with_parsed_answer, with_product_columns
@@ -8,7 +9,7 @@ from shelfspark.operators import metrics
 from shelfspark.operators.models import TextEncoder
 from shelfspark.operators.rows import split_bad_rows
 from shelfspark.plans import catalog as cat
-from shelfspark.schema import RAW_CATALOG
+from shelfspark.schema import PRODUCT, RAW_CATALOG
 from shelfspark.session import scratch_path
 from shelfspark.sources import tables as tb
 from shelfspark.sources.catalog_csv import scan_catalog_csv, write_catalog_csv
@@ -92,6 +93,32 @@ def test_load_catalog_refuses_bad_prices_and_merges_urls(spark):
     assert {r["outcome"] for r in loaded.outcomes.collect()} == {"created"}
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_malformed_rows_are_kept_aside(spark, tmp_path, multi_line):
+    header = ",".join(RAW_CATALOG.names)
+    good = "u{},t,d,1,2,,,,,,r"
+    extra = good.format(2) + ",more,cells"
+    (tmp_path / "a.csv").write_text("\n".join([header, good.format(1), "short,row", extra, good.format(3)]) + "\n")
+    assert {r["url"] for r in scan_catalog_csv(spark, str(tmp_path), RAW_CATALOG, multi_line).collect()} == {"u1", "u3"}
+    refused = {r["malformed_row"] for r in cat.refused_rows(spark, str(tmp_path)).collect()}
+    assert refused == {"short,row", extra}
+    loaded = cat.load_catalog(spark, str(tmp_path))
+    assert {(r["malformed_row"], r["error"]) for r in loaded.refused.collect()} == {("short,row", "malformed row"), (extra, "malformed row")}
+    assert {r["url"] for r in loaded.nodes.collect()} == {"u1", "u3"}
+    assert "malformed_row" not in loaded.nodes.columns + loaded.documents.columns
+
+
+def test_backfill_with_nothing_pending(spark):
+    empty = spark.createDataFrame([], PRODUCT)
+    done = spark.createDataFrame([{"url": "a", "product_context": "some words", "description_embedding": [1.0]}, {"url": "b", "product_context": ""}], PRODUCT)
+    encoder = TextEncoder.fit(done, "product_context")
+    for products, rows in ((empty, 0), (done, 2)):
+        path = scratch_path(spark, "embedded")
+        run = cat.backfill_embeddings(products, encoder, path).first()
+        assert (run["processed_count"], run["error"]) == (0, None)
+        assert spark.read.parquet(path).count() == rows
+
+
 def test_bulk_load_counts(spark):
     df = spark.createDataFrame([(1, None), (2, "bad"), (3, None)], "id int, error string")
     path = scratch_path(spark, "bulk")
