@@ -96,7 +96,16 @@ def letter_digit_tokens(c: Column) -> Column:
     return F.coalesce(tokens, F.array().cast("array<string>"))
 
 
-def edge_ngrams(c: Column, longest: int = 20) -> Column:
+#: Characters of the longest prefix that a token is found by.
+LONGEST_PREFIX = 20
+
+
+def prefix_count(tokens: Column) -> Column:
+    """How many prefixes the tokens have: the length of a field that is searched by prefixes."""
+    return F.aggregate(tokens, F.lit(0), lambda n, t: n + F.least(F.lit(LONGEST_PREFIX), F.length(t)))
+
+
+def edge_ngrams(c: Column, longest: int = LONGEST_PREFIX) -> Column:
     """All prefixes of 1..longest characters of each letter/digit token."""
     return F.flatten(
         F.transform(

@@ -12,7 +12,7 @@ from shelfspark.operators.models import TextEncoder, apply_text_model, rerank_sc
 from shelfspark.operators.postings import TextIndex, index_for
 from shelfspark.operators.rows import attach, format_hits, merge_products, standardize_hits, topk, union_hits
 from shelfspark.operators.vectors import semantic_search
-from shelfspark.session import at_most
+from shelfspark.session import at_most, kept
 
 
 def batch_index(queries: DataFrame, docs: DataFrame) -> TextIndex:
@@ -21,6 +21,11 @@ def batch_index(queries: DataFrame, docs: DataFrame) -> TextIndex:
     return index_for(vocabulary, docs, list(SEARCH_BOOSTS), analyze)
 
 
+def encoded_queries(queries: DataFrame, encoder: TextEncoder) -> DataFrame:
+    """`query_id, embedding`, encoded once: the search counts them and reads them."""
+    return kept(encoder.encode(queries, "query", element="double").select("query_id", "embedding"), "query-vectors")
+
+
 def hybrid_search(
     queries: DataFrame,
     docs: DataFrame,
@@ -37,7 +42,7 @@ def hybrid_search(
     `id, embedding` made by the same ``encoder``.
     """
     lexical = search_bm25(queries, docs, size_per_source, index=index)
-    asked = encoder.encode(queries, "query", element="double").select("query_id", "embedding")
+    asked = encoded_queries(queries, encoder)
     near = semantic_search(asked, vectors.select("id", "embedding"), size_per_source)
     bound = 10_000 * size_per_source if at_most(queries, 10_000) else None
     stored = [c for c in ["title", "description", "price", "url"] if c in docs.columns]
@@ -58,7 +63,7 @@ def semantic_search_text(
 
     Returns the answers, and hits that lack one of these texts with the reason.
     """
-    asked = encoder.encode(queries, "query", element="double").select("query_id", "embedding")
+    asked = encoded_queries(queries, encoder)
     near = semantic_search(asked, vectors.select("id", "embedding"), size)
     bound = 10_000 * size if at_most(queries, 10_000) else None
     return format_hits(attach(near, docs, ["title", "url", "description"], bound))
@@ -79,6 +84,7 @@ def search_and_rerank(
     final_size: int = 10,
     batch_size: int = 32,
     model=None,
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """Hybrid hits in the order of a relevance score for (query, text).
 
@@ -86,7 +92,7 @@ def search_and_rerank(
     ``query \\x1f text`` and answers a number; without one the built-in
     idf-weighted term share is used.
     """
-    index = batch_index(queries, docs)
+    index = index or batch_index(queries, docs)
     hits = hybrid_search(queries, docs, vectors, encoder, size_per_source, index)
     text = rerank_text(F.col("title"), F.col("description"), F.col("resumen"))
     if model is None:

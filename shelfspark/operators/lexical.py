@@ -4,7 +4,13 @@ A document matches in a field if it holds at least ``m`` of the query's ``n``
 clauses. Any such document must hold one of any ``n - m + 1`` clauses, so only
 the ``n - m + 1`` rarest clauses are looked up in the postings. Frequent words,
 whose posting lists make up most of a corpus, are then only read for documents
-that are candidates already. This changes no result.
+that are candidates already.
+
+If only the best hits are wanted, blocks of documents are left out by their bounds:
+the largest impact that each term has in a block says what a document there can score
+at most. The few blocks with the highest bounds are searched first; they fix a
+score that a query's last hit reaches, and of the other blocks only those
+that can reach it too are searched. Neither changes a result.
 """
 
 from __future__ import annotations
@@ -14,35 +20,46 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.strings import analyze, edge_ngrams, letter_tokens
-from shelfspark.operators.postings import Analyzer, TextIndex, index_for
-from shelfspark.operators.rows import SCORE_DECIMALS, attach, topk_by_score
+from shelfspark.functions.strings import LONGEST_PREFIX, analyze, letter_digit_tokens, letter_tokens, prefix_count
+from shelfspark.operators.postings import K1, Analyzer, B, TextIndex, index_for, prefix_index, store_index
+from shelfspark.operators.rows import SCORE_DECIMALS, attach, topk, topk_by_score
 from shelfspark.operators.skew import spread_join
-from shelfspark.session import at_most, scratch_path, with_computed
+from shelfspark.session import kept, scratch_path, with_computed
 
-#: Similarity and field settings of the product index.
-K1, B = 1.2, 0.75
+#: Field settings of the product index.
 SEARCH_BOOSTS = {"product_resume": 4.0, "title": 2.0, "description": 1.0}
 MIN_MATCH_SHARE = 0.7
 
+#: Blocks of a query that are searched before the cutoff is known.
+FIRST_BLOCKS = 4
+
 
 @dataclass(frozen=True)
 class MatchRule:
-    """Which fields are matched, how they are analyzed and how many clauses must hit."""
+    """Which fields are matched, how they are analyzed and how many clauses must hit.
+
+    With ``prefix``, a clause hits every term that begins with it.
+    """
 
     boosts: dict[str, float]
     min_share: float = MIN_MATCH_SHARE
     index_analyzer: Analyzer = analyze
     query_analyzer: Analyzer = analyze
+    length: Analyzer = F.size
+    prefix: bool = False
 
     def needed(self, n: Column) -> Column:
         """Clauses that must match out of ``n``."""
         return F.greatest(F.lit(1), F.floor(n * F.lit(self.min_share) + F.lit(1e-9))).cast("int")
 
+    def store(self, docs: DataFrame, path: str, id_col: str = "id", **how) -> TextIndex:
+        """The stored index that this rule searches."""
+        return store_index(docs, list(self.boosts), path, self.index_analyzer, id_col, self.length, **how)
+
 
 SEARCH = MatchRule(SEARCH_BOOSTS)
 ALL_TERMS = MatchRule({"product_resume": 1.0}, min_share=1.0)
-PREFIX = MatchRule({"product_resume": 1.0}, min_share=1.0, index_analyzer=edge_ngrams, query_analyzer=letter_tokens)
+PREFIX = MatchRule({"product_resume": 1.0}, 1.0, letter_digit_tokens, letter_tokens, prefix_count, prefix=True)
 
 
 def query_clauses(queries: DataFrame, analyzer: Analyzer = analyze) -> DataFrame:
@@ -51,36 +68,40 @@ def query_clauses(queries: DataFrame, analyzer: Analyzer = analyze) -> DataFrame
     return tokens.select("query_id", F.size("t").alias("n"), F.posexplode("t").alias("pos", "term"))
 
 
-def postings_join(postings: DataFrame, clauses: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Query terms against indexed terms; posting lists of hot terms are split."""
-    return spread_join(postings, clauses, ["field", "term"], sizes, spread_by="id")
+def postings_join(postings: DataFrame, clauses: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ("field", "term")) -> DataFrame:
+    """Query terms against indexed terms; hot terms are split by documents and by queries."""
+    return spread_join(postings, clauses, list(keys), sizes, "id", "query_id")
 
 
 def _idf(df: Column, n_docs: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def match_scores(queries: DataFrame, docs: DataFrame | TextIndex, rule: MatchRule, id_col: str = "id") -> DataFrame:
-    """`query_id, field, id, matched, score`: every field of every document that counts.
-
-    ``docs`` are plain documents, or an index stored beforehand.
-    """
+def _searchable(clauses: DataFrame, docs: DataFrame | TextIndex, rule: MatchRule, id_col: str) -> TextIndex:
+    """The index of the rule's fields; from plain documents, one for these clauses."""
     fields = list(rule.boosts)
-    clauses = query_clauses(queries, rule.query_analyzer)
     vocabulary = clauses.select("term").distinct()
-    index = docs
-    if not isinstance(docs, TextIndex):
-        index = index_for(vocabulary, docs, fields, rule.index_analyzer, id_col)
-    postings, sizes, stats = (part.where(F.col("field").isin(fields)) for part in (index.postings, index.terms, index.stats))
-    if index is docs:
+    stored = isinstance(docs, TextIndex)
+    if rule.prefix:
+        index = docs if stored else rule.store(docs, scratch_path(docs.sparkSession, "terms"), id_col)
+        prefixes = vocabulary.where(F.length("term") <= LONGEST_PREFIX).select(F.col("term").alias("prefix"))
+        index = prefix_index(index, prefixes)
+    else:
+        index = docs if stored else index_for(vocabulary, docs, fields, rule.index_analyzer, id_col)
+    parts = (p if p is None else p.where(F.col("field").isin(fields)) for p in (index.postings, index.terms, index.stats, index.impacts))
+    postings, terms, stats, impacts = parts
+    if stored and not rule.prefix:
         postings = postings.join(vocabulary, "term", "left_semi")
+    return TextIndex(postings, terms, stats, impacts)
+
 
-    # Per query and field: clauses with their weight, rarest first.
+def _weights(clauses: DataFrame, index: TextIndex, rule: MatchRule) -> DataFrame:
+    """Per query and field: clauses with their weight, rarest first. As small as the query table, and kept."""
     boost = F.create_map(*[F.lit(x) for pair in rule.boosts.items() for x in pair])
     weighted = (
-        clauses.withColumn("field", F.explode(F.array(*map(F.lit, fields))))
-        .join(sizes, ["field", "term"], "left")
-        .join(F.broadcast(stats), "field")  # as many rows as fields
+        clauses.withColumn("field", F.explode(F.array(*map(F.lit, rule.boosts))))
+        .join(index.terms, ["field", "term"], "left")
+        .join(F.broadcast(index.stats), "field")  # as many rows as fields
         .withColumn("df", F.coalesce("df", F.lit(0)))
         .groupBy("query_id", "field", "n", "avg_dl")
         .agg(
@@ -98,26 +119,39 @@ def match_scores(queries: DataFrame, docs: DataFrame | TextIndex, rule: MatchRul
         .withColumn("m", rule.needed(F.col("n")))
         .withColumn("n_distinct", F.size(F.array_distinct(F.transform("clauses", lambda c: c["term"]))))
     )
-    # As small as the query table and read twice: kept in the shared folder.
-    path = scratch_path(queries.sparkSession, "weights")
-    weighted.write.parquet(path)
-    weighted = queries.sparkSession.read.parquet(path)
+    return kept(weighted, "weights")
 
-    probes = weighted.select(
-        "query_id", "field", F.explode(F.expr("array_distinct(slice(transform(clauses, c -> c.term), 1, n - m + 1))")).alias("term")
-    )
-    candidates = postings_join(postings.select("field", "term", "id"), probes, sizes).select(
-        "query_id", "field", "id"
-    ).distinct()
+
+def _rarest(weighted: DataFrame) -> DataFrame:
+    """`query_id, field, term`: of these, every match holds one."""
+    terms = F.expr("array_distinct(slice(transform(clauses, c -> c.term), 1, n - m + 1))")
+    return weighted.select("query_id", "field", F.explode(terms).alias("term"))
+
+
+def block_bounds(weighted: DataFrame, index: TextIndex) -> DataFrame:
+    """`query_id, field, block, bound`: blocks that may hold a match, and what it can score there at most."""
+    near = postings_join(index.impacts.select("field", "term", F.col("block").alias("id")), _rarest(weighted), index.terms)
+    near = near.select("query_id", "field", F.col("id").alias("block")).distinct()
+    clauses = weighted.select("query_id", "field", "m", F.explode("clauses").alias("c")).select("query_id", "field", "m", "c.term", "c.weight")
+    tops = near.join(clauses, ["query_id", "field"]).join(index.impacts, ["field", "term", "block"])
+    bounds = tops.groupBy("query_id", "field", "block", "m").agg(F.sum(F.col("weight") * F.col("top")).alias("bound"), F.count("*").alias("held"))
+    return bounds.where("held >= m").drop("held", "m")
+
+
+def _field_scores(weighted: DataFrame, index: TextIndex, blocks: DataFrame | None = None) -> DataFrame:
+    """`query_id, field, id, matched, score` of every match, or of those in some blocks (`query_id, field, block`)."""
+    probes, keys = _rarest(weighted), ["field", "term"]
+    if blocks is not None:
+        probes = probes.join(blocks.select("query_id", "field", "block"), ["query_id", "field"])
+        keys.append("block")
+    found = postings_join(index.postings.select(*keys, "id"), probes, index.terms, tuple(keys))
     # Read twice: by the postings, of which only those of candidates go on, and by the scoring.
-    path = scratch_path(queries.sparkSession, "candidates")
-    candidates.write.parquet(path)
-    candidates = queries.sparkSession.read.parquet(path)
+    candidates = kept(found.select("query_id", "field", "id").distinct(), "candidates")
 
     # The query terms each candidate's field holds, one row per field: the list is
     # no longer than the document's own vocabulary.
     asked = candidates.select("field", "id").distinct()
-    doc_terms = postings.join(asked, ["field", "id"], "left_semi").groupBy("field", "id", "dl").agg(
+    doc_terms = index.postings.join(asked, ["field", "id"], "left_semi").groupBy("field", "id", "dl").agg(
         F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tfs")
     )
     joined = candidates.join(doc_terms, ["field", "id"]).join(weighted, ["query_id", "field"])
@@ -140,15 +174,57 @@ def match_scores(queries: DataFrame, docs: DataFrame | TextIndex, rule: MatchRul
     )
 
 
+def match_scores(queries: DataFrame, docs: DataFrame | TextIndex, rule: MatchRule, id_col: str = "id") -> DataFrame:
+    """`query_id, field, id, matched, score`: every field of every document that counts.
+
+    ``docs`` are plain documents, or an index stored beforehand.
+    """
+    clauses = query_clauses(queries, rule.query_analyzer)
+    index = _searchable(clauses, docs, rule, id_col)
+    return _field_scores(_weights(clauses, index, rule), index)
+
+
+def open_blocks(bounds: DataFrame, first: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """The blocks not in ``first`` that can still change a query's best ``size``, given the hits ``found`` in those."""
+    reached = topk_by_score(best_field(found), size).groupBy("query_id").agg(
+        F.when(F.count("*") >= size, F.min("score")).otherwise(0.0).alias("cutoff")
+    )
+    rest = bounds.join(first.select("query_id", "field", "block"), ["query_id", "field", "block"], "left_anti")
+    # Scores are rounded, so a bound just under the cutoff may still tie with it.
+    return rest.join(reached, "query_id", "left").where(F.col("bound") + 10.0**-SCORE_DECIMALS >= F.coalesce("cutoff", F.lit(0.0)))
+
+
+def top_scores(queries: DataFrame, docs: DataFrame | TextIndex, rule: MatchRule, size: int, id_col: str = "id") -> DataFrame:
+    """`query_id, id, score, rank`: the best ``size`` documents of each query."""
+    clauses = query_clauses(queries, rule.query_analyzer)
+    index = _searchable(clauses, docs, rule, id_col)
+    weighted = _weights(clauses, index, rule)
+    if index.impacts is None:
+        return topk_by_score(best_field(_field_scores(weighted, index)), size)
+    bounds = kept(block_bounds(weighted, index), "bounds")
+    first = kept(topk(bounds, FIRST_BLOCKS, ["query_id"], [F.col("bound").desc(), F.col("block"), F.col("field")]).drop("rank"), "first-blocks")
+    found = kept(_field_scores(weighted, index, first), "first-hits")
+    more = _field_scores(weighted, index, kept(open_blocks(bounds, first, found, size), "open-blocks"))
+    return topk_by_score(best_field(found.unionByName(more)), size)
+
+
 def best_field(field_scores: DataFrame) -> DataFrame:
     """A document's score is that of its best field."""
     return field_scores.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
 def _hits(queries, docs, rule: MatchRule, size: int, stored: list[str], id_col: str, index: TextIndex | None) -> DataFrame:
-    ranked = topk_by_score(best_field(match_scores(queries, index or docs, rule, id_col)), size)
+    seen = queries.agg(F.count("*").alias("n"), F.count_distinct("query").alias("texts")).first()
+    asked = queries
+    if seen["texts"] < seen["n"]:
+        # Equal texts are answered once.
+        asked = kept(queries.where("query is not null").groupBy("query").agg(F.min("query_id").alias("query_id")), "texts")
+    ranked = top_scores(asked, index or docs, rule, size, id_col)
+    if asked is not queries:
+        same = queries.select(F.col("query_id").alias("_id"), "query").join(asked, "query").select("query_id", "_id")
+        ranked = ranked.join(same, "query_id").drop("query_id").withColumnRenamed("_id", "query_id").select(*ranked.columns)
     # Each query has at most ``size`` hits, so few queries mean few hits.
-    bound = 10_000 * size if at_most(queries, 10_000) else None
+    bound = 10_000 * size if seen["n"] <= 10_000 else None
     return attach(ranked, docs.withColumnRenamed(id_col, "id"), stored, bound)
 
 

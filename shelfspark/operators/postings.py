@@ -14,14 +14,28 @@ from shelfspark.session import scratch_path
 Analyzer = Callable[[Column], Column]
 
 
-def field_tokens(docs: DataFrame, fields: list[str], analyzer: Analyzer = analyze, id_col: str = "id") -> DataFrame:
-    """`field, id, dl, tokens`: one row per document and non-empty field."""
+#: Fixed values of the similarity.
+K1, B = 1.2, 0.75
+
+#: Documents in a block, the unit that a search may leave out.
+BLOCK_DOCS = 1 << 16
+
+
+def impact(tf: Column, dl: Column, avg_dl: Column) -> Column:
+    """What one term adds to a score, without the query's weight: 0 to 1."""
+    return tf / (tf + F.lit(K1) * (1 - B + B * dl / avg_dl))
+
+
+def field_tokens(
+    docs: DataFrame, fields: list[str], analyzer: Analyzer = analyze, id_col: str = "id", length: Analyzer = F.size
+) -> DataFrame:
+    """`field, id, dl, tokens`: one row per document and non-empty field. ``length`` of the tokens is the field's."""
     per_field = F.explode(
         F.array(*[F.struct(F.lit(f).alias("field"), analyzer(F.col(f)).alias("tokens")) for f in fields])
     )
     return (
         docs.select(F.col(id_col).alias("id"), per_field.alias("f"))
-        .select("f.field", "id", F.size("f.tokens").alias("dl"), "f.tokens")
+        .select("f.field", "id", length(F.col("f.tokens")).alias("dl"), "f.tokens")
         .where("dl > 0")
     )
 
@@ -56,12 +70,12 @@ def _with_whole(tokens: DataFrame) -> DataFrame:
 def write_postings(postings: DataFrame, path: str) -> None:
     """Stored in term order: equal terms lie together, and a filter on one term skips row groups.
 
-    The document id is part of the range, so a term found in a third of all
+    The block and the document id are part of the range, so a term found in a third of all
     documents is cut over many files.
     """
     (
-        postings.repartitionByRange("field", "term", "id")
-        .sortWithinPartitions("field", "term", "id")
+        postings.repartitionByRange("field", "term", "block", "id")
+        .sortWithinPartitions("field", "term", "block", "id")
         .write.mode("overwrite")
         .parquet(path)
     )
@@ -69,43 +83,124 @@ def write_postings(postings: DataFrame, path: str) -> None:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Stored postings, document frequencies and field statistics of a set of documents."""
+    """Stored postings, document frequencies and field statistics of a set of documents.
+
+    ``impacts`` holds the largest impact of each term in each block of documents. An
+    index of one block has none, as there is nothing to leave out.
+    """
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    impacts: DataFrame | None = None
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextIndex:
-        postings, terms, stats = (spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats"))
-        return TextIndex(postings.where(F.col("term") != WHOLE), terms, stats)
+        postings, terms, stats, impacts = (spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats", "impacts"))
+        return TextIndex(postings.where(F.col("term") != WHOLE), terms, stats, None if impacts.isEmpty() else impacts)
 
 
-def _finish_index(spark: SparkSession, path: str) -> TextIndex:
+def finish_index(spark: SparkSession, path: str, blocks: int) -> TextIndex:
+    """Writes what follows from the postings at ``path``."""
     stored = spark.read.parquet(f"{path}/postings")
-    document_frequency(stored.where(F.col("term") != WHOLE)).write.mode("overwrite").parquet(f"{path}/terms")
+    words = stored.where(F.col("term") != WHOLE)
+    document_frequency(words).write.mode("overwrite").parquet(f"{path}/terms")
     field_stats(stored.where(F.col("term") == WHOLE)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    stats = spark.read.parquet(f"{path}/stats")
+    block_impacts(words if blocks > 1 else words.limit(0), stats).write.mode("overwrite").parquet(f"{path}/impacts")
     return TextIndex.load(spark, path)
 
 
-def store_index(docs: DataFrame, fields: list[str], path: str, analyzer: Analyzer = analyze, id_col: str = "id") -> TextIndex:
+def block_impacts(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """`field, term, block, top`: the largest impact of a term in a block."""
+    rated = postings.join(F.broadcast(stats), "field")  # as many rows as fields
+    return rated.groupBy("field", "term", "block").agg(F.max(impact(F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("top"))
+
+
+def _blocks(docs: DataFrame, block_docs: int) -> int:
+    return max(1, -(-docs.count() // block_docs))
+
+
+def _in_blocks(postings: DataFrame, blocks: int) -> DataFrame:
+    return postings.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+
+
+def store_index(
+    docs: DataFrame,
+    fields: list[str],
+    path: str,
+    analyzer: Analyzer = analyze,
+    id_col: str = "id",
+    length: Analyzer = F.size,
+    block_docs: int = BLOCK_DOCS,
+) -> TextIndex:
     """Writes the full index, to be searched any number of times."""
-    tokens = field_tokens(docs, fields, analyzer, id_col)
-    write_postings(count_terms(_with_whole(tokens)), f"{path}/postings")
-    return _finish_index(docs.sparkSession, path)
+    blocks = _blocks(docs, block_docs)
+    tokens = field_tokens(docs, fields, analyzer, id_col, length)
+    write_postings(_in_blocks(count_terms(_with_whole(tokens)), blocks), f"{path}/postings")
+    return finish_index(docs.sparkSession, path, blocks)
 
 
-def index_for(vocabulary: DataFrame, docs: DataFrame, fields: list[str], analyzer: Analyzer, id_col: str = "id") -> TextIndex:
+def index_for(
+    vocabulary: DataFrame, docs: DataFrame, fields: list[str], analyzer: Analyzer, id_col: str = "id", block_docs: int = BLOCK_DOCS
+) -> TextIndex:
     """Postings of some terms only, for one batch of queries over unindexed documents.
 
     Written once to the shared folder, since the search reads them several times.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "postings")
+    blocks = _blocks(docs, block_docs)
     tokens = field_tokens(docs, fields, analyzer, id_col)
     wanted = vocabulary.unionByName(spark.createDataFrame([(WHOLE,)], "term string"))
-    count_terms(_with_whole(tokens), wanted).write.parquet(f"{path}/postings")
-    return _finish_index(spark, path)
+    _in_blocks(count_terms(_with_whole(tokens), wanted), blocks).write.parquet(f"{path}/postings")
+    return finish_index(spark, path, blocks)
+
+
+#: Ranges that the sorted dictionary is cut into, and characters of a range's first term that are kept.
+TERM_RANGES, RANGE_CHARS = 128, 32
+
+
+def terms_of_prefixes(dictionary: DataFrame, prefixes: DataFrame, ranges: int = TERM_RANGES) -> DataFrame:
+    """`prefix, term`: the dictionary's terms that begin with each prefix.
+
+    The dictionary (distinct ``term``) is cut into ranges of its sorted order, whose few
+    first terms are all that is gathered. Terms that begin with a prefix lie
+    between it and the prefix with the last character there is, so a prefix meets
+    the ranges between these two only.
+    """
+    dictionary = dictionary.select("term")
+    first = dictionary.repartitionByRange(ranges, "term").groupBy(F.spark_partition_id().alias("p")).agg(F.min("term").alias("t"))
+    bounds = sorted(r["t"] for r in first.select(F.substring("t", 1, RANGE_CHARS).alias("t")).collect())
+    starts = F.array(*[F.lit(b) for b in bounds]).cast("array<string>")
+
+    def place(x: Column) -> Column:
+        return F.size(F.filter(starts, lambda b: b <= x))
+
+    last = place(F.concat("prefix", F.lit("\U0010ffff")))
+    asked = prefixes.select("prefix").distinct().withColumn("_range", F.explode(F.sequence(place(F.col("prefix")), last)))
+    met = dictionary.withColumn("_range", place(F.col("term"))).join(asked, "_range")
+    return met.where(F.col("term").startswith(F.col("prefix"))).select("prefix", "term")
+
+
+def prefix_index(index: TextIndex, prefixes: DataFrame) -> TextIndex:
+    """An index in which each prefix is a term, made of the postings of the whole terms that begin with it."""
+    spark = prefixes.sparkSession
+    path = scratch_path(spark, "prefixes")
+    found = terms_of_prefixes(index.terms.select("term").distinct(), prefixes)
+    merged = (
+        index.postings.join(found, "term")
+        .groupBy("field", F.col("prefix").alias("term"), "block", "id", "dl")
+        .agg(F.sum("tf").alias("tf"))
+    )
+    merged.write.parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    document_frequency(postings).write.parquet(f"{path}/terms")
+    terms = spark.read.parquet(f"{path}/terms")
+    if index.impacts is None:
+        return TextIndex(postings, terms, index.stats)
+    block_impacts(postings, index.stats).write.parquet(f"{path}/impacts")
+    return TextIndex(postings, terms, index.stats, spark.read.parquet(f"{path}/impacts"))
 
 
 def field_stats(tokens: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from shelfspark.operators import dedup, hybrid, lexical, postings, rows, vectors
 from shelfspark.operators.models import TextEncoder
 from shelfspark.suite import derive as d
 from shelfspark.suite import sqltext as q
+from shelfspark.session import scratch_path
 from shelfspark.suite.registry import query
 
 FIELDS = list(lexical.SEARCH_BOOSTS)
@@ -30,6 +31,29 @@ def catalog_queries(spark, sf):
     return d.derive(spark, sf, d.CATALOG_QUERIES)
 
 
+_STORED = {}
+
+
+def once_stored(spark, sf, name, write):
+    """The path that ``write`` filled; the first query of a session that needs it writes it, the others read it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def search_index(spark, sf):
+    path = once_stored(spark, sf, "search-index", lambda p: lexical.SEARCH.store(docs(spark, sf), p))
+    return postings.TextIndex.load(spark, path)
+
+
+def catalog_index(spark, sf, rule, name):
+    path = once_stored(spark, sf, name, lambda p: rule.store(catalog(spark, sf), p))
+    return postings.TextIndex.load(spark, path)
+
+
 def big_rank(df):
     return df.withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -65,7 +89,7 @@ def _(spark, sf):
 
 @query("clause_match_score", BM25 + " SELECT query_id, field, id, matched, score FROM field_scores")
 def _(spark, sf):
-    scores = lexical.match_scores(queries(spark, sf), docs(spark, sf), lexical.SEARCH)
+    scores = lexical.match_scores(queries(spark, sf), search_index(spark, sf), lexical.SEARCH)
     return scores.withColumn("matched", F.col("matched").cast("bigint"))
 
 
@@ -74,12 +98,44 @@ def _(spark, sf):
     return lexical.best_field(lexical.match_scores(queries(spark, sf), docs(spark, sf), lexical.SEARCH))
 
 
+#: One word of each document is a query; some words are asked by many.
+WORDS_ASKED = "SELECT doc_id AS query_id, split_part(split_part(text, chr(10), 1), ' ', 3) AS query FROM documents WHERE text IS NOT NULL"
+
+
+@query(
+    "hot_postings_join",
+    BM25.replace(f"queries AS ({d.QUERIES})", f"queries AS ({WORDS_ASKED})")
+    + " SELECT query_id, term, count(*) AS held, CAST(sum(tf) AS BIGINT) AS times FROM clauses JOIN tf USING (term) WHERE field = 'description' GROUP BY ALL",
+)
+def _(spark, sf):
+    asked = lexical.query_clauses(d.derive(spark, sf, WORDS_ASKED)).withColumn("field", F.lit("description"))
+    index = search_index(spark, sf)
+    found = lexical.postings_join(index.postings, asked.select("query_id", "pos", "field", "term"), index.terms)
+    counted = found.groupBy("query_id", "pos", "term").agg(F.count("*").alias("held"), F.sum("tf").alias("times"))
+    return counted.groupBy("query_id", "term").agg(F.sum("held").alias("held"), F.sum("times").alias("times"))
+
+
 @query(
     "search_bm25",
     BM25 + " SELECT query_id, id, score, rank, title, product_resume AS resumen, price, description FROM ranked JOIN docs USING (id)",
 )
 def _(spark, sf):
-    return big_rank(lexical.search_bm25(queries(spark, sf), docs(spark, sf)))
+    return big_rank(lexical.search_bm25(queries(spark, sf), docs(spark, sf), index=search_index(spark, sf)))
+
+
+@query(
+    "search_bm25_blocks",
+    BM25 + " SELECT query_id, id, score, rank, title, product_resume AS resumen, price, description FROM ranked JOIN docs USING (id)",
+)
+def _(spark, sf):
+    """The same hits from an index of small blocks, most of which are left out by their bounds."""
+    path = once_stored(spark, sf, "block-index", lambda p: lexical.SEARCH.store(docs(spark, sf), p, block_docs=50))
+    return big_rank(lexical.search_bm25(queries(spark, sf), docs(spark, sf), index=postings.TextIndex.load(spark, path)))
+
+
+@query("search_bm25_unindexed", BM25 + " SELECT query_id, id, score, rank FROM ranked")
+def _(spark, sf):
+    return big_rank(lexical.search_bm25(queries(spark, sf), docs(spark, sf))).select("query_id", "id", "score", "rank")
 
 
 AUTO = CATALOG + "," + q.bm25("cat", "asked_for", q.RESUME, 1.0, 20)
@@ -87,7 +143,7 @@ AUTO = CATALOG + "," + q.bm25("cat", "asked_for", q.RESUME, 1.0, 20)
 
 @query("match_all_terms", AUTO + " SELECT query_id, id, score, rank, product_resume FROM ranked JOIN cat USING (id)")
 def _(spark, sf):
-    return big_rank(lexical.match_all_terms(catalog_queries(spark, sf), catalog(spark, sf), 20))
+    return big_rank(lexical.match_all_terms(catalog_queries(spark, sf), catalog(spark, sf), 20, index=catalog_index(spark, sf, lexical.ALL_TERMS, "catalog-index")))
 
 
 @query(
@@ -96,7 +152,7 @@ def _(spark, sf):
     + " SELECT query_id, id, score, rank, product_resume FROM ranked JOIN cat USING (id)",
 )
 def _(spark, sf):
-    return big_rank(lexical.match_prefix(catalog_queries(spark, sf), catalog(spark, sf), 10))
+    return big_rank(lexical.match_prefix(catalog_queries(spark, sf), catalog(spark, sf), 10, index=catalog_index(spark, sf, lexical.PREFIX, "prefix-index")))
 
 
 # --- Vectors ------------------------------------------------------------------------
@@ -171,15 +227,21 @@ combined AS (
 
 
 def with_vectors(spark, sf):
+    """Documents, their stored vectors, and the stored encoder that made these."""
     found = docs(spark, sf)
-    encoder = TextEncoder.fit(found, "description")
-    encoded = encoder.encode(found.select("id", "description"), "description", element="double")
-    return found, encoded.select("id", "embedding"), encoder
+
+    def write(path):
+        encoder = TextEncoder.fit(found, "description")
+        encoder.save(f"{path}/encoder")
+        encoder.encode(found.select("id", "description"), "description", element="double").select("id", "embedding").write.parquet(f"{path}/vectors")
+
+    path = once_stored(spark, sf, "doc-vectors", write)
+    return found, spark.read.parquet(f"{path}/vectors"), TextEncoder.load(f"{path}/encoder")
 
 
 @query("hybrid_search", BM25 + "," + EMBED + "SELECT * FROM combined")
 def _(spark, sf):
-    hits = hybrid.hybrid_search(queries(spark, sf), *with_vectors(spark, sf))
+    hits = hybrid.hybrid_search(queries(spark, sf), *with_vectors(spark, sf), index=search_index(spark, sf))
     return hits.withColumn("source_rank", F.col("source_rank").cast("bigint"))
 
 
@@ -200,7 +262,7 @@ final AS (SELECT c.query_id, c.id, c.title, c.description, c.price, c.url, c.res
 SELECT * FROM final WHERE rank <= 10""",
 )
 def _(spark, sf):
-    return big_rank(hybrid.search_and_rerank(queries(spark, sf), *with_vectors(spark, sf)).drop("source_rank"))
+    return big_rank(hybrid.search_and_rerank(queries(spark, sf), *with_vectors(spark, sf), index=search_index(spark, sf)).drop("source_rank"))
 
 
 MERGED = BM25 + "," + EMBED + """
@@ -216,7 +278,7 @@ def with_url(found):
 @query("hybrid_merged", MERGED)
 def _(spark, sf):
     found, encoded, encoder = with_vectors(spark, sf)
-    hits = hybrid.hybrid_search(queries(spark, sf), with_url(found), encoded, encoder, merge=True)
+    hits = hybrid.hybrid_search(queries(spark, sf), with_url(found), encoded, encoder, merge=True, index=search_index(spark, sf))
     return hits.withColumn("source_rank", F.col("source_rank").cast("bigint"))
 
 
@@ -233,7 +295,7 @@ def _(spark, sf):
 @query("search_limits", BM25 + " SELECT query_id, id, score, rank FROM ranked WHERE rank <= 1 + query_id % 7")
 def _(spark, sf):
     asked = queries(spark, sf).withColumn("limit", (1 + F.col("query_id") % 7).cast("int"))
-    hits = lexical.search_bm25(asked.select("query_id", "query"), docs(spark, sf))
+    hits = lexical.search_bm25(asked.select("query_id", "query"), docs(spark, sf), index=search_index(spark, sf))
     return big_rank(rows.limit_per_query(hits, asked)).select("query_id", "id", "score", "rank")
 
 

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import dedup, lexical, skew, vectors
+from shelfspark.functions import strings
+from shelfspark.operators import dedup, lexical, postings, skew, vectors
 from shelfspark.operators.hybrid import search_and_rerank
 from shelfspark.operators.models import TextEncoder
 from shelfspark.operators.postings import store_index
@@ -79,9 +80,72 @@ def test_hot_keys_are_split_without_losing_rows(spark):
     big = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i}", i) for i in range(300)], "k string, id long")
     small = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("k1", "c")], "k string, v string")
     sizes = big.groupBy("k").agg(F.count("*").alias("df"))
-    got = skew.spread_join(big, small, ["k"], sizes, "id", per_split=10)
     want = big.join(small, "k")
-    assert sorted(map(tuple, got.select("k", "id", "v").collect())) == sorted(map(tuple, want.select("k", "id", "v").collect()))
+    for how in ({"per_split": 10}, {"small_per_split": 1}, {"pairs_per_split": 7}, {"per_split": 30, "small_per_split": 1, "pairs_per_split": 20}):
+        got = skew.spread_join(big, small, ["k"], sizes, "id", "v", **how)
+        assert sorted(map(tuple, got.select("k", "id", "v").collect())) == sorted(map(tuple, want.select("k", "id", "v").collect()))
+
+
+def test_a_term_asked_by_many_queries_spreads_over_tasks(spark):
+    postings = spark.range(400).selectExpr("'f' AS field", "'hot' AS term", "id")
+    asked = spark.range(100_000).selectExpr("id AS query_id", "'f' AS field", "'hot' AS term")
+    sizes = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    splits = skew.key_splits(asked, ["field", "term"], sizes, 1000, 10_000, 1_000_000).first()
+    assert splits["_a"] * splits["_b"] >= 40
+    joined = skew.spread_join(postings, asked, ["field", "term"], sizes, "id", "query_id", 1000, 10_000, 1_000_000)
+    tasks = joined.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 40_000_000
+    assert max(r["count"] for r in tasks) < 0.4 * 40_000_000 and len(tasks) >= 6
+
+
+def test_equal_queries_are_answered_alike(spark):
+    docs = spark.createDataFrame([(i, f"green kettle {i}") for i in range(30)], "id long, product_resume string")
+    asked = spark.createDataFrame([(9, "kettle"), (4, "kettle"), (5, "green kettle 7"), (6, None)], "query_id long, query string")
+    hits = {}
+    for r in lexical.match_all_terms(asked, docs, 5).collect():
+        hits.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    assert sorted(hits) == [4, 5, 9] and sorted(hits[4]) == sorted(hits[9]) and len(hits[4]) == 5 and len(hits[5]) == 1
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_blocks_are_left_out_without_changing_hits(spark, size):
+    words = [f"w{i}" for i in range(60)]
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(words, p=np.arange(60, 0, -1) / 1830, size=rng.integers(3, 30))), "x " + words[i % 60]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "id long, description string, title string").withColumn("product_resume", F.lit("common word"))
+    asked = spark.createDataFrame([(0, "w1 w50 w51"), (1, "w59"), (2, "common"), (3, "w0 w0 w58 w57"), (4, "absent"), (5, "")], "query_id long, query string")
+    plain = lexical.SEARCH.store(docs, scratch_path(spark, "plain"))
+    blocked = lexical.SEARCH.store(docs, scratch_path(spark, "blocked"), block_docs=30)
+    assert plain.impacts is None and blocked.impacts is not None
+    got, want = (sorted(map(tuple, lexical.top_scores(asked, index, lexical.SEARCH, size).collect())) for index in (blocked, plain))
+    assert got == want and len(want) > 3
+    if size == 1:
+        clauses = lexical.query_clauses(asked)
+        weighted = lexical._weights(clauses, blocked, lexical.SEARCH)
+        bounds = lexical.block_bounds(weighted, blocked)
+        first = lexical.topk(bounds, lexical.FIRST_BLOCKS, ["query_id"], [F.col("bound").desc(), F.col("block"), F.col("field")])
+        again = lexical.open_blocks(bounds, first, lexical._field_scores(weighted, blocked, first), size)
+        counts = [{r["query_id"]: r["count"] for r in x.groupBy("query_id").count().collect()} for x in (bounds, again)]
+        # All titles are of one length, so blocks that tie with the cutoff have to be read too.
+        assert counts[0][1] > 50 and counts[1].get(1, 0) < 0.7 * counts[0][1]
+
+
+def test_prefixes_are_ranges_of_whole_terms(spark):
+    words = ["a", "ab", "abc", "abd", "b", "é", "日本", "zeta9", "z" * 25, "ab\U0010ffffx"]
+    docs = spark.createDataFrame([(i, f"{w} {words[i - 1]} {w}") for i, w in enumerate(words)], "id long, product_resume string")
+    index = lexical.PREFIX.store(docs, scratch_path(spark, "prefix"))
+    terms = index.terms.select("term").distinct()
+    assert index.postings.count() <= 2 * len(words) + 2  # whole terms, not their prefixes
+    prefixes = ["a", "ab", "abc", "z", "é", "日", "q", "zet"]
+    asked = spark.createDataFrame([(p,) for p in prefixes], "prefix string")
+    all_terms = [r["term"] for r in terms.collect()]
+    for ranges in (1, 3, 50):
+        got = sorted(map(tuple, postings.terms_of_prefixes(terms, asked, ranges).collect()))
+        assert got == sorted((p, t) for p in prefixes for t in all_terms if t.startswith(p))
+    by_ngrams = lexical.MatchRule({"product_resume": 1.0}, 1.0, strings.edge_ngrams, strings.letter_tokens)
+    queries = spark.createDataFrame([(i, p) for i, p in enumerate([*prefixes, "z" * 25, "a z", "ab a"])], "query_id long, query string")
+    got, want = (sorted(map(tuple, lexical.top_scores(queries, docs, rule, 10).collect())) for rule in (lexical.PREFIX, by_ngrams))
+    assert got == want and want
 
 
 @pytest.mark.parametrize("seed", [0, 1])
