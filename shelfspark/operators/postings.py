@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.strings import analyze
-from shelfspark.session import scratch_path
+from shelfspark.session import kept, scratch_path
 
 Analyzer = Callable[[Column], Column]
 
@@ -100,15 +100,24 @@ class TextIndex:
         return TextIndex(postings.where(F.col("term") != WHOLE), terms, stats, None if impacts.isEmpty() else impacts)
 
 
-def finish_index(spark: SparkSession, path: str, blocks: int) -> TextIndex:
-    """Writes what follows from the postings at ``path``."""
-    stored = spark.read.parquet(f"{path}/postings")
+
+def finish_index(postings: DataFrame, path: str, blocks: int) -> TextIndex:
+    """Writes what follows from ``postings``, which were written to ``path``."""
+    spark = postings.sparkSession
+    stored = spark.read.schema(postings.schema).parquet(f"{path}/postings")
     words = stored.where(F.col("term") != WHOLE)
-    document_frequency(words).write.mode("overwrite").parquet(f"{path}/terms")
-    field_stats(stored.where(F.col("term") == WHOLE)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    stats = spark.read.parquet(f"{path}/stats")
-    block_impacts(words if blocks > 1 else words.limit(0), stats).write.mode("overwrite").parquet(f"{path}/impacts")
-    return TextIndex.load(spark, path)
+
+    def written(part: DataFrame, name: str) -> DataFrame:
+        part.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(part.schema).parquet(f"{path}/{name}")
+
+    terms = written(document_frequency(words), "terms")
+    stats = written(field_stats(stored.where(F.col("term") == WHOLE)).coalesce(1), "stats")
+    impacts = block_impacts(words, stats)
+    if blocks == 1:
+        written(spark.createDataFrame([], impacts.schema), "impacts")
+        return TextIndex(words, terms, stats)
+    return TextIndex(words, terms, stats, written(impacts, "impacts"))
 
 
 def block_impacts(postings: DataFrame, stats: DataFrame) -> DataFrame:
@@ -137,8 +146,9 @@ def store_index(
     """Writes the full index, to be searched any number of times."""
     blocks = _blocks(docs, block_docs)
     tokens = field_tokens(docs, fields, analyzer, id_col, length)
-    write_postings(_in_blocks(count_terms(_with_whole(tokens)), blocks), f"{path}/postings")
-    return finish_index(docs.sparkSession, path, blocks)
+    postings = _in_blocks(count_terms(_with_whole(tokens)), blocks)
+    write_postings(postings, f"{path}/postings")
+    return finish_index(postings, path, blocks)
 
 
 def index_for(
@@ -153,8 +163,9 @@ def index_for(
     blocks = _blocks(docs, block_docs)
     tokens = field_tokens(docs, fields, analyzer, id_col)
     wanted = vocabulary.unionByName(spark.createDataFrame([(WHOLE,)], "term string"))
-    _in_blocks(count_terms(_with_whole(tokens), wanted), blocks).write.parquet(f"{path}/postings")
-    return finish_index(spark, path, blocks)
+    postings = _in_blocks(count_terms(_with_whole(tokens), wanted), blocks)
+    postings.write.parquet(f"{path}/postings")
+    return finish_index(postings, path, blocks)
 
 
 #: Ranges that the sorted dictionary is cut into, and characters of a range's first term that are kept.
@@ -185,22 +196,16 @@ def terms_of_prefixes(dictionary: DataFrame, prefixes: DataFrame, ranges: int =
 
 def prefix_index(index: TextIndex, prefixes: DataFrame) -> TextIndex:
     """An index in which each prefix is a term, made of the postings of the whole terms that begin with it."""
-    spark = prefixes.sparkSession
-    path = scratch_path(spark, "prefixes")
     found = terms_of_prefixes(index.terms.select("term").distinct(), prefixes)
     merged = (
         index.postings.join(found, "term")
         .groupBy("field", F.col("prefix").alias("term"), "block", "id", "dl")
         .agg(F.sum("tf").alias("tf"))
     )
-    merged.write.parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    document_frequency(postings).write.parquet(f"{path}/terms")
-    terms = spark.read.parquet(f"{path}/terms")
-    if index.impacts is None:
-        return TextIndex(postings, terms, index.stats)
-    block_impacts(postings, index.stats).write.parquet(f"{path}/impacts")
-    return TextIndex(postings, terms, index.stats, spark.read.parquet(f"{path}/impacts"))
+    postings = kept(merged, "prefix-postings")
+    terms = kept(document_frequency(postings), "prefix-terms")
+    impacts = None if index.impacts is None else kept(block_impacts(postings, index.stats), "prefix-impacts")
+    return TextIndex(postings, terms, index.stats, impacts)
 
 
 def field_stats(tokens: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, however often it is used."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -35,23 +35,19 @@ _STORED = {}
 
 
 def once_stored(spark, sf, name, write):
-    """The path that ``write`` filled; the first query of a session that needs it writes it, the others read it."""
+    """What ``write`` stored at a path; the first query of a session that needs it writes it, the others use it."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STORED:
-        path = scratch_path(spark, name)
-        write(path)
-        _STORED[key] = path
+        _STORED[key] = write(scratch_path(spark, name))
     return _STORED[key]
 
 
 def search_index(spark, sf):
-    path = once_stored(spark, sf, "search-index", lambda p: lexical.SEARCH.store(docs(spark, sf), p))
-    return postings.TextIndex.load(spark, path)
+    return once_stored(spark, sf, "search-index", lambda p: lexical.SEARCH.store(docs(spark, sf), p))
 
 
 def catalog_index(spark, sf, rule, name):
-    path = once_stored(spark, sf, name, lambda p: rule.store(catalog(spark, sf), p))
-    return postings.TextIndex.load(spark, path)
+    return once_stored(spark, sf, name, lambda p: rule.store(catalog(spark, sf), p))
 
 
 def big_rank(df):
@@ -129,8 +125,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """The same hits from an index of small blocks, most of which are left out by their bounds."""
-    path = once_stored(spark, sf, "block-index", lambda p: lexical.SEARCH.store(docs(spark, sf), p, block_docs=50))
-    return big_rank(lexical.search_bm25(queries(spark, sf), docs(spark, sf), index=postings.TextIndex.load(spark, path)))
+    index = once_stored(spark, sf, "block-index", lambda p: lexical.SEARCH.store(docs(spark, sf), p, block_docs=50))
+    return big_rank(lexical.search_bm25(queries(spark, sf), docs(spark, sf), index=index))
 
 
 @query("search_bm25_unindexed", BM25 + " SELECT query_id, id, score, rank FROM ranked")
@@ -234,9 +230,9 @@ def with_vectors(spark, sf):
         encoder = TextEncoder.fit(found, "description")
         encoder.save(f"{path}/encoder")
         encoder.encode(found.select("id", "description"), "description", element="double").select("id", "embedding").write.parquet(f"{path}/vectors")
+        return spark.read.parquet(f"{path}/vectors"), TextEncoder.load(f"{path}/encoder")
 
-    path = once_stored(spark, sf, "doc-vectors", write)
-    return found, spark.read.parquet(f"{path}/vectors"), TextEncoder.load(f"{path}/encoder")
+    return found, *once_stored(spark, sf, "doc-vectors", write)
 
 
 @query("hybrid_search", BM25 + "," + EMBED + "SELECT * FROM combined")
