@@ -91,37 +91,41 @@ class Tokenizers:
     def __init__(self, path_a: str, path_b: str, pattern: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
-        import tiktoken
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        with open(path_a, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         byte = byte_of_char()
-        by_id = {i: t for t, i in self.a.get_vocab().items()}
+        by_id = {i: t for t, i in (spec["model"]["vocab"] | added).items()}
         spelled = lambda t: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
         self.a_bytes = [spelled(by_id.get(i, "")) for i in range(max(by_id) + 1)]
+        self.a = self.fast = None
+        if pattern and self._ranked(spec):
+            import tiktoken
+
+            ranks = {self.a_bytes[i]: i for i in spec["model"]["vocab"].values()}
+            self.fast = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        else:
+            from tokenizers import Tokenizer
+
+            self.a = Tokenizer.from_file(path_a)
+            self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.parts_certain = not any(re.search("[^▁]▁", p) for p in pieces)
         self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.a_text = [np.array([f"{i}{sep}" for i in range(len(self.a_bytes))], "S") for sep in ",|"]
         self.b_text = [np.array([f"{i}{sep}" for i in range(len(self.b_bytes))], "S") for sep in ",;"]
-        ranks = self._ranks(path_a) if pattern else None
-        self.fast = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
     @staticmethod
-    def _ranks(path: str) -> dict[bytes, int] | None:
-        """Ranks of a byte-level vocabulary whose merges are in the order of their ids, else none."""
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, cut, byte = spec["model"], spec.get("pre_tokenizer") or {}, byte_of_char()
+    def _ranked(spec: dict) -> bool:
+        """Is it a byte-level vocabulary whose merges are in the order of their ids?"""
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
         plain = not spec.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
         plain = plain and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
         merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
-        if not plain or merged != sorted(merged) or len(merged) + 256 != len(model["vocab"]):
-            return None
-        return {bytes(byte[c] for c in t): i for t, i in model["vocab"].items()}
+        return plain and merged == sorted(merged) and len(merged) + 256 == len(model["vocab"])
 
     def encode(self, texts: list[str | None]) -> tuple[Tokens, Tokens, np.ndarray]:
         """Tokens of both sides, and whether a text has any: those of texts that a side doesn't spell are left out."""
@@ -219,7 +223,7 @@ def align_texts(both: Tokenizers, texts: list[str | None], with_groups: bool) ->
     upto = lambda values: np.diff(np.searchsorted(values, row_ends, "right"), prepend=0)
     n_groups, n_links = upto(ends.common), upto(ends.every)
     bounds = np.concatenate([[0], places])[np.cumsum(n_groups)]
-    rows = [text[lo : hi - 1] for lo, hi in zip([0, *bounds[:-1]], bounds)]
+    rows = [text[lo : hi - 1] if hi > lo else b"" for lo, hi in zip([0, *bounds[:-1]], bounds)]
     out = [pa.array(x, pa.int64()) for x in (a.counts, b.counts, n_groups, n_links)]
     most = len(both.a_bytes) * len(both.b_bytes)
     out += distinct_pairs(np.repeat(np.arange(len(texts)), n_links), both.pairs(a, b, ends), len(texts), most)
