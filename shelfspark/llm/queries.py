@@ -182,13 +182,17 @@ FROM b
 
 @query("op10_quality_rules", OP10_SQL)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    measured = quality.measures(docs).drop("text")
-    rules = quality.rule_order(docs)
-    return measured.select(
-        "*",
+    # The verdict is the cascade's; the base counts are asked for of every row, rejected or not.
+    judged = quality.cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality.measures(judged).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
         (quality.MEASURED["few_words"]() | quality.MEASURED["repetitive"]()).alias("base_failed"),
-        quality.first_rejection(rules).isNull().alias("kept"),
+        F.col("rejected_by").isNull().alias("kept"),
     )
 
 
