@@ -6,8 +6,11 @@ rules, not imitations of those models.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import IDF, CountVectorizerModel, IDFModel, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -24,30 +27,64 @@ from shelfspark.session import with_computed
 DIMS = 1536
 BATCH = 32
 
-TextModel = Callable[[Sequence[str]], Sequence[str]]
+TextModel = Callable[[Sequence[str]], Sequence]
+
+
+class _Patient:
+    """A model called with retries, each after a longer wait, and at most so many texts a second."""
+
+    def __init__(self, model: TextModel, retries: int, wait: float, texts_per_second: float | None):
+        self.model, self.retries, self.wait, self.rate = model, retries, wait, texts_per_second
+        self.free_at = 0.0
+
+    def __call__(self, texts: list[str]) -> list:
+        for attempt in range(self.retries + 1):
+            if self.rate:
+                time.sleep(max(0.0, self.free_at - time.monotonic()))
+                self.free_at = time.monotonic() + len(texts) / self.rate
+            try:
+                answers = list(self.model(texts))
+                if len(answers) != len(texts):
+                    raise ValueError(f"{len(answers)} answers to {len(texts)} texts")
+                return answers
+            except Exception:
+                if attempt == self.retries:
+                    raise
+                time.sleep(self.wait * 2**attempt)
+        raise AssertionError
 
 
 def apply_text_model(
-    df: DataFrame, text: str, out: str, factory: Callable[[], TextModel], batch_size: int = BATCH
+    df: DataFrame,
+    text: str,
+    out: str,
+    factory: Callable[[], TextModel],
+    batch_size: int = BATCH,
+    returns: str = "string",
+    retries: int = 0,
+    wait: float = 0.5,
+    texts_per_second: float | None = None,
 ) -> DataFrame:
-    """Adds ``out`` and ``{out}_error`` from a model that reads lists of texts.
+    """Adds ``out``, of type ``returns``, and ``{out}_error`` from a model that reads lists of texts.
 
-    ``factory`` runs once per Python worker. If a call fails, its texts are tried
-    one by one, so a bad text only marks its own row. Null texts are not sent.
+    ``factory`` runs once per Python worker. A failed call is repeated ``retries`` times,
+    after ``wait`` seconds and then twice as long each time; then its texts are tried one by one, so
+    a bad text only marks its own row. Answers may be text, numbers or arrays
+    (an encoder's vectors). ``texts_per_second`` holds for each worker. Null texts are not sent.
     """
 
-    @F.pandas_udf("struct<value: string, error: string>")
+    @F.pandas_udf(f"struct<value: {returns}, error: string>")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        model = _Patient(factory(), retries, wait, texts_per_second)
 
-        def one(item: str) -> tuple[str | None, str | None]:
+        def one(item: str) -> tuple:
             try:
                 return model([item])[0], None
             except Exception as exc:
                 return None, f"{type(exc).__name__}: {exc}"
 
         for texts in batches:
-            answers: list[tuple[str | None, str | None]] = []
+            answers: list[tuple] = []
             present = texts.dropna()
             for start in range(0, len(present), batch_size):
                 chunk = present.iloc[start : start + batch_size].tolist()
@@ -55,8 +92,10 @@ def apply_text_model(
                     answers.extend((a, None) for a in model(chunk))
                 except Exception:
                     answers.extend(map(one, chunk))
-            frame = pd.DataFrame(answers, index=present.index, columns=["value", "error"], dtype=object)
-            yield frame.reindex(texts.index).astype(object).where(lambda f: f.notna(), None)
+            frame = pd.DataFrame({"value": pd.Series([a for a, _ in answers], present.index, object), "error": pd.Series([e for _, e in answers], present.index, object)})
+            frame = frame.reindex(texts.index).astype(object)
+            # Missing rows are None, not NaN, which an array column can't hold.
+            yield pd.DataFrame({c: pd.Series([None if isinstance(v, float) and np.isnan(v) else v for v in frame[c]], frame.index, object) for c in frame})
 
     return (
         df.withColumn("_m", call(F.col(text)))
@@ -66,6 +105,28 @@ def apply_text_model(
     )
 
 
+@dataclass(frozen=True)
+class ModelEncoder:
+    """An encoder that lives outside: a model from texts to vectors. It stands wherever a :class:`TextEncoder` does.
+
+    A text that the model fails on gets no vector, so a later backfill asks for it again.
+    """
+
+    factory: Callable[[], TextModel]
+    batch_size: int = BATCH
+    retries: int = 2
+    wait: float = 0.5
+    texts_per_second: float | None = None
+
+    def encode(self, df: DataFrame, text: str, out: str = "embedding", element: str = "float") -> DataFrame:
+        """Adds ``out``, an array of ``element`` numbers; null text gives null."""
+        asked = apply_text_model(
+            df, text, out, self.factory, self.batch_size, f"array<{element}>", self.retries, self.wait, self.texts_per_second
+        )
+        # Called once per row, however often the vector is used.
+        return with_computed(asked.drop(f"{out}_error"), **{out: F.col(out)})
+
+
 def _buckets(text: Column, dims: int) -> Column:
     """Each token's bucket number, as text: the first 32 bits of its MD5, modulo ``dims``."""
     return F.transform(
@@ -154,6 +215,7 @@ def generate_context(title: Column, description: Column) -> Column:
 __all__ = [
     "BATCH",
     "DIMS",
+    "ModelEncoder",
     "TextEncoder",
     "apply_text_model",
     "generate_context",

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from shelfspark.functions.fields import price_error
 from shelfspark.operators.keyed_writes import partial_update, put_by_id, upsert
 from shelfspark.operators.metrics import observed, run_record
-from shelfspark.operators.models import TextEncoder, generate_context, summarize_title
+from shelfspark.operators.models import ModelEncoder, TextEncoder, generate_context, summarize_title
 from shelfspark.operators.rows import (
     needs_embedding,
     nonempty_text,
@@ -117,10 +117,13 @@ def refresh_context(
     return partial_update(products, updates, "url", columns, ["context_updated_at", "product_context"])[0]
 
 
-def backfill_embeddings(products: DataFrame, encoder: TextEncoder, path: str, text: str = "product_context") -> DataFrame:
+def backfill_embeddings(
+    products: DataFrame, encoder: TextEncoder | ModelEncoder, path: str, text: str = "product_context"
+) -> DataFrame:
     """Embeds products that lack a vector, writes the new table to ``path``, returns the run record.
 
-    The vectors are counted by the job that writes them. A failure ends the run and is kept in its record.
+    The vectors are counted by the job that writes them. A text that the encoder fails on
+    stays pending; a failure of the job ends the run and is kept in its record.
     """
     started = datetime.now(timezone.utc)
     element = products.schema["description_embedding"].dataType.elementType.simpleString()
@@ -129,7 +132,7 @@ def backfill_embeddings(products: DataFrame, encoder: TextEncoder, path: str, te
         # Nothing to encode or to count: the table goes on as it is.
         return _backfilled(products, path, started, lambda: 0)
     encoded = encoder.encode(pending, text, "description_embedding", element).select("url", "description_embedding")
-    counted, watch = observed(encoded, n=F.count("*"))
+    counted, watch = observed(encoded, n=F.count("description_embedding"))
     embedded = partial_update(products, counted, "url", ["description_embedding"], ["url", "description_embedding"])[0]
     return _backfilled(embedded, path, started, lambda: watch.get["n"])
 

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from shelfspark.operators.models import TextEncoder
+from shelfspark.operators.models import ModelEncoder, TextEncoder
 from shelfspark.plans import catalog as cat
 from shelfspark.plans import crawl
 from shelfspark.schema import LIST_FIELDS
@@ -121,6 +121,26 @@ def _(spark, sf):
     return stored.select(F.lit(processed).cast("bigint").alias("processed_count"), "with_vector", "products")
 
 
+def letter_counts():
+    """A small model from outside: a text's length and its numbers of three letters."""
+    return lambda texts: [[float(len(t)), *(float(t.count(c)) for c in "aei")] for t in texts]
+
+
+@query(
+    "backfill_with_model",
+    f"""WITH p AS ({EMBEDDABLE}) SELECT 'doc:' || doc_id AS url, CAST(length(product_context) AS DOUBLE) AS length,
+      CAST(length(product_context) - length(replace(product_context, 'e', '')) AS DOUBLE) AS e FROM p
+    WHERE NOT has_vector AND description IS NOT NULL AND coalesce(product_context, '') <> ''""",
+)
+def _(spark, sf):
+    """Vectors of a model that lives outside, for the products that lack one."""
+    products = embeddable(spark, sf).withColumn("url", F.concat(F.lit("doc:"), F.col("doc_id")))
+    path = scratch_path(spark, "embedded-by-model")
+    cat.backfill_embeddings(products, ModelEncoder(letter_counts), path)
+    made = spark.read.parquet(path).where(F.size("description_embedding") == 4)
+    return made.select("url", *[F.col("description_embedding")[i].cast("double").alias(n) for i, n in ((0, "length"), (2, "e"))])
+
+
 #: No page of the given tables links to `/p/<digits>`, so any rooted link that ends in a letter counts.
 LINK_RULE = {"inside": "/", "path_pattern": "[a-z]$"}
 DISCOVERED = f"""

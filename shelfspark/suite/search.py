@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.strings import analyze
 from shelfspark.operators import dedup, hybrid, lexical, postings, rows, vectors
 from shelfspark.operators.models import TextEncoder
+from shelfspark.operators.vector_index import VectorIndex
 from shelfspark.suite import derive as d
 from shelfspark.suite import sqltext as q
 from shelfspark.session import scratch_path
@@ -195,6 +196,15 @@ SELECT query_id, id, similarity, rank FROM ranked WHERE rank <= 10
 
 @query("semantic_search_ann", PROBED)
 def _(spark, sf):
+    """Over a stored index, which the first query of a session builds."""
+    asked, vecs = stored_vectors(spark, sf)
+    index = once_stored(spark, sf, "vector-index", lambda p: VectorIndex.build(vecs, p, n_cells=32))
+    return big_rank(index.search(asked, k=10, n_probe=8))
+
+
+@query("semantic_search_cells", PROBED)
+def _(spark, sf):
+    """The same without an index: cells are made for this call."""
     return big_rank(vectors.semantic_search_ann(*stored_vectors(spark, sf), k=10, n_cells=32, n_probe=8))
 
 

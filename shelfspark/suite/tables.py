@@ -14,6 +14,7 @@ from shelfspark.operators.rows import stamp_updated_at
 from shelfspark.plans.catalog import load_catalog, load_errors
 from shelfspark.session import scratch_path
 from shelfspark.sources import tables as tb
+from shelfspark.sources.keyed_tables import KeyedTable
 from shelfspark.sources.catalog_csv import scan_catalog_csv, write_catalog_csv
 from shelfspark.sources.pages import scan_pages, with_content
 from shelfspark.sources.text_dump import append_text_dump
@@ -106,6 +107,31 @@ def _(spark, sf):
     return kw.upsert(users(spark, sf), updates(spark, sf), "url", ["seq"])
 
 
+def users_by_bucket(spark, sf):
+    return KeyedTable.create(users(spark, sf), scratch_path(spark, "users"), "url", 16)
+
+
+@query(
+    "merge_by_bucket",
+    UPDATED + "SELECT * FROM newest UNION ALL SELECT * FROM target WHERE url NOT IN (SELECT url FROM newest)",
+)
+def _(spark, sf):
+    table = users_by_bucket(spark, sf)
+    table.upsert(updates(spark, sf), ["seq"])
+    return table.read(spark)
+
+
+@query(
+    "update_by_bucket",
+    UPDATED + """SELECT t.url, coalesce(n.title, t.title) AS title, CASE WHEN n.url IS NULL THEN t.price ELSE n.price END AS price, t.seq,
+      (SELECT count(*) FROM newest WHERE url NOT IN (SELECT url FROM target)) AS unmatched FROM target t LEFT JOIN newest n ON n.url = t.url""",
+)
+def _(spark, sf):
+    table = users_by_bucket(spark, sf)
+    merged = table.update(updates(spark, sf), ["title", "price"], ["seq"])
+    return table.read(spark).withColumn("unmatched", F.lit(merged.unmatched.count()).cast("bigint"))
+
+
 @query(
     "put_by_id",
     UPDATED + "SELECT url, CASE WHEN url IN (SELECT url FROM target) THEN 'updated' ELSE 'created' END AS outcome FROM newest",

@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from shelfspark.operators import dedup, lexical, postings, skew, vectors
 from shelfspark.operators.hybrid import search_and_rerank
 from shelfspark.operators.models import TextEncoder
 from shelfspark.operators.postings import store_index
+from shelfspark.operators.vector_index import VectorIndex
 from shelfspark.session import scratch_path
 
 WORDS = ["red", "blue", "ring", "bolt", "the", "the", "the", "old", "new", "gear"]
@@ -281,3 +283,45 @@ def test_list_dedup_and_scopes(spark):
 def test_low_thresholds_are_refused(spark):
     with pytest.raises(ValueError):
         dedup.dedup_catalog(spark.createDataFrame([(1, "a")], "ord long, text string"), 60)
+
+
+def test_stored_vector_index_has_recall_and_takes_appends(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(40, 32))
+    base = centers[rng.integers(0, 40, 4000)] + rng.normal(scale=0.35, size=(4000, 32))
+    base[:1300] = base[0] + rng.normal(scale=1e-3, size=(1300, 32))  # a third in one place
+    def frame(rows):
+        return spark.createDataFrame([(int(i), base[i].tolist()) for i in rows], "id long, embedding array<double>")
+
+    path = scratch_path(spark, "vector-index")
+    VectorIndex.build(frame(range(3000)), path, n_cells=40)
+    index = VectorIndex.load(spark, path)
+    model = sorted(f.name for f in (Path(path) / "model").glob("part-*"))
+    written = {f for f in (Path(path) / "cells").rglob("part-*")}
+    odd = spark.createDataFrame([(9000, None), (9001, [0.0] * 32), (9002, [1.0])], "id long, embedding array<double>")
+    index.append(frame(range(3000, 4000)).unionByName(odd))
+    assert written <= {f for f in (Path(path) / "cells").rglob("part-*")}  # nothing was rebuilt
+    assert model == sorted(f.name for f in (Path(path) / "model").glob("part-*"))
+    assert index.rows(spark).count() == 4000
+    ids = [*range(1500, 4000, 50)]
+    asked = frame(ids).withColumnRenamed("id", "query_id")
+    unit = (base / np.linalg.norm(base, axis=1)[:, None]).astype(np.float64)
+    got = {}
+    for r in index.search(asked, 10, n_probe=12).collect():
+        got.setdefault(r["query_id"], {})[r["id"]] = r["similarity"]
+    found = 0
+    for q in ids:
+        want = np.argsort(-(unit @ unit[q]), kind="stable")[:10]
+        found += len(set(want.tolist()) & set(got[q]))
+        assert len(got[q]) == 10
+        assert all(abs(s - (1 + unit[i] @ unit[q]) / 2) < 1e-4 for i, s in got[q].items())
+    assert found >= 0.95 * 10 * len(ids)
+
+
+def test_vector_index_of_nothing(spark):
+    empty = spark.createDataFrame([], "id long, embedding array<double>")
+    index = VectorIndex.build(empty, scratch_path(spark, "empty-index"), dims=3)
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id long, embedding array<double>")
+    assert index.search(asked, 5).collect() == []
+    index.append(spark.createDataFrame([(5, [0.0, 2.0, 0.0])], "id long, embedding array<double>"))
+    assert [(r["id"], r["similarity"]) for r in index.search(asked, 5).collect()] == [(5, 0.5)]

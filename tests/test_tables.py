@@ -1,4 +1,6 @@
+import time
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,13 +8,14 @@ from pyspark.sql import functions as F
 from shelfspark.functions.answers import with_parsed_answer, with_product_columns
 from shelfspark.operators import keyed_writes as kw
 from shelfspark.operators import metrics
-from shelfspark.operators.models import TextEncoder
+from shelfspark.operators.models import ModelEncoder, TextEncoder, _Patient
 from shelfspark.operators.rows import split_bad_rows
 from shelfspark.plans import catalog as cat
 from shelfspark.schema import PRODUCT, RAW_CATALOG
 from shelfspark.session import scratch_path
 from shelfspark.sources import tables as tb
 from shelfspark.sources.catalog_csv import scan_catalog_csv, write_catalog_csv
+from shelfspark.sources.keyed_tables import KeyedTable
 from shelfspark.sources.text_dump import append_text_dump
 
 
@@ -119,6 +122,67 @@ def test_backfill_with_nothing_pending(spark):
         assert spark.read.parquet(path).count() == rows
 
 
+def bucket_files(path):
+    return {str(f.relative_to(path)) for f in Path(path).rglob("part-*.parquet")}
+
+
+def test_merges_leave_other_buckets_alone(spark):
+    path = scratch_path(spark, "keyed")
+    rows = [(f"u{i}", i, "old") for i in range(300)]
+    schema = "url string, v int, note string"
+    table = KeyedTable.create(spark.createDataFrame(rows, schema), path, "url", 16)
+    before = bucket_files(path)
+    # One key many times, and one new key.
+    hot = [("u7", i, "new") for i in range(200)] + [("brand-new", 1, "new")]
+    merged = table.upsert(spark.createDataFrame(hot, schema), ["v"])
+    after = bucket_files(path)
+    assert 1 <= len(merged.buckets) <= 2
+    touched = {f"key_bucket={b}" for b in merged.buckets}
+    assert {f for f in before ^ after if f.split("/")[0] not in touched} == set() and before - after
+    want = {u: (v, n) for u, v, n in rows} | {"u7": (199, "new"), "brand-new": (1, "new")}
+    assert {r["url"]: (r["v"], r["note"]) for r in table.read(spark).collect()} == want and table.read(spark).count() == 301
+
+    changed = table.update(spark.createDataFrame([("u9", "x"), ("nobody", "x")], "url string, note string"), ["note"], ["note"])
+    assert [r["url"] for r in changed.unmatched.collect()] == ["nobody"] and len(changed.buckets) == 1
+    assert {r["url"]: (r["v"], r["note"]) for r in table.read(spark).collect()} == want | {"u9": (9, "x")}
+    none = table.update(spark.createDataFrame([("nobody", "x")], "url string, note string"), ["note"], ["note"])
+    kept_files = bucket_files(path)
+    assert none.buckets == [] and table.upsert(table.read(spark).limit(0), ["v"]).buckets == [] and bucket_files(path) == kept_files
+
+
+def test_model_encoder_fills_vectors_and_leaves_failures_pending(spark):
+    def factory():
+        seen = []
+
+        def model(texts):
+            seen.append(texts)
+            if len(seen) == 1:
+                raise OSError("busy")  # the first call of a worker fails and is repeated
+            if any("bad" in t for t in texts):
+                raise ValueError("unreadable")
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    rows = [{"url": f"u{i}", "description": "d", "product_context": "bad text" if i == 3 else "x" * (i + 1)} for i in range(8)] + [{"url": "none"}]
+    products = spark.createDataFrame(rows, PRODUCT).coalesce(1)
+    path = scratch_path(spark, "by-model")
+    run = cat.backfill_embeddings(products, ModelEncoder(factory, batch_size=3, retries=1, wait=0.01), path).first()
+    got = {r["url"]: r["description_embedding"] for r in spark.read.parquet(path).collect()}
+    assert got == {f"u{i}": None if i == 3 else [i + 1.0, 1.0] for i in range(8)} | {"none": None}
+    assert (run["processed_count"], run["error"]) == (7, None)
+
+
+def test_texts_a_second_are_held(spark):
+    model = _Patient(lambda texts: texts, 0, 0.0, 100.0)
+    start = time.monotonic()
+    for _ in range(4):
+        model(["a"] * 10)
+    assert time.monotonic() - start >= 0.28
+    with pytest.raises(ValueError):
+        _Patient(lambda texts: [], 0, 0.0, None)(["a"])
+
+
 def test_bulk_load_counts(spark):
     df = spark.createDataFrame([(1, None), (2, "bad"), (3, None)], "id int, error string")
     path = scratch_path(spark, "bulk")
