@@ -42,6 +42,10 @@ PRODUCT = T.StructType(
     ]
 )
 
+#: Products as they are extracted from a page, and pages whose answer is unusable.
+EXTRACTED = T.StructType([T.StructField("page_id", T.LongType()), *PRODUCT.fields[:10]])
+QUARANTINE = T.StructType([T.StructField("page_id", T.LongType())] + [T.StructField(c, _S) for c in ("url", "answer", "error")])
+
 FRONTIER = T.StructType(
     [
         T.StructField("url", _S),

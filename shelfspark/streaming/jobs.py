@@ -14,20 +14,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import ArrayType, FloatType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from shelfspark.functions.urls import PRODUCT_PATH
 from shelfspark.operators.models import TextEncoder
 from shelfspark.operators.rows import needs_embedding, nonempty_text
 from shelfspark.plans.crawl import discover_urls, extracted
-from shelfspark.schema import FRONTIER, PRODUCT
+from shelfspark.schema import EXTRACTED, FRONTIER, QUARANTINE
 from shelfspark.sources.tables import read_changes, read_current, write_changes
 
-#: Extracted products as the stream stores them.
-EXTRACTED = StructType([StructField("page_id", LongType()), *PRODUCT.fields[:10]])
-QUARANTINE = StructType(
-    [StructField("page_id", LongType())] + [StructField(c, StringType()) for c in ("url", "answer", "error")]
-)
 EMBEDDED = StructType([StructField("url", StringType()), StructField("description_embedding", ArrayType(FloatType()))])
 
 

@@ -7,6 +7,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfspark.session import scratch_path
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: Tables whose rows take much work each.
@@ -131,3 +133,14 @@ def derive(spark: SparkSession, sf_dir: str, sql: str, **frames: DataFrame) -> D
 
 def _name(sql: str, name: str) -> str:
     return re.sub(rf"\b(FROM|JOIN)\s+{name}\b", rf"\1 {{{name}}}", sql)
+
+
+_STORED = {}
+
+
+def once_stored(spark, sf, name, write):
+    """What ``write`` stored at a path; the first query of a session that needs it writes it, the others use it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        _STORED[key] = write(scratch_path(spark, name))
+    return _STORED[key]

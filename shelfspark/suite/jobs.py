@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from shelfspark.operators.models import ModelEncoder, TextEncoder
 from shelfspark.plans import catalog as cat
-from shelfspark.plans import crawl
-from shelfspark.schema import LIST_FIELDS
+from shelfspark.plans import crawl, leases
+from shelfspark.schema import EXTRACTED as EXTRACTED_SCHEMA
+from shelfspark.schema import LIST_FIELDS, QUARANTINE
 from shelfspark.session import scratch_path
+from shelfspark.sources import ledger
+from shelfspark.sources.keyed_tables import KeyedTable
 from shelfspark.sources.pages import stream_pages
 from shelfspark.sources.tables import read_changes, write_changes
 from shelfspark.streaming import jobs as st
@@ -18,6 +22,7 @@ from shelfspark.suite import derive as d
 from shelfspark.suite import sqltext as q
 from shelfspark.suite.registry import query
 from shelfspark.suite.scalars import EXTRACTED, HREFS, RAW, embeddable, flat, pages, raw, with_empty_lists
+from shelfspark.suite.derive import once_stored
 from shelfspark.suite.tables import csv_source
 
 LOADABLE = (
@@ -175,6 +180,89 @@ def _(spark, sf):
     return flat(done.products)
 
 
+def page_reader():
+    """A small model from outside: reads the page's text in the prompt and answers with its length, or not at all."""
+
+    def answer(prompt: str) -> str:
+        n = len(prompt.split("Page:\n", 1)[1])
+        keys = {"description": f"text of {n}", "price_without_discount": "", "price": f"${n}", "most_bought": ["a", "b"]}
+        rest = {c: [] for c in LIST_FIELDS if c not in keys}
+        return "I can't tell." if n % 5 == 0 else "Here it is: " + json.dumps(keys | rest)
+
+    return lambda prompts: [answer(p) for p in prompts]
+
+
+#: What the crawl makes of every page: the text's length is the price, and a length of whole fives is no answer.
+READ = f"""
+WITH f AS ({d.FRONTIER}), t AS (SELECT page_id, url, length({q.visible_text('html')}) AS n, {q.title('html')} AS title FROM pages),
+due AS (SELECT t.* FROM t JOIN f USING (url) WHERE NOT f.already_scraped),
+best AS (SELECT * FROM due WHERE n % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1)
+"""
+
+
+def crawled(spark, sf):
+    """The leased crawl over all pending URLs, in three rounds; run once in a session."""
+    return once_stored(spark, sf, "crawl", lambda _: crawl_all(spark, sf))
+
+
+def crawl_all(spark, sf):
+    known = d.derive(spark, sf, d.FRONTIER)
+    frontier = leases.open_frontier(known, scratch_path(spark, "leased-frontier"), 8)
+    products = KeyedTable.create(spark.createDataFrame([], EXTRACTED_SCHEMA), scratch_path(spark, "crawled-products"), "url", 8)
+    quarantine = scratch_path(spark, "crawled-quarantine")
+    due = known.where("not already_scraped").count()
+    leases.crawl(frontier, pages(spark, sf), page_reader, products, quarantine, batch=due // 3 + 1)
+    return frontier.read(spark), products.read(spark), read_changes(spark, quarantine, QUARANTINE)
+
+
+@query(
+    "crawl_pending",
+    READ + """SELECT f.url, true AS already_scraped, CAST(CASE WHEN f.already_scraped THEN 0 ELSE 1 END AS BIGINT) AS tries, b.title,
+      CASE WHEN b.url IS NOT NULL THEN 'text of ' || b.n END AS description, CAST(b.n AS DOUBLE) AS price
+    FROM f LEFT JOIN best b ON b.url = f.url""",
+)
+def _(spark, sf):
+    frontier, products, _ = crawled(spark, sf)
+    found = products.select("url", "title", "description", "price")
+    return frontier.select("url", "already_scraped", F.col("tries").cast("bigint").alias("tries")).join(found, "url", "left")
+
+
+@query("crawl_quarantine", READ + "SELECT page_id, url, 'I can''t tell.' AS answer, 'no JSON object' AS error FROM due WHERE n % 5 = 0")
+def _(spark, sf):
+    return crawled(spark, sf)[2].select("page_id", "url", "answer", "error")
+
+
+@query(
+    "fan_out_ledger",
+    RAW + """SELECT run, sink, status, CASE WHEN status = 'done' THEN n - refused ELSE 0 END AS written, refused FROM
+      (SELECT count(*) AS n, count(*) FILTER (WHERE description IS NULL) AS missing FROM raw) c,
+      (VALUES ('first', 'documents', 'done'), ('first', 'nodes', 'done'), ('first', 'mirror', 'failed'), ('again', 'mirror', 'done')) v(run, sink, status),
+      LATERAL (SELECT CASE WHEN sink = 'nodes' THEN missing ELSE 0 END AS refused) r""",
+)
+def _(spark, sf):
+    """Three sinks: one refuses rows without a description, one fails the first time and is resumed."""
+    path, ledger_path = scratch_path(spark, "sinks"), scratch_path(spark, "ledger")
+    rows = raw(spark, sf).select("id", "url", "title", "description")
+
+    def writer(name, fails=False):
+        def write(df):
+            if fails:
+                raise OSError("out of reach")
+            df.write.mode("errorifexists").parquet(f"{path}/{name}")
+
+        return write
+
+    reasons = {"nodes": F.when(F.col("description").isNull(), F.lit("no description"))}
+    found = []
+    for run, fails in (("first", True), ("again", False)):
+        sinks = {"documents": writer("documents"), "nodes": writer("nodes"), "mirror": writer("mirror", fails)}
+        before = ledger.outcomes(spark, ledger_path).collect()
+        done = ledger.fan_out(rows, sinks, ledger_path, "load", 0, reasons).collect()
+        known = {(r["sink"], r["at"]) for r in before}
+        found += [(run, r["sink"], r["status"], r["written"], r["refused"]) for r in done if (r["sink"], r["at"]) not in known]
+    return spark.createDataFrame(found, "run string, sink string, status string, written long, refused long")
+
+
 # --- Streams ------------------------------------------------------------------------
 
 

@@ -10,7 +10,6 @@ from shelfspark.operators.models import TextEncoder
 from shelfspark.operators.vector_index import VectorIndex
 from shelfspark.suite import derive as d
 from shelfspark.suite import sqltext as q
-from shelfspark.session import scratch_path
 from shelfspark.suite.registry import query
 
 FIELDS = list(lexical.SEARCH_BOOSTS)
@@ -32,23 +31,12 @@ def catalog_queries(spark, sf):
     return d.derive(spark, sf, d.CATALOG_QUERIES)
 
 
-_STORED = {}
-
-
-def once_stored(spark, sf, name, write):
-    """What ``write`` stored at a path; the first query of a session that needs it writes it, the others use it."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _STORED:
-        _STORED[key] = write(scratch_path(spark, name))
-    return _STORED[key]
-
-
 def search_index(spark, sf):
-    return once_stored(spark, sf, "search-index", lambda p: lexical.SEARCH.store(docs(spark, sf), p))
+    return d.once_stored(spark, sf, "search-index", lambda p: lexical.SEARCH.store(docs(spark, sf), p))
 
 
 def catalog_index(spark, sf, rule, name):
-    return once_stored(spark, sf, name, lambda p: rule.store(catalog(spark, sf), p))
+    return d.once_stored(spark, sf, name, lambda p: rule.store(catalog(spark, sf), p))
 
 
 def big_rank(df):
@@ -126,7 +114,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """The same hits from an index of small blocks, most of which are left out by their bounds."""
-    index = once_stored(spark, sf, "block-index", lambda p: lexical.SEARCH.store(docs(spark, sf), p, block_docs=50))
+    index = d.once_stored(spark, sf, "block-index", lambda p: lexical.SEARCH.store(docs(spark, sf), p, block_docs=50))
     return big_rank(lexical.search_bm25(queries(spark, sf), docs(spark, sf), index=index))
 
 
@@ -198,7 +186,7 @@ SELECT query_id, id, similarity, rank FROM ranked WHERE rank <= 10
 def _(spark, sf):
     """Over a stored index, which the first query of a session builds."""
     asked, vecs = stored_vectors(spark, sf)
-    index = once_stored(spark, sf, "vector-index", lambda p: VectorIndex.build(vecs, p, n_cells=32))
+    index = d.once_stored(spark, sf, "vector-index", lambda p: VectorIndex.build(vecs, p, n_cells=32))
     return big_rank(index.search(asked, k=10, n_probe=8))
 
 
@@ -242,7 +230,7 @@ def with_vectors(spark, sf):
         encoder.encode(found.select("id", "description"), "description", element="double").select("id", "embedding").write.parquet(f"{path}/vectors")
         return spark.read.parquet(f"{path}/vectors"), TextEncoder.load(f"{path}/encoder")
 
-    return found, *once_stored(spark, sf, "doc-vectors", write)
+    return found, *d.once_stored(spark, sf, "doc-vectors", write)
 
 
 @query("hybrid_search", BM25 + "," + EMBED + "SELECT * FROM combined")

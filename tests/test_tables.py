@@ -1,3 +1,4 @@
+import json
 import time
 from datetime import datetime
 from pathlib import Path
@@ -11,8 +12,10 @@ from shelfspark.operators import metrics
 from shelfspark.operators.models import ModelEncoder, TextEncoder, _Patient
 from shelfspark.operators.rows import split_bad_rows
 from shelfspark.plans import catalog as cat
-from shelfspark.schema import PRODUCT, RAW_CATALOG
+from shelfspark.plans import leases
+from shelfspark.schema import EXTRACTED, FRONTIER, LIST_FIELDS, PRODUCT, QUARANTINE, RAW_CATALOG
 from shelfspark.session import scratch_path
+from shelfspark.sources import ledger
 from shelfspark.sources import tables as tb
 from shelfspark.sources.catalog_csv import scan_catalog_csv, write_catalog_csv
 from shelfspark.sources.keyed_tables import KeyedTable
@@ -173,6 +176,84 @@ def test_model_encoder_fills_vectors_and_leaves_failures_pending(spark):
     assert (run["processed_count"], run["error"]) == (7, None)
 
 
+def test_a_crashed_lease_is_taken_again_and_given_up_in_the_end(spark):
+    known = spark.createDataFrame([(f"u{i}", i == 0, i) for i in range(6)], FRONTIER)
+    frontier = leases.open_frontier(known, scratch_path(spark, "frontier"), 4)
+    first = {r["url"] for r in leases.take(frontier, spark, 2, now=0.0, seconds=10.0).collect()}
+    assert first == {"u1", "u2"}  # oldest first; u0 is done
+    assert {r["url"] for r in leases.take(frontier, spark, 9, now=5.0, seconds=10.0).collect()} == {"u3", "u4", "u5"}
+    assert leases.take(frontier, spark, 9, now=9.0, seconds=10.0).isEmpty()  # all are leased
+    leases.settle(frontier, spark.createDataFrame([("u3",), ("u4",), ("u5",)], "url string"))
+    again = leases.take(frontier, spark, 9, now=10.0, seconds=10.0).collect()  # the first job died
+    assert {(r["url"], r["tries"]) for r in again} == {("u1", 2), ("u2", 2)}
+    leases.take(frontier, spark, 9, now=20.0, seconds=10.0)
+    assert leases.take(frontier, spark, 9, now=30.0, seconds=10.0).isEmpty()
+    assert {r["url"] for r in leases.given_up(frontier, spark, 30.0).collect()} == {"u1", "u2"}
+
+
+def test_crawl_runs_from_pending_urls_to_products(spark):
+    def reader():
+        body = json.dumps({c: [] for c in LIST_FIELDS} | {"description": "d", "price": "3", "price_without_discount": ""})
+        return lambda prompts: ["nothing" if "EMPTY" in p else body for p in prompts]
+
+    known = spark.createDataFrame([(f"http://s/p/{i}", i == 0, i) for i in range(6)], FRONTIER)
+    pages = spark.createDataFrame([(i, f"http://s/p/{i}", f"<title>T{i}</title><p>{'EMPTY' if i == 3 else 'text'}</p>") for i in range(5)], "page_id long, url string, html string")
+    frontier = leases.open_frontier(known, scratch_path(spark, "frontier"), 4)
+    products = KeyedTable.create(spark.createDataFrame([], EXTRACTED), scratch_path(spark, "products"), "url", 4)
+    quarantine = scratch_path(spark, "quarantine")
+    assert leases.crawl(frontier, pages, reader, products, quarantine, batch=2) == 3
+    assert {(r["url"], r["title"], r["price"]) for r in products.read(spark).collect()} == {(f"http://s/p/{i}", f"T{i}", 3.0) for i in (1, 2, 4)}
+    failed = {(r["url"], r["error"]) for r in tb.read_changes(spark, quarantine, QUARANTINE).collect()}
+    assert failed == {("http://s/p/3", "no JSON object"), ("http://s/p/5", "no page")}
+    assert all(r["already_scraped"] for r in frontier.read(spark).collect())
+
+
+def test_a_failing_sink_is_resumed(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, t string")
+    path, book = scratch_path(spark, "sinks"), scratch_path(spark, "ledger")
+    broken = [True]
+
+    def flaky(df):
+        if broken.pop() if broken else False:
+            raise OSError("away")
+        df.write.parquet(f"{path}/flaky")
+
+    sinks = {"flaky": flaky, "steady": lambda df: df.write.parquet(f"{path}/steady")}
+    refuse = {"steady": F.when(F.col("t").isNull(), F.lit("no text"))}
+    state = lambda df: {r["sink"]: (r["status"], r["written"], r["refused"]) for r in df.collect()}
+    assert state(ledger.fan_out(rows, sinks, book, "r", 1, refuse)) == {"flaky": ("failed", 0, 0), "steady": ("done", 1, 1)}
+    # `steady` would raise if it were written again.
+    assert state(ledger.fan_out(rows, sinks, book, "r", 1, refuse)) == {"flaky": ("done", 2, 0), "steady": ("done", 1, 1)}
+    assert [(r["sink"], json.loads(r["row"]), r["error"]) for r in ledger.refused(spark, book).collect()] == [("steady", {"id": 2}, "no text")]
+    assert spark.read.parquet(f"{path}/flaky").count() == 2
+
+
+def test_streams_leave_run_records(spark):
+    source = scratch_path(spark, "source")
+    spark.range(10).write.parquet(source)
+    runs = ledger.StreamRuns()
+    spark.streams.addListener(runs)
+    try:
+        stream = spark.readStream.schema("id long").parquet(source)
+        good = stream.writeStream.queryName("copy").option("checkpointLocation", scratch_path(spark, "c")).foreachBatch(lambda df, i: df.count())
+        good.trigger(availableNow=True).start().awaitTermination()
+
+        def fail(df, i):
+            raise RuntimeError("sink is gone")
+
+        bad = stream.writeStream.queryName("broken").option("checkpointLocation", scratch_path(spark, "c")).foreachBatch(fail).trigger(availableNow=True).start()
+        with pytest.raises(Exception, match="sink is gone"):
+            bad.awaitTermination()
+        for _ in range(100):
+            if len(runs.ended) == 2:
+                break
+            time.sleep(0.1)
+        got = {r["job"]: r for r in runs.records(spark).collect()}
+        assert got["copy"]["processed_count"] == 10 and got["copy"]["error"] is None and "sink is gone" in got["broken"]["error"]
+    finally:
+        spark.streams.removeListener(runs)
+
+
 def test_texts_a_second_are_held(spark):
     model = _Patient(lambda texts: texts, 0, 0.0, 100.0)
     start = time.monotonic()
