@@ -27,8 +27,10 @@ from shelfspark.llm.graph import stored
 
 #: Template tokens in a window, and plain words that it must hold.
 WINDOW, PLAIN = 8, 4
-#: Items with fewer tokens than this are too short to tell apart and match nothing.
+#: Items with fewer tokens than this have no template windows.
 SHORTEST = 5
+#: Items that templates can't show are looked for word by word, from so many words on.
+SHORTEST_LITERAL = 3
 #: Windows of one alignment that make a leak, or this share of a short item's.
 LEAK_WINDOWS, LEAK_SHARE = 6, 0.8
 #: Share of an alignment's slots that must follow one mapping.
@@ -141,11 +143,26 @@ def template_windows(texts: pa.Array, sizes: list[int], bitmap: np.ndarray | Non
     return *[np.concatenate(x) for x in zip(*out)], slot
 
 
-def _windows(df: DataFrame, id: str, text: str, sizes: list[int], bitmap: bytes | None) -> DataFrame:
+def literal_windows(texts: pa.Array, sizes: list[int], bitmap: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """As ``template_windows``, of the words themselves: every window counts, and none has slots."""
+    row, *_, value, _ = tokens(texts)
+    starts = np.searchsorted(row, np.arange(len(texts)))
+    out = []
+    for size in sizes:
+        hashes, at = run_hashes(row, value, size)
+        if bitmap is not None:
+            bit = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+            keep = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+            hashes, at = hashes[keep], at[keep]
+        out.append((row[at], at - starts[row[at]], np.full(len(at), size), hashes, at))
+    return *[np.concatenate(x) for x in zip(*out)], np.zeros(len(row), np.uint64)
+
+
+def _windows(df: DataFrame, id: str, text: str, sizes: list[int], bitmap: bytes | None, cut=template_windows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap, np.uint8) if bitmap is not None else None
         for part in slices(batches, 1):
-            row, place, size, hashes, at, slot = template_windows(part.column(1), sizes, bits)
+            row, place, size, hashes, at, slot = cut(part.column(1), sizes, bits)
             values = [slot[a : a + n] for a, n in zip(at, size)]
             values = [v[v != 0] for v in values]
             yield pa.RecordBatch.from_arrays(
@@ -170,11 +187,11 @@ def _windows(df: DataFrame, id: str, text: str, sizes: list[int], bitmap: bytes
 def _token_counts(df: DataFrame, id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            row, _, _ = templates(part.column(1))
-            counts = np.bincount(row, minlength=part.num_rows).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts)], names=["item", "tokens"])
+            rows = templates(part.column(1))[0], tokens(part.column(1))[0]
+            counts = [pa.array(np.bincount(row, minlength=part.num_rows).astype(np.int32)) for row in rows]
+            yield pa.RecordBatch.from_arrays([part.column(0), *counts], names=["item", "tokens", "words"])
 
-    return df.select(quoted(id).cast("long"), quoted(text)).mapInArrow(run, "item long, tokens int")
+    return df.select(quoted(id).cast("long"), quoted(text)).mapInArrow(run, "item long, tokens int, words int")
 
 
 def _bitmap(windows: DataFrame) -> bytes:
@@ -199,9 +216,10 @@ def leaks(
     """(doc_id, item_id, windows, coverage, consistency, reparameterised), a row for each leak of an item in a document.
 
     ``windows`` of the best alignment match, ``coverage`` is their share of the item's.
-    ``reparameterised``: at least one slot has another value than in the item. Null and
-    empty texts match nothing, nor do items of fewer than five tokens or rows without
-    an id. Rows that repeat an id are one document or item. Empty tables give an empty
+    ``reparameterised``: at least one slot has another value than in the item. An item with
+    few template windows (it is short, or mostly numbers and names) is also found by its
+    words, if all of them stand in a document in a row; ``windows`` are then those of words.
+    Null and empty texts match nothing, nor do items of one or two words or rows without an id. Rows that repeat an id are one document or item. Empty tables give an empty
     result; other columns don't matter.
     """
     counts = stored(_token_counts(benchmark, item, item_text).where("item is not null"), "item-tokens")
@@ -247,7 +265,7 @@ def leaks(
     best = found.groupBy("id", "item").agg(
         F.max(F.struct("windows", (-F.col("shift")).alias("shift"), "total", "consistency", "reparameterised")).alias("best")
     )
-    return best.select(
+    by_template = best.select(
         F.col("id").alias("doc_id"),
         F.col("item").alias("item_id"),
         F.col("best.windows").alias("windows"),
@@ -255,3 +273,25 @@ def leaks(
         F.col("best.consistency").alias("consistency"),
         F.coalesce("best.reparameterised", F.lit(False)).alias("reparameterised"),
     )
+    poor = counts.join(total, "item", "left").where(f"words >= {SHORTEST_LITERAL} and coalesce(total, 0) < {LEAK_WINDOWS}")
+    poor = stored(poor.groupBy("item").agg(F.max("words").alias("words")), "poor-items")
+    if poor.isEmpty():
+        return by_template
+    by_template = stored(by_template, "template-leaks")
+    by_words = _literal_leaks(docs, benchmark, poor, id, text, item, item_text)
+    return by_template.unionByName(by_words.join(by_template.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti"))
+
+
+def _literal_leaks(docs: DataFrame, benchmark: DataFrame, items: DataFrame, id: str, text: str, item: str, item_text: str) -> DataFrame:
+    """Leaks of ``items`` (item, words) by all of their words in a row."""
+    length = items.select("item", F.least("words", F.lit(WINDOW)).alias("size"))
+    sizes = sorted(r[0] for r in length.select("size").distinct().collect())  # at most as many as a window has tokens
+    asked = _windows(benchmark, item, item_text, sizes, None, literal_windows).withColumnRenamed("id", "item").join(length, ["item", "size"])
+    asked = stored(asked.select("item", "hash", F.col("place").alias("item_place")).distinct(), "item-word-windows")
+    held = stored(_windows(docs, id, text, sizes, _bitmap(asked), literal_windows).where("id is not null"), "document-word-windows")
+    hits = held.join(asked, "hash").select("id", "item", (F.col("place") - F.col("item_place")).alias("shift"), "item_place")
+    found = hits.groupBy("id", "item", "shift").agg(F.count_distinct("item_place").alias("windows"))
+    total = asked.groupBy("item").agg(F.count_distinct("item_place").alias("total"))
+    whole = found.join(total, "item").where("windows = total").groupBy("id", "item").agg(F.max("windows").alias("windows"))
+    one = F.lit(1.0)
+    return whole.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "windows", one.alias("coverage"), one.alias("consistency"), F.lit(False).alias("reparameterised"))

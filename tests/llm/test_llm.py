@@ -136,6 +136,19 @@ def test_decontamination_follows_other_values(spark):
     assert got[0] is False and got[1] is True and 3 not in got
 
 
+def test_decontamination_finds_items_without_template_windows(spark):
+    items = ["What is 17 times 24?", "NAME THE LARGEST PLANET OF THE SOLAR SYSTEM NOW", "Who wrote Hamlet?", "12 34 56 78 90 11 22 33 44", "Yes", "Ann Bob Cid Dan Eve Fay Gus Hal Ida Jon"]
+    texts = [f"Some words before it. {t} And some words after it." for t in items] + [
+        "Someone asked who, and who wrote, and of Hamlet and what is 17 and times and 24.",
+        "what is 17 times 24",
+        "12 34 56 78 90 11 22 33 45 and NAME THE LARGEST PLANET OF THE SOLAR SYSTEM",
+        "nothing here",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(6) if i != 4} | {(7, 0)}
+
+
 def test_decontamination_finds_whole_items(spark):
     docs = {r[0]: " ".join(r[1].split()) for r in documents(spark).collect()}
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
