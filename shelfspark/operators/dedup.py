@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from shelfspark.session import cut_lineage
 
-#: Lowest threshold :func:`similar_pairs` can find candidates for.
-LOWEST_THRESHOLD = 80
 #: Rows of one candidate group a task compares at a time (twice this many at most).
 GROUP_ROWS = 1000
 #: Slots of the token frequency table, which is sent to every executor.
@@ -79,13 +77,18 @@ def dedup_results(
 
 # --- Candidates -------------------------------------------------------------------
 #
-# Let x = (threshold - 0.5) / 100. Ratio >= threshold needs 2*LCS > x*(la + lb), so
-# lengths satisfy lb > la * x / (2 - x). Turning a into b deletes la - LCS and
+# Let x = (threshold - 0.5) / 100. Ratio >= threshold needs 2*LCS >= x*(la + lb), so
+# lengths satisfy lb >= la * x / (2 - x). Turning a into b deletes la - LCS and
 # inserts lb - LCS characters; a deletion breaks at most two of a's bigrams, an
 # insertion one, so both share at least 3*LCS - la - lb - 1 bigrams (as multisets),
-# which exceeds (1.5*x - 1)*(la + lb) - 1. Texts that share o of their tokens share
+# which is (1.5*x - 1)*(la + lb) - 1 or more. Texts that share o of their tokens share
 # one among the first len - o + 1 of each in any common order; rarest first keeps
 # the groups small.
+#
+# Short texts and low thresholds may ask for no common bigram. Such a text keeps all
+# its bigrams, for longer partners that do ask for one, and adds two tokens of its
+# length: on a scale whose steps are the factor 2 / x - 1, near texts are at most a step
+# apart, and share a token.
 
 
 def _bigrams(text: str) -> list[str]:
@@ -103,17 +106,26 @@ def _slot(token: str) -> int:
 
 
 def _needed_overlap(length: int, x: float) -> int:
-    """Least number of bigrams a text of this length shares with any near-duplicate."""
-    shortest_sum = length + length * x / (2.0 - x)
-    return int(np.floor((1.5 * x - 1.0) * shortest_sum - 1.0 + 1e-9)) + 1
+    """Least number of bigrams a text of this length shares with any near-duplicate; 0 or less if none."""
+    shortest_sum = length + length * max(0.0, x) / (2.0 - x)
+    return int(np.ceil((1.5 * x - 1.0) * shortest_sum - 1.0 - 1e-9))
+
+
+def _length_tokens(length: int, x: float) -> list[str]:
+    if x <= 0 or length == 0:
+        # With x at or under zero, all texts are alike; else only empty ones are like empty ones.
+        return ["\x00all"] if x <= 0 else ["\x00empty"]
+    step = int(np.floor(np.log(length) / np.log(2.0 / x - 1.0) + 1e-9)) if x < 1 else length
+    return [f"\x00{step}", f"\x00{step + 1}"]
 
 
 def _prefix(text: str, x: float, counts: np.ndarray) -> list[str]:
-    if (1.0 - x) * len(text) * 2.0 / x <= 1.0:
+    if x > 0 and (1.0 - x) * len(text) * 2.0 / x < 1.0:
         return []  # too short for any unequal text to come near
-    tokens = _bigrams(text)
-    need = max(1, _needed_overlap(len(text), x))
-    tokens.sort(key=lambda t: (counts[_slot(t)], t))
+    need = _needed_overlap(len(text), x)
+    if need <= 0:
+        return [*(_bigrams(text) if x > 2 / 3 else ()), *_length_tokens(len(text), x)]
+    tokens = sorted(_bigrams(text), key=lambda t: (counts[_slot(t)], t))
     return tokens[: max(0, len(tokens) - need + 1)]
 
 
@@ -198,21 +210,21 @@ def _near(texts: list[str], part: np.ndarray, same_part: bool, x: float) -> Iter
     lengths = np.array([len(t) for t in texts])
     hist = _histograms(texts)
     for row in range(1, len(texts)):
-        limit = (1.0 - x) * (lengths[:row] + lengths[row])
-        possible = np.abs(lengths[:row] - lengths[row]) < limit
+        limit = (1.0 - x) * (lengths[:row] + lengths[row]) + 1e-9
+        possible = np.abs(lengths[:row] - lengths[row]) <= limit
         if not same_part:
             possible &= part[:row] != part[row]
         rows = np.flatnonzero(possible)
         if len(rows):
             gap = np.abs(hist[rows] - hist[row]).sum(axis=1)
-            rows = rows[gap < limit[rows]]
+            rows = rows[gap <= limit[rows]]
         if len(rows):
             yield row, rows
 
 
 def _check(threshold: int) -> None:
-    if not LOWEST_THRESHOLD <= threshold <= 100:
-        raise ValueError(f"threshold must lie in {LOWEST_THRESHOLD}..100 for a catalog; use dedup_results for lists")
+    if not 0 <= threshold <= 100:
+        raise ValueError("threshold must lie in 0..100")
 
 
 def _distinct_texts(df: DataFrame, order: str, text: str, scope: str | None) -> DataFrame:
@@ -230,7 +242,8 @@ def similar_pairs(df: DataFrame, threshold: int = 95, order: str = "ord", text:
     """`scope, ord, other, ratio`: distinct texts and every earlier text that reaches the threshold.
 
     All pairs are its result, so its size is that of the clusters squared; use
-    :func:`dedup_catalog` to clean a catalog.
+    :func:`dedup_catalog` to clean a catalog. Under a threshold of about 67 no common
+    bigram can be asked for, and all texts of like length are compared, in blocks.
     """
     _check(threshold)
     items = _with_tokens(_distinct_texts(df, order, text, scope), threshold).withColumn("kept", F.lit(False))

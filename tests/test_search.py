@@ -280,9 +280,10 @@ def test_list_dedup_and_scopes(spark):
     assert sorted(map(tuple, scoped.collect())) == want
 
 
-def test_low_thresholds_are_refused(spark):
-    with pytest.raises(ValueError):
-        dedup.dedup_catalog(spark.createDataFrame([(1, "a")], "ord long, text string"), 60)
+def test_thresholds_beyond_the_scale_are_refused(spark):
+    for threshold in (-1, 101):
+        with pytest.raises(ValueError):
+            dedup.dedup_catalog(spark.createDataFrame([(1, "a")], "ord long, text string"), threshold)
 
 
 def test_stored_vector_index_has_recall_and_takes_appends(spark):
@@ -325,3 +326,23 @@ def test_vector_index_of_nothing(spark):
     assert index.search(asked, 5).collect() == []
     index.append(spark.createDataFrame([(5, [0.0, 2.0, 0.0])], "id long, embedding array<double>"))
     assert [(r["id"], r["similarity"]) for r in index.search(asked, 5).collect()] == [(5, 0.5)]
+
+
+@pytest.mark.parametrize("threshold", [0, 35, 60, 68, 75, 79, 80, 90, 100])
+def test_pairs_at_any_threshold_equal_brute_force(spark, monkeypatch, threshold):
+    monkeypatch.setattr(dedup, "GROUP_ROWS", 20)
+    rng = random.Random(threshold)
+    texts = {"", "a", "ab", "ba", "abcdefghij", "abcdefghi"}
+    while len(texts) < 70:
+        base = rng.choice(sorted(texts))
+        texts.add("".join(rng.choice("abc") for _ in range(rng.randint(1, 24))) if rng.random() < 0.4 else base[: rng.randint(0, 20)] + rng.choice("abcd") + base[rng.randint(0, 20) :])
+    rows = list(enumerate(sorted(texts, key=lambda t: (len(t) * 7919 % 31, t))))
+    df = spark.createDataFrame(rows, "ord long, text string")
+    want = {(i, j, v) for i, a in rows for j, b in rows[:i] if (v := dedup.ratio(a, b)) >= threshold}
+    assert {(r["ord"], r["other"], r["ratio"]) for r in dedup.similar_pairs(df, threshold).collect()} == want
+    if threshold in (35, 79):
+        kept = []
+        for i, t in rows:
+            if not any(dedup.ratio(t, rows[j][1]) >= threshold for j in kept):
+                kept.append(i)
+        assert sorted(r["ord"] for r in dedup.dedup_catalog(df, threshold).collect()) == kept
