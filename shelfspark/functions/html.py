@@ -56,25 +56,26 @@ _ATTR_ENTITY = rf"&({_NUMBER}|{_NAMED}|{_OPEN}(?![=A-Za-z0-9]))"
 # value only, and may hold `>`.
 _ATTR = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
 _ATTRS = rf"(?:[\s/]++|{_ATTR})*+"
-_COMMENT = r"<!--.*?-->"
-_TAG = rf"</?+[A-Za-z][^\s/>]*+{_ATTRS}>|<[!?/][^>]*+>"
+# Without the `<` that all of them begin with.
+_COMMENT = r"!--.*?-->"
+_TAG = rf"/?+[A-Za-z][^\s/>]*+{_ATTRS}>|[!?/][^>]*+>"
 
 
 def _whole(names: str, group: int = 1) -> str:
     """Elements that end at their own end tag only, whatever stands inside."""
-    return rf"<({names})(?=[\s/>]){_ATTRS}>.*?(?:</\{group}(?=[\s/>])[^>]*+>|\z)"
+    return rf"({names})(?=[\s/>]){_ATTRS}>.*?(?:</\{group}(?=[\s/>])[^>]*+>|\z)"
 
 
 #: Elements that aren't shown, and further ones whose content is text.
 _UNSEEN = "script|style|template"
 _TEXT_ONLY = "textarea|title|noscript|iframe|noembed|noframes|xmp"
-_MARKUP = rf"(?is){_COMMENT}|{_whole(_UNSEEN)}|{_TAG}"
+_MARKUP = rf"(?is)<(?:{_COMMENT}|{_whole(_UNSEEN)}|{_TAG})"
 #: The second group holds the attributes of an anchor, and is empty in all other tokens.
-_ANCHOR = rf"(?is){_COMMENT}|{_whole(_UNSEEN + '|' + _TEXT_ONLY)}|<a(?=[\s/])({_ATTRS})>|{_TAG}"
+_ANCHOR = rf"(?is)<(?:{_COMMENT}|{_whole(_UNSEEN + '|' + _TEXT_ONLY)}|a(?=[\s/])({_ATTRS})>|{_TAG})"
 #: The first href among an anchor's attributes, with its quotes.
 _HREF = rf"""(?is)^(?:[\s/]++|(?!href[\s/>=]){_ATTR})*+href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
 #: Titles in there are not the document's.
-_NOT_HEAD = rf"(?is){_COMMENT}|{_whole(_UNSEEN + '|svg|body')}"
+_NOT_HEAD = rf"(?is)<(?:{_COMMENT}|{_whole(_UNSEEN + '|svg|body')})"
 _TITLE = rf"(?is)<title(?=[\s/>]){_ATTRS}>(.*?)</title(?=[\s/>])[^>]*+>"
 
 
