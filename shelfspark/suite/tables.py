@@ -140,6 +140,14 @@ def _(spark, sf):
     return kw.put_by_id(users(spark, sf), updates(spark, sf), "url", ["seq"])[1]
 
 
+@query(
+    "put_by_id_rows",
+    UPDATED + "SELECT * FROM newest UNION ALL SELECT * FROM target WHERE url NOT IN (SELECT url FROM newest)",
+)
+def _(spark, sf):
+    return kw.put_by_id(users(spark, sf), updates(spark, sf), "url", ["seq"])[0]
+
+
 ARRIVED = f"""
 WITH f AS ({d.FRONTIER}), a AS ({d.ARRIVALS}),
 fresh AS (SELECT url, false AS already_scraped, min(first_seen) AS first_seen FROM a WHERE url NOT IN (SELECT url FROM f) GROUP BY url)
@@ -235,6 +243,18 @@ def _(spark, sf):
     return stored.groupBy("site").agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("chars"))
 
 
+@query(
+    "text_dump_lines",
+    f"""SELECT replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), 'www.', '') AS site, unnest(string_split(
+      chr(10) || chr(10) || 'URL: ' || url || chr(10) || 'Content:' || chr(10) || {q.visible_text('html')} || chr(10) || repeat('-', 80), chr(10))) AS value
+    FROM pages""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "dump")
+    append_text_dump(with_content(scan_pages(spark, f"{sf}/pages.parquet")), path)
+    return spark.read.text(path, lineSep="\n").select("site", "value")
+
+
 @query(
     "fan_out_write",
     RAW + """SELECT 'nodes' AS store, id, url, title, description FROM raw
