@@ -98,7 +98,7 @@ def decode_entities(c: Column, pattern: str = _ENTITY) -> Column:
     found = F.regexp_extract_all(c, F.lit(pattern), 1)
     decoded = F.concat(F.transform(found, lambda n: _decode_one(n, names, c1)), F.array(F.lit("")))
     merged = F.array_join(F.zip_with(F.split(c, pattern, -1), decoded, lambda text, ch: F.concat(text, ch)), "")
-    return F.when(c.rlike(pattern), merged).otherwise(c)
+    return F.when(c.contains("&") & c.rlike(pattern), merged).otherwise(c)
 
 
 def html_to_text(c: Column) -> Column:
