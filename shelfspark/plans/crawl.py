@@ -47,10 +47,20 @@ def ask_for_answers(pages: DataFrame, factory: Callable[[], TextModel]) -> DataF
     return apply_text_model(asked, "prompt", "answer", factory).select("page_id", "answer")
 
 
+def judged(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each page's title beside its parsed answer, with ``error`` where that is unusable."""
+    titled = pages.select("page_id", "url", html_title(F.col("html")).alias("title"))
+    # Answers are long texts that Spark's estimate by type takes for short ones, so it would send a large table of them through the driver.
+    return with_parsed_answer(titled.join(answers.hint("merge"), "page_id", "left"))
+
+
 def extracted(pages: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed products with `page_id`, and the pages whose answer is unusable (with ``error``)."""
-    titled = pages.select("page_id", "url", html_title(F.col("html")).alias("title"))
-    good, bad = split_bad_rows(with_parsed_answer(titled.join(answers, "page_id", "left")))
+    return split_judged(judged(pages, answers))
+
+
+def split_judged(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    good, bad = split_bad_rows(pages)
     return with_product_columns(good).drop("answer", "json"), bad.select("page_id", "url", "answer", "error")
 
 

@@ -19,8 +19,9 @@ from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, Str
 from shelfspark.functions.urls import PRODUCT_PATH
 from shelfspark.operators.models import TextEncoder
 from shelfspark.operators.rows import needs_embedding, nonempty_text
-from shelfspark.plans.crawl import discover_urls, extracted
+from shelfspark.plans.crawl import discover_urls, judged, split_judged
 from shelfspark.schema import EXTRACTED, FRONTIER, QUARANTINE
+from shelfspark.session import BROADCAST_ROWS, at_most
 from shelfspark.sources.tables import read_changes, read_current, write_changes
 
 EMBEDDED = StructType([StructField("url", StringType()), StructField("description_embedding", ArrayType(FloatType()))])
@@ -59,8 +60,8 @@ def stream_frontier(
     run = run_name("discover", checkpoint)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        # The urls alone decide; the history isn't folded for that.
-        known = read_changes(batch.sparkSession, frontier_path, FRONTIER, (run, batch_id)).select("url")
+        # The urls alone decide; the history isn't folded for that. Its files are much smaller than its rows, so it is never broadcast.
+        known = read_changes(batch.sparkSession, frontier_path, FRONTIER, (run, batch_id)).select("url").hint("merge")
         fresh = discover_urls(batch, known, inside, path_pattern).select(*FRONTIER.names)
         write_changes(fresh, frontier_path, batch_id, run)
 
@@ -75,15 +76,19 @@ def stream_upsert_products(
     run = run_name("extract", checkpoint)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        asked = answers
+        if at_most(batch, BROADCAST_ROWS):
+            # Only this batch's answers go on, so a small batch doesn't move the whole table of them.
+            asked = answers.join(F.broadcast(batch.select("page_id").distinct()), "page_id", "left_semi")
+        read = judged(batch, asked).persist()
         try:
-            good, bad = extracted(batch, answers)
+            good, bad = split_judged(read)
             write_changes(good.select(*EXTRACTED.names), paths["products"], batch_id, run)
             write_changes(bad.select(*QUARANTINE.names), paths["quarantine"], batch_id, run)
             done = batch.select("url", F.lit(True).alias("already_scraped"), F.col("page_id").alias("first_seen"))
             write_changes(done, paths["frontier"], batch_id, run)
         finally:
-            batch.unpersist()
+            read.unpersist()
 
     return _run(pages, work, checkpoint, available_now)
 
