@@ -73,6 +73,21 @@ def postings_join(postings: DataFrame, clauses: DataFrame, sizes: DataFrame, key
     return spread_join(postings, clauses, list(keys), sizes, "id", "query_id")
 
 
+def held_counts(postings: DataFrame, clauses: DataFrame, sizes: DataFrame) -> DataFrame:
+    """`query_id, term, held, times`: in how many documents each query's terms occur, and how often, over its clauses.
+
+    A clause that many queries share is looked up once, so the work follows the postings
+    of the terms asked and not the pairs of queries and documents.
+    """
+    # A term repeated in a query is a clause of its own, and counts again.
+    asked = clauses.groupBy("field", "term").agg(F.min("query_id").alias("query_id"))
+    found = postings_join(postings, asked, sizes)
+    counted = found.groupBy("field", "term").agg(F.count("*").alias("held"), F.sum("tf").alias("times"))
+    repeats = clauses.groupBy("query_id", "field", "term").agg(F.count("*").alias("_clauses"))
+    every = repeats.join(counted, ["field", "term"])
+    return every.groupBy("query_id", "term").agg(*[F.sum(F.col(c) * F.col("_clauses")).alias(c) for c in ("held", "times")])
+
+
 def _idf(df: Column, n_docs: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 

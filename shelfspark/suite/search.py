@@ -95,9 +95,7 @@ WORDS_ASKED = "SELECT doc_id AS query_id, split_part(split_part(text, chr(10), 1
 def _(spark, sf):
     asked = lexical.query_clauses(d.derive(spark, sf, WORDS_ASKED)).withColumn("field", F.lit("description"))
     index = search_index(spark, sf)
-    found = lexical.postings_join(index.postings, asked.select("query_id", "pos", "field", "term"), index.terms)
-    counted = found.groupBy("query_id", "pos", "term").agg(F.count("*").alias("held"), F.sum("tf").alias("times"))
-    return counted.groupBy("query_id", "term").agg(F.sum("held").alias("held"), F.sum("times").alias("times"))
+    return lexical.held_counts(index.postings, asked.select("query_id", "field", "term"), index.terms)
 
 
 @query(
