@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.strings import LONGEST_PREFIX, analyze, letter_digit_tokens, letter_tokens, prefix_count
-from shelfspark.operators.postings import K1, Analyzer, B, TextIndex, index_for, prefix_index, store_index
+from shelfspark.operators.postings import K1, Analyzer, B, TextIndex, impact, index_for, prefix_index, store_index
 from shelfspark.operators.rows import SCORE_DECIMALS, attach, topk, topk_by_score
+from shelfspark.operators.scoring import FewQueries, few_queries, score_all
 from shelfspark.operators.skew import spread_join
 from shelfspark.session import kept, scratch_path, with_computed
 
@@ -143,8 +144,11 @@ def _rarest(weighted: DataFrame) -> DataFrame:
     return weighted.select("query_id", "field", F.explode(terms).alias("term"))
 
 
-def block_bounds(weighted: DataFrame, index: TextIndex) -> DataFrame:
+def block_bounds(weighted: DataFrame, index: TextIndex, few: FewQueries | None = None) -> DataFrame:
     """`query_id, field, block, bound`: blocks that may hold a match, and what it can score there at most."""
+    if few is not None:
+        bounds = score_all(index.impacts.withColumnRenamed("top", "part"), ["block"], few)
+        return bounds.select("query_id", "field", "block", F.col("score").alias("bound"))
     near = postings_join(index.impacts.select("field", "term", F.col("block").alias("id")), _rarest(weighted), index.terms)
     near = near.select("query_id", "field", F.col("id").alias("block")).distinct()
     clauses = weighted.select("query_id", "field", "m", F.explode("clauses").alias("c")).select("query_id", "field", "m", "c.term", "c.weight")
@@ -153,8 +157,27 @@ def block_bounds(weighted: DataFrame, index: TextIndex) -> DataFrame:
     return bounds.where("held >= m").drop("held", "m")
 
 
-def _field_scores(weighted: DataFrame, index: TextIndex, blocks: DataFrame | None = None) -> DataFrame:
-    """`query_id, field, id, matched, score` of every match, or of those in some blocks (`query_id, field, block`)."""
+def _few_scores(few: FewQueries, index: TextIndex, blocks: DataFrame | None) -> DataFrame:
+    """What :func:`_field_scores` gives, for queries that travel to the documents."""
+    found, keys = index.postings.where("id is not null"), ["id", "dl"]
+    if blocks is not None:
+        keys.append("block")
+        found = found.join(blocks.select("field", "block").distinct(), ["field", "block"], "left_semi")
+    rated = found.join(F.broadcast(index.stats), "field")  # as many rows as fields
+    parts = rated.select("field", "term", *keys, impact(F.col("tf"), F.col("dl"), F.col("avg_dl")).alias("part"))
+    scores = score_all(parts, keys, few)
+    if blocks is not None:
+        scores = scores.join(blocks.select("query_id", "field", "block"), ["query_id", "field", "block"], "left_semi")
+    return scores.select("query_id", "field", "id", "matched", F.round("score", SCORE_DECIMALS).alias("score"))
+
+
+def _field_scores(weighted: DataFrame, index: TextIndex, blocks: DataFrame | None = None, few: FewQueries | None = None) -> DataFrame:
+    """`query_id, field, id, matched, score` of every match, or of those in some blocks (`query_id, field, block`).
+
+    Few queries go to the documents; the candidates of many are found by their rarest clauses.
+    """
+    if few is not None:
+        return _few_scores(few, index, blocks)
     probes, keys = _rarest(weighted), ["field", "term"]
     if blocks is not None:
         probes = probes.join(blocks.select("query_id", "field", "block"), ["query_id", "field"])
@@ -196,7 +219,8 @@ def match_scores(queries: DataFrame, docs: DataFrame | TextIndex, rule: MatchRul
     """
     clauses = query_clauses(queries, rule.query_analyzer)
     index = _searchable(clauses, docs, rule, id_col)
-    return _field_scores(_weights(clauses, index, rule), index)
+    weighted = _weights(clauses, index, rule)
+    return _field_scores(weighted, index, few=few_queries(weighted))
 
 
 def open_blocks(bounds: DataFrame, first: DataFrame, found: DataFrame, size: int) -> DataFrame:
@@ -214,12 +238,13 @@ def top_scores(queries: DataFrame, docs: DataFrame | TextIndex, rule: MatchRule,
     clauses = query_clauses(queries, rule.query_analyzer)
     index = _searchable(clauses, docs, rule, id_col)
     weighted = _weights(clauses, index, rule)
+    few = few_queries(weighted)
     if index.impacts is None:
-        return topk_by_score(best_field(_field_scores(weighted, index)), size)
-    bounds = kept(block_bounds(weighted, index), "bounds")
+        return topk_by_score(best_field(_field_scores(weighted, index, few=few)), size)
+    bounds = kept(block_bounds(weighted, index, few), "bounds")
     first = kept(topk(bounds, FIRST_BLOCKS, ["query_id"], [F.col("bound").desc(), F.col("block"), F.col("field")]).drop("rank"), "first-blocks")
-    found = kept(_field_scores(weighted, index, first), "first-hits")
-    more = _field_scores(weighted, index, kept(open_blocks(bounds, first, found, size), "open-blocks"))
+    found = kept(_field_scores(weighted, index, first, few), "first-hits")
+    more = _field_scores(weighted, index, kept(open_blocks(bounds, first, found, size), "open-blocks"), few)
     return topk_by_score(best_field(found.unionByName(more)), size)
 
 
