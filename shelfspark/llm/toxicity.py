@@ -2,15 +2,17 @@
 
 Both models have orders 2 and 1. The count of a pair of words is discounted and
 backs off to how many different words the second one follows (its continuation
-count) in the class; rare ones back off further to the continuation counts of both
-classes together, which the models share, as they share a history's backoff weight.
+count) in the class, and that to the continuation counts of both classes together.
+Each order is also interpolated with a model that the classes share, whose weight
+falls with the count that a class of this size would be expected to have: what is
+rare is carried by the shared model and says little, but never nothing by a rule.
 A text's evidence is the difference of its log-likelihoods divided by its tokens; a
 logistic curve turns it into a score.
 
-Words and pairs on which the classes don't differ beyond chance (likelihood-ratio
-statistic below a limit) or differ by a small factor only have equal likelihoods by
-definition, so only the others are kept for scoring. They go to the tasks in blocks of bounded size, one after the
-other if there are many.
+A factor of the likelihoods up to a limit is taken to be of a language or a topic;
+only what a word or pair has beyond it counts, whatever its frequency. Entries with nothing beyond add 0
+and aren't stored. A model of bounded size goes to the tasks; a larger one is joined
+with those words and pairs of the texts that a bitmap of its keys lets through.
 """
 
 from __future__ import annotations
@@ -22,19 +24,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from shelfspark.llm.batches import add_columns, quoted, slices
+from shelfspark.llm.batches import add_columns, mix, quoted, slices
 from shelfspark.llm.decontaminate import tokens
 from shelfspark.llm.graph import BROADCAST_KEYS, stored
+from shelfspark.session import BROADCAST_ROWS, at_most
 
 DISCOUNT = 0.75
-#: Likelihood-ratio statistic (one degree of freedom) from which a difference counts; chance passes it once in 10,000.
-SIGNIFICANT = 15.1
-#: Ratio of likelihoods below which a word or pair says nothing: it is of a language or a topic, not of a tone.
+#: Expected count of a word, and of a pair, at which a class's own model and the shared one weigh the same.
+SHARED, SHARED_PAIRS = 0.5, 2.0
+#: Ratio of likelihoods that is taken to be of a language or a topic, not of a tone; what goes beyond counts.
 LEAST_RATIO = 4.0
-#: Model entries in one block (16 bytes each).
+#: Model entries that go to the tasks (16 bytes each).
 BLOCK_ENTRIES = 2_000_000
+#: Bits of a larger model's bitmap for each entry, and the logarithm of the most bits it may have (64 MB).
+ENTRY_BITS, MOST_BITS = 8, 29
+#: Bits in one row that ``bitmap_construct_agg`` returns.
+_CHUNK = 15
 #: Labelled rows on which the logistic curve is fitted, taken by the hash of their id.
 CALIBRATION_ROWS = 100_000
 
@@ -77,25 +84,21 @@ def count_pairs(labelled: DataFrame, text: str, toxic: str) -> DataFrame:
     return counted.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def _statistic(a: Column, b: Column, all_a: float, all_b: float) -> Column:
-    """Likelihood-ratio statistic of counts a and b out of all_a and all_b."""
+def _beyond(difference: Column) -> Column:
+    """What a log-likelihood difference has beyond the least ratio."""
+    return F.signum(difference) * F.greatest(F.abs(difference) - math.log(LEAST_RATIO), F.lit(0.0))
 
-    def part(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
 
-    share = (a + b) / F.lit(all_a + all_b)
-    return 2 * (
-        part(a, share * all_a)
-        + part(b, share * all_b)
-        + part(all_a - a, (1 - share) * all_a)
-        + part(all_b - b, (1 - share) * all_b)
-    )
+def _with(pairs: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """``pairs`` with the columns of ``other`` (stored), a row for each key; few rows go to the pairs."""
+    return pairs.join(F.broadcast(other) if at_most(other, BROADCAST_ROWS) else other, key)
 
 
 def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic") -> DataFrame:
     """(key, weight): what a word, or a pair beyond its word, adds to the log-likelihood difference.
 
-    All labelled rows count. Without rows of both classes the model is empty.
+    All labelled rows and all their words and pairs count, also those of a single text.
+    Without rows of both classes the model is empty.
     """
     pairs = stored(count_pairs(labelled, text, toxic), "pair-counts").select(
         "*", F.col("pair").bitwiseAND(0xFFFFFFFF).alias("word"), F.shiftright("pair", 32).alias("history")
@@ -110,61 +113,100 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic") -> DataFr
     all_t, all_o, all_n, words_t, words_o = (float(x or 0) for x in sums)
     if not all_t or not all_o:
         return labelled.sparkSession.createDataFrame([], "key long, weight double")
-    shared = F.col("n") / all_n
-    lower = by_word.select(
-        "word",
-        ((F.greatest(F.col("t") - DISCOUNT, F.lit(0.0)) + DISCOUNT * words_t * shared) / all_t).alias("p_toxic"),
-        ((F.greatest(F.col("o") - DISCOUNT, F.lit(0.0)) + DISCOUNT * words_o * shared) / all_o).alias("p_ordinary"),
-        _statistic(F.col("t"), F.col("o"), all_t, all_o).alias("g"),
-    )
-    difference = F.log(F.col("p_toxic") / F.col("p_ordinary"))
-    telling_word = (F.col("g") >= SIGNIFICANT) & (F.abs(difference) >= math.log(LEAST_RATIO))
-    words = lower.where(telling_word).select(F.col("word").alias("key"), difference.alias("weight"))
-    tokens_t, tokens_o = (float(x or 0) for x in pairs.agg(F.sum("toxic"), F.sum("ordinary")).first())
-    telling = stored(pairs.where(_statistic(F.col("toxic"), F.col("ordinary"), tokens_t, tokens_o) >= SIGNIFICANT), "telling-pairs")
-    histories = (
-        pairs.join(F.broadcast(h) if (h := stored(telling.select("history").distinct(), "histories")).count() <= BROADCAST_KEYS else h, "history", "left_semi")
-        .groupBy("history")
-        .agg(F.sum("toxic").alias("h_toxic"), F.sum("ordinary").alias("h_ordinary"), F.count("*").alias("kinds"))
+    share = F.col("n") / all_n
+
+    def word_rate(seen: str, kinds: float, total: float) -> Column:
+        """The class's likelihood of a word in units of the shared one."""
+        own = F.greatest(F.col(seen) - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * share
+        return (own + SHARED) / (total * share + SHARED)
+
+    lower = stored(
+        by_word.select("word", share.alias("share"), word_rate("t", words_t, all_t).alias("r_toxic"), word_rate("o", words_o, all_o).alias("r_ordinary")),
+        "words",
     )
-    backoff = DISCOUNT * F.col("kinds") / (F.col("h_toxic") + F.col("h_ordinary"))
-
-    def likelihood(kind: str) -> Column:
-        seen = F.greatest(F.col(kind) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"h_{kind}"), F.lit(1))
-        return seen + backoff * F.col(f"p_{kind}")
-
-    whole = F.log(likelihood("toxic") / likelihood("ordinary"))
-    beyond = (
-        telling.join(histories, "history")
-        .join(lower, "word")
-        .where(F.abs(whole) >= math.log(LEAST_RATIO))
-        .select(F.col("pair").alias("key"), (whole - F.when(telling_word, difference).otherwise(F.lit(0.0))).alias("weight"))
+    of_word = _beyond(F.log(F.col("r_toxic") / F.col("r_ordinary")))
+    histories = stored(
+        pairs.groupBy("history").agg(F.sum("toxic").alias("h_toxic"), F.sum("ordinary").alias("h_ordinary"), F.count("*").alias("kinds")),
+        "histories",
     )
-    return words.unionByName(beyond)
+    both = F.col("h_toxic") + F.col("h_ordinary")
+
+    def pair_rate(kind: str) -> Column:
+        """The same of a word after its history; what the discount takes backs off to the class's words."""
+        mine, rate = F.col(f"h_{kind}"), F.col(f"r_{kind}")
+        own = F.greatest(F.col(kind) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") / both * mine * F.col("share") * rate
+        return (own + SHARED_PAIRS * rate) / ((F.col("toxic") + F.col("ordinary")) * mine / both + SHARED_PAIRS)
+
+    of_pair = _beyond(F.log(pair_rate("toxic") / pair_rate("ordinary")))
+    words = lower.select(F.col("word").alias("key"), of_word.alias("weight"))
+    beyond = _with(_with(pairs, histories, "history"), lower, "word").select(F.col("pair").alias("key"), (of_pair - of_word).alias("weight"))
+    return words.unionByName(beyond).where("weight != 0")
+
+
+def _bits(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bitmap(model: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the hash of each key of ``model``, set in tasks and gathered in parts of 4 KB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bits(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> _CHUNK), pa.array(at & (1 << _CHUNK) - 1)], names=["part", "bit"])
+
+    parts = model.select("key").mapInArrow(run, "part long, bit long").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("set")).collect()
+    out = np.zeros((1 << bits - _CHUNK, 1 << _CHUNK - 3), np.uint8)
+    for r in parts:
+        out[r["part"]] = np.frombuffer(r["set"], np.uint8)
+    return out.ravel()
 
 
 def evidence(docs: DataFrame, model: DataFrame, text: str, keep: list[str], out: str = "evidence") -> DataFrame:
     """Columns ``keep`` and ``out``, the log-likelihood difference by token (0 for texts without tokens)."""
     entries = model.count()
-    blocks = max(1, math.ceil(entries / BLOCK_ENTRIES))
-    names = [f"_part{i}" for i in range(blocks)]
-    scored = docs.select(*[quoted(c) for c in keep], quoted(text).alias("_text"))
-    for i, name in enumerate(names):
-        rows = model.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).toPandas().sort_values("key")
-        keys, weights = rows["key"].to_numpy(np.int64), rows["weight"].to_numpy(np.float64)
-
-        def compute(texts: pa.Array, keys=keys, weights=weights) -> list[pa.Array]:
-            row, word, pair = grams(texts)
-            total = np.zeros(len(texts))
-            for found in (word, pair) if len(keys) else ():
-                at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                total += np.bincount(row, weights=np.where(keys[at] == found, weights[at], 0.0), minlength=len(texts))
-            count = np.maximum(np.bincount(row, minlength=len(texts)), 1)
-            return [pa.array(total / count)]
-
-        scored = add_columns(scored, "_text", StructType([StructField(name, DoubleType())]), compute)
-    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    return scored.select(*[quoted(c) for c in keep], F.round(total, 9).alias(out))
+    kept = [quoted(c) for c in keep]
+    if entries > BLOCK_ENTRIES:
+        return _joined(docs, model, entries, text, keep, out)
+    rows = model.toPandas().sort_values("key")
+    keys, weights = rows["key"].to_numpy(np.int64), rows["weight"].to_numpy(np.float64)
+
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        row, word, pair = grams(texts)
+        total = np.zeros(len(texts))
+        for found in (word, pair) if len(keys) else ():
+            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+            total += np.bincount(row, weights=np.where(keys[at] == found, weights[at], 0.0), minlength=len(texts))
+        count = np.maximum(np.bincount(row, minlength=len(texts)), 1)
+        return [pa.array(total / count)]
+
+    scored = add_columns(docs.select(*kept, quoted(text).alias("_text")), "_text", StructType([StructField("_sum", DoubleType())]), compute)
+    return scored.select(*kept, F.round("_sum", 9).alias(out))
+
+
+def _joined(docs: DataFrame, model: DataFrame, entries: int, text: str, keep: list[str], out: str) -> DataFrame:
+    """``evidence`` by a join: each text's words and pairs that the bitmap lets through meet the model by key."""
+    kept = [quoted(c) for c in keep]
+    bits = min(MOST_BITS, max(_CHUNK, math.ceil(math.log2(ENTRY_BITS * entries))))
+    filled = _bitmap(model, bits)
+
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        row, word, pair = grams(texts)
+        both, rows = np.concatenate([word, pair]), np.concatenate([row, row])
+        at = _bits(both, bits)
+        some = (filled[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        order = np.argsort(rows[some], kind="stable")
+        ends = np.cumsum(np.bincount(rows[some], minlength=len(texts)))
+        keys = pa.LargeListArray.from_arrays(np.concatenate([[0], ends]), both[some][order]).cast(pa.list_(pa.int64()))
+        return [pa.array(np.bincount(row, minlength=len(texts)).astype(np.int64)), keys]
+
+    fields = StructType([StructField("_tokens", LongType()), StructField("_keys", ArrayType(LongType()))])
+    asked = docs.select(*kept, F.monotonically_increasing_id().alias("_row"), quoted(text).alias("_text"))
+    # Stored, as the numbers of the rows must stay what they are.
+    texts = stored(add_columns(asked, "_text", fields, compute, keep=[*keep, "_row"]), "text-keys")
+    sums = texts.select("_row", F.explode("_keys").alias("key")).join(model, "key").groupBy("_row").agg(F.sum("weight").alias("_sum"))
+    mean = F.coalesce("_sum", F.lit(0.0)) / F.greatest("_tokens", F.lit(1))
+    return texts.join(sums, "_row", "left").select(*kept, F.round(mean, 9).alias(out))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:

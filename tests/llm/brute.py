@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -82,3 +83,41 @@ def encoder():
     with open(p.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def kneser_ney(rows, discount, shared, shared_pairs, factor):
+    """Weights of words, and of pairs (history, word) as a whole, from (text, toxic) rows."""
+    counts, kinds = [{}, {}], {}
+    for text, toxic in rows:
+        words = text.split()
+        for p in {*zip(["", *words], words)}:
+            counts[toxic][p] = counts[toxic].get(p, 0) + 1
+            kinds[p] = None
+    follows = [{}, {}]
+    histories, everyone = [{}, {}], {}
+    for p in kinds:
+        everyone[p[1]] = everyone.get(p[1], 0) + 1
+        for c in (0, 1):
+            if p in counts[c]:
+                follows[c][p[1]] = follows[c].get(p[1], 0) + 1
+                histories[c][p[0]] = histories[c].get(p[0], 0) + counts[c][p]
+    n = sum(everyone.values())
+
+    def beyond(rate):
+        d = math.log(rate[1] / rate[0])
+        return math.copysign(max(abs(d) - math.log(factor), 0), d)
+
+    def of_word(w):
+        share = everyone[w] / n
+        own = [max(f.get(w, 0) - discount, 0) + discount * len(f) * share for f in follows]
+        return [(x + shared) / (sum(f.values()) * share + shared) for x, f in zip(own, follows)]
+
+    def of_pair(p):
+        h = [x.get(p[0], 0) for x in histories]
+        back = discount * sum(q[0] == p[0] for q in kinds) / sum(h) * everyone[p[1]] / n
+        seen = [c.get(p, 0) for c in counts]
+        rates = of_word(p[1])
+        return [(max(seen[c] - discount, 0) + back * h[c] * rates[c] + shared_pairs * rates[c]) / (sum(seen) * h[c] / sum(h) + shared_pairs) for c in (0, 1)]
+
+    words = {w: beyond(of_word(w)) for w in everyone}
+    return words, {p: beyond(of_pair(p)) for p in kinds if p[0]}

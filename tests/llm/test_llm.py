@@ -394,3 +394,53 @@ def test_pipeline_equals_brute_force(spark):
     assert set(got) == set(docs)
     for d, t in docs.items():
         assert (got[d]["text"], got[d]["n_chars"], got[d]["token_ids"], got[d]["round_trip"]) == (t, len(t), own.encode_ordinary(t), True)
+
+
+def toxicity_corpus():
+    """(text, toxic): common words, two words in three toxic texts only, one in a single one, and a pair of common words in all toxic texts only."""
+    random.seed(11)
+    usual = ["frost", "ember", *(f"w{i}" for i in range(400))]
+    rows = []
+    for i in range(300):
+        words = random.choices(usual, k=30)
+        if i % 10 == 0:
+            words[16:18] = ["frost", "ember"]
+            words[7] = "insult" if i % 100 == 0 else words[7]
+            words[12] = "vile" if i % 100 == 10 else words[12]
+            words[20] = "lone" if i == 20 else words[20]
+        text = " ".join(words)
+        rows.append((text, 1) if i % 10 == 0 else (text.replace("frost ember", "frost frost"), 0))
+    return rows
+
+
+def test_toxicity_model_equals_brute_force(spark):
+    rows = toxicity_corpus()
+    model = {r["key"]: r["weight"] for r in toxicity.fit(spark.createDataFrame(rows, "text string, toxic int")).collect()}
+    word, pair = brute.kneser_ney(rows, toxicity.DISCOUNT, toxicity.SHARED, toxicity.SHARED_PAIRS, toxicity.LEAST_RATIO)
+    _, words, pairs = toxicity.grams(pa.array([" ".join(p) for p in sorted(pair)]))
+    keys = {p: (int(words[2 * i + 1]), int(pairs[2 * i + 1])) for i, p in enumerate(sorted(pair))}
+    for p, (word_key, pair_key) in keys.items():
+        assert abs(model.get(word_key, 0.0) - word[p[1]]) < 1e-9
+        assert abs(model.get(pair_key, 0.0) - (pair[p] - word[p[1]])) < 1e-9
+    assert word["insult"] > 0 and word["vile"] > 0 and pair["frost", "ember"] > 0
+
+
+def test_toxicity_of_a_rare_expression(spark):
+    """A word in three toxic texts and in no ordinary one counts."""
+    rows = [(2 * i, t, y) for i, (t, y) in enumerate(toxicity_corpus())]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    docs = spark.createDataFrame([(1, "insult"), (2, "unheard"), (3, "")], "doc_id long, text string")
+    found = {r["doc_id"]: r["evidence"] for r in toxicity.evidence(docs, model, "text", ["doc_id"]).collect()}
+    assert found[1] > 0 and found[2] == found[3] == 0
+
+
+def test_toxicity_of_a_large_model(spark, monkeypatch):
+    """Joined with the texts, a model gives the evidence that it gives when it goes to the tasks."""
+    rows = toxicity_corpus() + [("", 0), (None, 0), ("stone", 0)]
+    docs = spark.createDataFrame([(i // 2, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs).localCheckpoint()
+    sent = sorted(toxicity.evidence(docs, model, "text", ["doc_id"]).collect())
+    monkeypatch.setattr(toxicity, "BLOCK_ENTRIES", 0)
+    joined = sorted(toxicity.evidence(docs, model, "text", ["doc_id"]).collect())
+    assert len(sent) == len(rows) and [r[0] for r in sent] == [r[0] for r in joined]
+    assert all(abs(a[1] - b[1]) < 1e-8 for a, b in zip(sent, joined)) and any(r[1] for r in sent)
