@@ -21,7 +21,7 @@ from shelfspark.functions.strings import analyze, once, strip
 from shelfspark.functions.templates import CONTEXT_TEMPLATE, fill
 from shelfspark.operators.postings import TextIndex
 from shelfspark.operators.rows import SCORE_DECIMALS
-from shelfspark.session import with_computed
+from shelfspark.session import kept, with_computed
 
 #: Vector length and batch size of the models in use.
 DIMS = 1536
@@ -150,13 +150,29 @@ class TextEncoder:
         counts = TextEncoder._counts(df.where(F.col(text).isNotNull()).select(text), text, dims)
         return TextEncoder(IDF(inputCol="_counts", outputCol="_weighted").fit(counts), dims)
 
+    @staticmethod
+    def fit_encode(
+        df: DataFrame, text: str, out: str = "embedding", element: str = "float", dims: int = DIMS
+    ) -> tuple[TextEncoder, DataFrame]:
+        """An encoder fitted on the rows of ``df``, and these rows encoded, with ``out`` in place of ``text``.
+
+        The same as ``fit`` and ``encode``, but the texts, whose analysis takes nearly all of
+        the time, are analysed once: their counts are stored and serve both.
+        """
+        counted = TextEncoder._counts(df.withColumn("_known", F.col(text).isNotNull()), text, dims).drop(text)
+        counts = kept(counted, "token-counts")
+        idf = IDF(inputCol="_counts", outputCol="_weighted").fit(counts.where("_known").select("_counts"))
+        encoder = TextEncoder(idf, dims)
+        return encoder, encoder._vectors(counts, F.col("_known"), out, element).drop("_known")
+
     def encode(self, df: DataFrame, text: str, out: str = "embedding", element: str = "float") -> DataFrame:
         """Adds ``out``, an array of ``element`` numbers; null text gives null."""
-        weighted = self.idf.transform(self._counts(df, text, self.dims))
-        unit = Normalizer(p=2.0, inputCol="_weighted", outputCol="_unit").transform(weighted)
+        return self._vectors(self._counts(df, text, self.dims), F.col(text).isNotNull(), out, element)
+
+    def _vectors(self, counts: DataFrame, known: Column, out: str, element: str) -> DataFrame:
+        unit = Normalizer(p=2.0, inputCol="_weighted", outputCol="_unit").transform(self.idf.transform(counts))
         numbers = vector_to_array(F.col("_unit")).cast(f"array<{element}>")
-        computed = with_computed(unit, **{out: F.when(F.col(text).isNotNull(), numbers)})
-        return computed.drop("_counts", "_weighted", "_unit")
+        return with_computed(unit, **{out: F.when(known, numbers)}).drop("_counts", "_weighted", "_unit")
 
     def save(self, path: str) -> None:
         self.idf.write().overwrite().save(path)

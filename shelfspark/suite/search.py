@@ -223,9 +223,9 @@ def with_vectors(spark, sf):
     found = docs(spark, sf)
 
     def write(path):
-        encoder = TextEncoder.fit(found, "description")
+        encoder, encoded = TextEncoder.fit_encode(found.select("id", "description"), "description", element="double")
         encoder.save(f"{path}/encoder")
-        encoder.encode(found.select("id", "description"), "description", element="double").select("id", "embedding").write.parquet(f"{path}/vectors")
+        encoded.select("id", "embedding").write.parquet(f"{path}/vectors")
         return spark.read.parquet(f"{path}/vectors"), TextEncoder.load(f"{path}/encoder")
 
     return found, *d.once_stored(spark, sf, "doc-vectors", write)

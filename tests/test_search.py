@@ -346,3 +346,20 @@ def test_pairs_at_any_threshold_equal_brute_force(spark, monkeypatch, threshold)
             if not any(dedup.ratio(t, rows[j][1]) >= threshold for j in kept):
                 kept.append(i)
         assert sorted(r["ord"] for r in dedup.dedup_catalog(df, threshold).collect()) == kept
+
+
+def test_fitting_and_encoding_analyse_a_text_once(spark):
+    """Once per row, counted in the tasks; vectors and encoder are those of two passes. Repeated and null ids and texts stay."""
+    rows = [(1, "red apple"), (1, "red apple"), (2, None), (None, "green pear pear"), (3, "")]
+    docs = spark.createDataFrame(rows, "id long, description string")
+    read = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        read.add(1)
+        return text
+
+    encoder, encoded = TextEncoder.fit_encode(docs.withColumn("description", F.udf(count)("description")), "description", element="double")
+    found = sorted(encoded.select("id", "embedding").collect(), key=str)
+    once = TextEncoder.fit(docs, "description")
+    assert read.value == len(rows) and list(encoder.idf.idf) == list(once.idf.idf)
+    assert found == sorted(once.encode(docs, "description", element="double").select("id", "embedding").collect(), key=str)
