@@ -21,7 +21,7 @@ from shelfspark.operators.models import TextEncoder
 from shelfspark.operators.rows import needs_embedding, nonempty_text
 from shelfspark.plans.crawl import discover_urls, judged, split_judged
 from shelfspark.schema import EXTRACTED, FRONTIER, QUARANTINE
-from shelfspark.session import BROADCAST_ROWS, at_most
+from shelfspark.session import BROADCAST_ROWS, at_most, over_all_cores
 from shelfspark.sources.tables import read_changes, read_current, write_changes
 
 EMBEDDED = StructType([StructField("url", StringType()), StructField("description_embedding", ArrayType(FloatType()))])
@@ -100,7 +100,8 @@ def stream_backfill_embeddings(
     run = run_name("embed", checkpoint)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        pending = nonempty_text(needs_embedding(batch), text).select("url", text)
+        # A batch is often a single file, which one task would read and encode.
+        pending = over_all_cores(nonempty_text(needs_embedding(batch), text).select("url", text))
         encoded = encoder.encode(pending, text, "description_embedding").select(*EMBEDDED.names)
         write_changes(encoded, path, batch_id, run)
 

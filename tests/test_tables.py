@@ -20,6 +20,7 @@ from shelfspark.sources import tables as tb
 from shelfspark.sources.catalog_csv import scan_catalog_csv, write_catalog_csv
 from shelfspark.sources.keyed_tables import KeyedTable
 from shelfspark.sources.text_dump import append_text_dump
+from shelfspark.streaming import jobs as st
 
 
 def test_upsert_last_wins_and_is_idempotent(spark):
@@ -317,3 +318,23 @@ def test_refresh_context_and_backfill(spark):
     assert len(stored["a"]) == 64 and stored["b"] is None
     again = cat.refresh_context(spark.read.parquet(path), at, invalidate_embedding=True)
     assert again.where(F.col("description_embedding").isNotNull()).count() == 0
+
+
+def test_a_batch_of_one_file_is_encoded_by_all_cores(spark):
+    """Each task that had rows writes a file of vectors; none is lost or made twice."""
+    rows = [(f"u{i}", f"text of number {i}", None) for i in range(400)]
+    schema = "url string, product_context string, description_embedding array<float>"
+    source, table = scratch_path(spark, "one-file"), scratch_path(spark, "vectors")
+    products = spark.createDataFrame(rows, schema).withColumn("description", F.col("product_context"))
+    # One row group in a file that is cut into several ranges of bytes: one task gets all rows.
+    products.coalesce(1).write.option("compression", "none").parquet(source)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)
+    encoder = TextEncoder.fit(products, "product_context", dims=16)
+    stream = spark.readStream.schema(products.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    try:
+        st.stream_backfill_embeddings(stream, encoder, table, scratch_path(spark, "checkpoint")).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    found = spark.read.parquet(table)
+    assert sorted(r["url"] for r in found.collect()) == sorted(r[0] for r in rows)
+    assert found.select(F.input_file_name()).distinct().count() >= spark.sparkContext.defaultParallelism
