@@ -21,7 +21,7 @@ from shelfspark.functions.strings import analyze, once, strip
 from shelfspark.functions.templates import CONTEXT_TEMPLATE, fill
 from shelfspark.operators.postings import TextIndex
 from shelfspark.operators.rows import SCORE_DECIMALS
-from shelfspark.session import kept, with_computed
+from shelfspark.session import kept, over_all_cores, with_computed
 
 #: Vector length and batch size of the models in use.
 DIMS = 1536
@@ -159,7 +159,7 @@ class TextEncoder:
         The same as ``fit`` and ``encode``, but the texts, whose analysis takes nearly all of
         the time, are analysed once: their counts are stored and serve both.
         """
-        counted = TextEncoder._counts(df.withColumn("_known", F.col(text).isNotNull()), text, dims).drop(text)
+        counted = TextEncoder._counts(over_all_cores(df).withColumn("_known", F.col(text).isNotNull()), text, dims).drop(text)
         counts = kept(counted, "token-counts")
         idf = IDF(inputCol="_counts", outputCol="_weighted").fit(counts.where("_known").select("_counts"))
         encoder = TextEncoder(idf, dims)
