@@ -49,12 +49,17 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
+def beyond_ascii(c: Column) -> Column:
+    """Whether text holds a character of more than one byte; two lengths tell it sooner than a pattern."""
+    return F.octet_length(c) != F.char_length(c)
+
+
 def fold(c: Column) -> Column:
     """ASCII folding of lowercased text; text that is ASCII already is left untouched."""
     folded = F.translate(c, FOLD_FROM, FOLD_TO)
     for letter, pair in TWO_LETTER_FOLDS.items():
         folded = F.replace(folded, F.lit(letter), F.lit(pair))
-    return F.when(c.rlike(r"[^\x00-\x7f]"), folded).otherwise(c)
+    return F.when(beyond_ascii(c), folded).otherwise(c)
 
 
 # Word segmentation after Unicode UAX #29: runs of letters, marks, digits and
@@ -84,7 +89,7 @@ def analyze(c: Column) -> Column:
 
     def cut(text: Column) -> Column:
         return F.when(
-            text.rlike(f"[{_ALONE}]"), F.regexp_extract_all(text, F.lit(WORD_OR_IDEOGRAPH), 0)
+            beyond_ascii(text) & text.rlike(f"[{_ALONE}]"), F.regexp_extract_all(text, F.lit(WORD_OR_IDEOGRAPH), 0)
         ).otherwise(F.regexp_extract_all(text, F.lit(WORD), 0))
 
     tokens = once(F.lower(c), lambda low: once(fold(low), cut))

@@ -363,3 +363,22 @@ def test_fitting_and_encoding_analyse_a_text_once(spark):
     once = TextEncoder.fit(docs, "description")
     assert read.value == len(rows) and list(encoder.idf.idf) == list(once.idf.idf)
     assert found == sorted(once.encode(docs, "description", element="double").select("id", "embedding").collect(), key=str)
+
+
+def test_texts_of_one_row_group_are_indexed_by_all_cores(spark):
+    """The term of a document is the number of the task that cut it into words."""
+    docs = spark.range(200).selectExpr("id", "'word' AS description").coalesce(1)
+    terms = [(f"p{i}",) for i in range(1000)]
+    index = postings.index_for(
+        spark.createDataFrame(terms, "term string"), docs, ["description"],
+        lambda c: F.array(F.concat(F.lit("p"), F.spark_partition_id().cast("string"))),
+    )
+    found = index.terms.collect()
+    assert sum(r["df"] for r in found) == 200 and len(found) >= spark.sparkContext.defaultParallelism
+
+
+def test_folding_of_narrow_and_wide_texts(spark):
+    texts = ["", None, "plain ascii", "\x7f\x80", "æther", "crème brûlée", "日本 go", "a·b", "𠀀x", "ﬁ"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(strings.beyond_ascii(F.col("t")), strings.analyze(F.col("t")), "t").collect()
+    assert [r[0] for r in rows] == [None if t is None else not t.isascii() for t in texts]
+    assert rows[4][1] == ["aether"] and rows[5][1] == ["creme", "brulee"] and rows[6][1] == ["日", "本", "go"] and rows[1][1] == []
