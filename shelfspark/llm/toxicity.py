@@ -5,13 +5,12 @@ backs off to how many different words the second one follows (its continuation
 count) in the class, and that to the continuation counts of both classes together.
 Each order is also interpolated with a model that the classes share, whose weight
 falls with the count that a class of this size would be expected to have: what is
-rare is carried by the shared model and says little, but never nothing by a rule.
+rare is carried by the shared model and says little.
 A text's evidence is the difference of its log-likelihoods divided by its tokens; a
 logistic curve turns it into a score.
 
 A factor of the likelihoods up to a limit is taken to be of a language or a topic;
-only what a word or pair has beyond it counts, whatever its frequency. Entries with nothing beyond add 0
-and aren't stored. A model of bounded size goes to the tasks; a larger one is joined
+only what a word or pair has beyond it counts. Entries with nothing beyond add 0 and aren't stored. A model of bounded size goes to the tasks; a larger one is joined
 with those words and pairs of the texts that a bitmap of its keys lets through.
 """
 
