@@ -1,6 +1,7 @@
 """The operators against brute force, on odd inputs, and the pipeline as a whole."""
 
 import hashlib
+import os
 import random
 import sys
 import zlib
@@ -17,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from shelfspark.llm import byte_bpe, decontaminate, minhash, passages, quality, registry, secret_scan, sharding, suffix_array, toxicity, warc  # noqa: E402
+from shelfspark.llm import byte_bpe, decontaminate, graph, minhash, passages, quality, registry, secret_scan, sharding, suffix_array, toxicity, warc  # noqa: E402
 from shelfspark.llm.graph import components  # noqa: E402
 
 registry.load_all()
@@ -199,6 +200,22 @@ def test_suffix_order_of_stretches_that_end_in_a_shared_line(spark):
     assert len(order) == len(rows) and [keys[x] for x in order] == sorted(keys.values())
 
 
+def test_suffix_array_stores_little_beside_its_texts(spark, monkeypatch):
+    random.seed(6)
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "rstuv" for c in "klmn"]
+    texts = []
+    for _ in range(150):  # two texts with a long repetition, changed in places
+        x = random.choices(words, k=2000)
+        y = [w if random.random() > 0.005 else "other" for w in x]
+        texts += [" ".join(random.choices(words, k=300) + t) for t in (x, y)]
+    kept = []
+    monkeypatch.setattr(suffix_array, "stored", lambda df, name: kept.append(graph.stored(df, name)) or kept[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert suffix_array.remove_repeats(docs).where("n_removed > 0").count() > 250
+    size = sum(os.path.getsize(f.removeprefix("file:")) for df in kept for f in df.inputFiles())
+    assert size < 2.5 * sum(map(len, texts))
+
+
 @pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
 def test_near_duplicates_equal_all_pairs(spark, size, percent):
     random.seed(size)
