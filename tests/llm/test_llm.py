@@ -200,6 +200,23 @@ def test_suffix_order_of_stretches_that_end_in_a_shared_line(spark):
     assert len(order) == len(rows) and [keys[x] for x in order] == sorted(keys.values())
 
 
+def test_suffix_array_of_copies_changed_every_few_hundred_bytes(spark):
+    random.seed(7)
+    texts = []
+    for _ in range(8):
+        base = "".join(random.choices("abcdefgh \n", k=3000))
+        for _ in range(5):
+            x, at = list(base[random.randrange(40) :]), random.randrange(400)
+            while at < len(x):
+                x[at] = random.choice("XY")
+                at += random.randint(380, 430)
+            texts.append("".join(random.choices("ij", k=random.randrange(30))) + "".join(x))
+    texts += ["k" * 70000, "l" * 300 + "k" * 420]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = of(suffix_array.remove_repeats(docs).collect())
+    assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(texts))] == brute.removed(texts, 400)
+
+
 def test_suffix_array_stores_little_beside_its_texts(spark, monkeypatch):
     random.seed(6)
     words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "rstuv" for c in "klmn"]
