@@ -108,6 +108,7 @@ def _searchable(clauses: DataFrame, docs: DataFrame | TextIndex, rule: MatchRule
     postings, terms, stats, impacts = parts
     if stored and not rule.prefix:
         postings = postings.join(vocabulary, "term", "left_semi")
+        impacts = impacts if impacts is None else impacts.join(vocabulary, "term", "left_semi")
     return TextIndex(postings, terms, stats, impacts)
 
 

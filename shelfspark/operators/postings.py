@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,18 +70,94 @@ def _with_whole(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("tokens", F.concat(F.array(F.lit(WHOLE)), "tokens"))
 
 
-def write_postings(postings: DataFrame, path: str) -> None:
-    """Stored in term order: equal terms lie together, and a filter on one term skips row groups.
-
-    The block and the document id are part of the range, so a term found in a third of all
-    documents is cut over many files.
-    """
-    (
-        postings.repartitionByRange("field", "term", "block", "id")
-        .sortWithinPartitions("field", "term", "block", "id")
-        .write.mode("overwrite")
-        .parquet(path)
-    )
+#: Documents whose postings one task of ``store_index`` counts (expected), and tokens that it counts at a time.
+PART_DOCS, PART_TOKENS = 2_000, 1 << 20
+
+
+def _counted(rows: pa.RecordBatch) -> pa.Table:
+    """`field, term, block, id, tf, dl` of token rows; rows of one id and length are one document."""
+    words = rows.column("tokens").flatten().dictionary_encode()
+    ids = rows.column("id").dictionary_encode(null_encoding="encode")
+    fields, dl = rows.column("field").dictionary_encode(), rows.column("dl").to_numpy().astype(np.int64)
+    codes = lambda x: x.indices.to_numpy().astype(np.int64)
+    key = (codes(fields) * len(ids.dictionary) + codes(ids)) * (dl.max() + 1) + dl
+    first, doc = np.unique(key, return_index=True, return_inverse=True)[1:]
+    n = len(words.dictionary) + 1  # number 0 is the document itself
+    of = np.repeat(doc, rows.column("tokens").value_lengths().to_numpy())
+    pairs, tf = np.unique(np.concatenate([doc * n, of * n + codes(words) + 1]), return_counts=True)
+    at = pa.array(first[pairs // n])
+    terms = pa.concat_arrays([pa.array([WHOLE], words.dictionary.type), words.dictionary]).take(pa.array(pairs % n))
+    field, block, id, length = (rows.column(c).take(at) for c in ("field", "block", "id", "dl"))
+    return pa.table({"field": field, "term": terms, "block": block, "id": id, "tf": pa.array(tf, pa.int64()), "dl": length})
+
+
+def _packed(rows: pa.Table) -> pa.RecordBatch:
+    """`field, term, block, docs`: the postings of each term in each block, in the order of the terms."""
+    rows = rows.combine_chunks()
+    fields, terms = (rows.column(c).combine_chunks().dictionary_encode() for c in ("field", "term"))
+
+    def places(column: pa.DictionaryArray) -> np.ndarray:
+        order = pc.sort_indices(column.dictionary).to_numpy()
+        return np.argsort(order)[column.indices.to_numpy()].astype(np.int64)
+
+    block = rows.column("block").to_numpy().astype(np.int64)
+    key = (places(fields) * len(terms.dictionary) + places(terms)) * (block.max() + 1) + block
+    order = np.argsort(key, kind="stable")
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1])
+    sorted_rows = rows.take(pa.array(order)).combine_chunks()
+    docs = pa.StructArray.from_arrays([sorted_rows.column(c).combine_chunks() for c in ("id", "tf", "dl")], names=["id", "tf", "dl"])
+    docs = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), docs)
+    heads = [sorted_rows.column(c).combine_chunks().take(pa.array(starts)) for c in ("field", "term", "block")]
+    return pa.RecordBatch.from_arrays([*heads, docs], names=["field", "term", "block", "docs"])
+
+
+def _pack(whole_blocks: bool):
+    """Packs token rows that lie in the order of `block, id`; a block has one row a term if ``whole_blocks``, else an id is in one row."""
+    group, most = ["block"] if whole_blocks else ["block", "id"], PART_TOKENS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # of the group that may go on
+        for batch in batches:
+            ends = np.concatenate([[0], np.cumsum(batch.column("tokens").value_lengths().to_numpy())])
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1)
+                rows = batch.slice(lo, hi - lo)
+                last = [rows.column(c)[-1] for c in group]
+                found = _counted(rows)
+                same = [pc.is_null(found.column(c)) if not v.is_valid else pc.fill_null(pc.equal(found.column(c), v), False) for c, v in zip(group, last)]
+                same = same[0] if whole_blocks else pc.and_(*same)
+                done, rest = found.filter(pc.invert(same)), found.filter(same)
+                if done.num_rows:
+                    yield _packed(_merged([*held, done]))
+                    held = []
+                held = [_merged([*held, rest])]
+                lo = hi
+        if held:
+            yield _packed(held[0])
+
+    return run
+
+
+def _merged(parts: list[pa.Table]) -> pa.Table:
+    """Counts of documents that go on from one part to the next are one."""
+    if len(parts) == 1:
+        return parts[0]
+    keys = ["field", "term", "block", "id", "dl"]
+    return pa.concat_tables(parts).group_by(keys).aggregate([("tf", "sum")]).rename_columns({"tf_sum": "tf"}).select(parts[0].column_names)
+
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    """`field, term, id, tf, dl, block`, without the rows that stand for documents."""
+    each = packed.where(F.col("term") != WHOLE).select("field", "term", "block", F.explode("docs").alias("d"))
+    return each.select("field", "term", "d.id", "d.tf", "d.dl", "block")
+
+
+def packed_impacts(packed: DataFrame, stats: DataFrame) -> DataFrame:
+    """`field, term, block, top` for each packed row."""
+    rated = packed.where(F.col("term") != WHOLE).join(F.broadcast(stats), "field")  # as many rows as fields
+    top = F.array_max(F.transform("docs", lambda d: impact(d["tf"], d["dl"], F.col("avg_dl"))))
+    return rated.select("field", "term", "block", top.alias("top"))
 
 
 @dataclass(frozen=True)
@@ -86,7 +165,8 @@ class TextIndex:
     """Stored postings, document frequencies and field statistics of a set of documents.
 
     ``impacts`` holds the largest impact of each term in each block of documents. An
-    index of one block has none, as there is nothing to leave out.
+    index of one block has none, as there is nothing to leave out. Blocks that one task
+    counts as wholes are rows of the packed postings, so their impacts are read off these.
     """
 
     postings: DataFrame
@@ -96,9 +176,10 @@ class TextIndex:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextIndex:
-        postings, terms, stats, impacts = (spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats", "impacts"))
-        return TextIndex(postings.where(F.col("term") != WHOLE), terms, stats, None if impacts.isEmpty() else impacts)
-
+        packed, terms, stats, layout = (spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats", "layout"))
+        row = layout.first()
+        impacts = None if row["blocks"] == 1 else packed_impacts(packed, stats) if row["whole_blocks"] else spark.read.parquet(f"{path}/impacts")
+        return TextIndex(_unpacked(packed), terms, stats, impacts)
 
 
 def finish_index(postings: DataFrame, path: str, blocks: int) -> TextIndex:
@@ -143,12 +224,36 @@ def store_index(
     length: Analyzer = F.size,
     block_docs: int = BLOCK_DOCS,
 ) -> TextIndex:
-    """Writes the full index, to be searched any number of times."""
-    blocks = _blocks(docs, block_docs)
-    tokens = field_tokens(docs, fields, analyzer, id_col, length)
-    postings = _in_blocks(count_terms(_with_whole(tokens)), blocks)
-    write_postings(postings, f"{path}/postings")
-    return finish_index(postings, path, blocks)
+    """Writes the full index, to be searched any number of times.
+
+    Documents are dealt by their block, or by their id where a block is too much for a task, so all postings of a
+    document are counted in one task and only texts are shuffled. Each file holds its documents'
+    postings in runs in the order of the terms, one row for each term and block.
+    """
+    spark, total = docs.sparkSession, docs.count()
+    blocks = max(1, -(-total // block_docs))
+    whole = blocks > 1 and total <= blocks * PART_DOCS
+    place = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+    tasks = max(-(-total // PART_DOCS), min(total, spark.sparkContext.defaultParallelism), 1)
+    dealt = docs.select(*dict.fromkeys([id_col, *fields])).repartition(tasks, place if whole else F.col(id_col)).sortWithinPartitions(place, id_col)
+    tokens = _in_blocks(field_tokens(dealt, fields, analyzer, id_col, length), blocks)
+    kind = tokens.schema["id"].dataType.simpleString()
+    packed = tokens.mapInArrow(_pack(whole), f"field string, term string, block int, docs array<struct<id: {kind}, tf: bigint, dl: int>>")
+    packed.write.mode("overwrite").parquet(f"{path}/postings")
+    stored = spark.read.schema(packed.schema).parquet(f"{path}/postings")
+
+    def written(part: DataFrame, name: str) -> DataFrame:
+        part.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(part.schema).parquet(f"{path}/{name}")
+
+    terms = written(stored.where(F.col("term") != WHOLE).groupBy("field", "term").agg(F.sum(F.size("docs")).alias("df")), "terms")
+    each = stored.where(F.col("term") == WHOLE).select("field", F.explode("docs.dl").alias("dl"))
+    stats = written(field_stats(each).coalesce(1), "stats")
+    written(spark.createDataFrame([(blocks, whole)], "blocks int, whole_blocks boolean").coalesce(1), "layout")
+    impacts = None if blocks == 1 else packed_impacts(stored, stats)
+    if blocks > 1 and not whole:
+        impacts = written(impacts.groupBy("field", "term", "block").agg(F.max("top").alias("top")), "impacts")
+    return TextIndex(_unpacked(stored), terms, stats, impacts)
 
 
 def index_for(
