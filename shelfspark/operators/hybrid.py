@@ -43,7 +43,7 @@ def hybrid_search(
     """
     lexical = search_bm25(queries, docs, size_per_source, index=index)
     asked = encoded_queries(queries, encoder)
-    near = semantic_search(asked, vectors.select("id", "embedding"), size_per_source)
+    near = semantic_search(asked, vectors.select("id", "embedding"), size_per_source, dims=getattr(encoder, "dims", None))
     bound = 10_000 * size_per_source if at_most(queries, 10_000) else None
     stored = [c for c in ["title", "description", "price", "url"] if c in docs.columns]
     found = union_hits(
@@ -64,7 +64,7 @@ def semantic_search_text(
     Returns the answers, and hits that lack one of these texts with the reason.
     """
     asked = encoded_queries(queries, encoder)
-    near = semantic_search(asked, vectors.select("id", "embedding"), size)
+    near = semantic_search(asked, vectors.select("id", "embedding"), size, dims=getattr(encoder, "dims", None))
     bound = 10_000 * size if at_most(queries, 10_000) else None
     return format_hits(attach(near, docs, ["title", "url", "description"], bound))
 

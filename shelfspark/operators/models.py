@@ -6,22 +6,26 @@ rules, not imitations of those models.
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import IDF, CountVectorizerModel, IDFModel, Normalizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from shelfspark.functions.strings import analyze, once, strip
 from shelfspark.functions.templates import CONTEXT_TEMPLATE, fill
 from shelfspark.operators.postings import TextIndex
 from shelfspark.operators.rows import SCORE_DECIMALS
-from shelfspark.session import kept, over_all_cores, with_computed
+from shelfspark.session import over_all_cores, scratch_path, with_computed
 
 #: Vector length and batch size of the models in use.
 DIMS = 1536
@@ -134,6 +138,31 @@ def _buckets(text: Column, dims: int) -> Column:
     )
 
 
+#: Rows whose tokens are counted at a time, and the fields of a stored sparse vector.
+_COUNTED_ROWS, _SPARSE = 1024, "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+
+
+def _bucket_counts(dims: int):
+    """`_tokens` to the sparse vector of their buckets' counts; a token's bucket is found once per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(lo, _COUNTED_ROWS) for lo in range(0, batch.num_rows, _COUNTED_ROWS)):
+                tokens = part.column("_tokens")
+                words = tokens.flatten().dictionary_encode()
+                bucket = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dims for t in words.dictionary.to_pylist()], np.int64)
+                row = np.repeat(np.arange(part.num_rows), tokens.value_lengths().to_numpy())
+                cells, n = np.unique(row * dims + bucket[words.indices.to_numpy()], return_counts=True)
+                ends = pa.array(np.searchsorted(cells, np.arange(part.num_rows + 1) * dims), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((cells % dims, pa.int32()), (n, pa.float64()))]
+                sizes = [pa.array(np.full(part.num_rows, x), t) for x, t in ((0, pa.int8()), (dims, pa.int32()))]
+                counts = pa.StructArray.from_arrays([*sizes, *lists], names=["type", "size", "indices", "values"])
+                names = [c for c in part.schema.names if c != "_tokens"]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], counts], names=[*names, "_counts"])
+
+    return run
+
+
 class TextEncoder:
     """Text to a unit vector of hashed, idf-weighted token counts. One fit serves queries and documents."""
 
@@ -159,8 +188,14 @@ class TextEncoder:
         The same as ``fit`` and ``encode``, but the texts, whose analysis takes nearly all of
         the time, are analysed once: their counts are stored and serve both.
         """
-        counted = TextEncoder._counts(over_all_cores(df).withColumn("_known", F.col(text).isNotNull()), text, dims).drop(text)
-        counts = kept(counted, "token-counts")
+        known = over_all_cores(df).withColumn("_known", F.col(text).isNotNull())
+        others = known.drop(text).schema.fields
+        tokens = known.select(*[f"`{f.name}`" for f in others], analyze(F.col(text)).alias("_tokens"))
+        sparse = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], f"_counts {_SPARSE}"])
+        path = scratch_path(df.sparkSession, "token-counts")
+        tokens.mapInArrow(_bucket_counts(dims), sparse).write.parquet(path)
+        # Stored as Spark stores its sparse vectors, and read as these.
+        counts = df.sparkSession.read.schema(StructType([*others, StructField("_counts", VectorUDT())])).parquet(path)
         idf = IDF(inputCol="_counts", outputCol="_weighted").fit(counts.where("_known").select("_counts"))
         encoder = TextEncoder(idf, dims)
         return encoder, encoder._vectors(counts, F.col("_known"), out, element).drop("_known")

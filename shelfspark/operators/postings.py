@@ -92,7 +92,7 @@ def _counted(rows: pa.RecordBatch) -> pa.Table:
 
 
 def _packed(rows: pa.Table) -> pa.RecordBatch:
-    """`field, term, block, docs`: the postings of each term in each block, in the order of the terms."""
+    """`field, term, block, n, docs`: the `n` postings of each term in each block, in the order of the terms."""
     rows = rows.combine_chunks()
     fields, terms = (rows.column(c).combine_chunks().dictionary_encode() for c in ("field", "term"))
 
@@ -108,7 +108,7 @@ def _packed(rows: pa.Table) -> pa.RecordBatch:
     docs = pa.StructArray.from_arrays([sorted_rows.column(c).combine_chunks() for c in ("id", "tf", "dl")], names=["id", "tf", "dl"])
     docs = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), docs)
     heads = [sorted_rows.column(c).combine_chunks().take(pa.array(starts)) for c in ("field", "term", "block")]
-    return pa.RecordBatch.from_arrays([*heads, docs], names=["field", "term", "block", "docs"])
+    return pa.RecordBatch.from_arrays([*heads, docs.value_lengths(), docs], names=["field", "term", "block", "n", "docs"])
 
 
 def _pack(whole_blocks: bool):
@@ -238,7 +238,7 @@ def store_index(
     dealt = docs.select(*dict.fromkeys([id_col, *fields])).repartition(tasks, place if whole else F.col(id_col)).sortWithinPartitions(place, id_col)
     tokens = _in_blocks(field_tokens(dealt, fields, analyzer, id_col, length), blocks)
     kind = tokens.schema["id"].dataType.simpleString()
-    packed = tokens.mapInArrow(_pack(whole), f"field string, term string, block int, docs array<struct<id: {kind}, tf: bigint, dl: int>>")
+    packed = tokens.mapInArrow(_pack(whole), f"field string, term string, block int, n int, docs array<struct<id: {kind}, tf: bigint, dl: int>>")
     packed.write.mode("overwrite").parquet(f"{path}/postings")
     stored = spark.read.schema(packed.schema).parquet(f"{path}/postings")
 
@@ -246,7 +246,7 @@ def store_index(
         part.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.schema(part.schema).parquet(f"{path}/{name}")
 
-    terms = written(stored.where(F.col("term") != WHOLE).groupBy("field", "term").agg(F.sum(F.size("docs")).alias("df")), "terms")
+    terms = written(stored.where(F.col("term") != WHOLE).groupBy("field", "term").agg(F.sum("n").alias("df")), "terms")
     each = stored.where(F.col("term") == WHOLE).select("field", F.explode("docs.dl").alias("dl"))
     stats = written(field_stats(each).coalesce(1), "stats")
     written(spark.createDataFrame([(blocks, whole)], "blocks int, whole_blocks boolean").coalesce(1), "layout")

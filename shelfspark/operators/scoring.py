@@ -1,17 +1,19 @@
 """Scores of all documents against the clauses of a query table that is small enough to travel.
 
-Each document's postings of the terms asked are gathered in one row, and a task meets them with
+Each document's postings of the terms asked are sorted together, and a task meets them with
 all queries at once. Work and shuffles follow the postings of these terms, whatever part of
 the documents is a candidate.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,24 +71,47 @@ def score_all(parts: DataFrame, keys: list[str], few: FewQueries) -> DataFrame:
     ``parts`` holds `field, term, *keys, part`: what a term adds to the score of a row, without the query's weight.
     """
     numbered = parts.join(F.broadcast(few.terms), ["field", "term"])  # as many rows as clauses at most
-    held = numbered.groupBy("field", *keys).agg(F.sort_array(F.collect_list(F.struct("tno", "part"))).alias("held"))
-    rows = held.select("field", *keys, F.col("held.tno").alias("tno"), F.col("held.part").alias("part"))
+    # Sorted, not collected: a row's postings follow each other, and the next batch may go on with them.
+    rows = numbered.select("field", *keys, "tno", "part").repartition("field", *keys).sortWithinPartitions(*keys, "field", "tno", "part")
     names = ["field", *keys]
     query_ids, needed, start, query, weight, times = few.query_ids, few.needed, few.start, few.query, few.weight, few.times
     n_queries = len(query_ids)
 
+    def whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Batches that hold all postings of their rows, and where each row begins."""
+        held: list[pa.RecordBatch] = []  # of the row that may go on
+        for batch in itertools.chain(batches, [None]):
+            if batch is None:
+                parts, held = held, []
+            elif not batch.num_rows:
+                continue
+            else:
+                parts = [*held, batch]
+            if not parts:
+                continue
+            rows = pa.concat_batches(parts)
+            differ = np.zeros(rows.num_rows - 1, bool)
+            for c in names:
+                column = rows.column(c)
+                differ |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+            first = np.concatenate([[0], np.flatnonzero(differ) + 1])
+            if batch is not None:
+                held = [rows.slice(first[-1])]
+                rows, first = rows.slice(0, first[-1]), first[:-1]
+            if len(first):
+                yield rows, first
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column("tno").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            first = np.concatenate([[0], np.cumsum(sizes)])
-            tno = batch.column("tno").flatten().to_numpy(zero_copy_only=False)
-            part = batch.column("part").flatten().to_numpy(zero_copy_only=False)
+        for postings, begin in whole_rows(batches):
+            first = np.append(begin, postings.num_rows)
+            sizes, n_rows = np.diff(first), len(begin)
+            tno, part = (postings.column(c).to_numpy(zero_copy_only=False) for c in ("tno", "part"))
             clauses = start[tno + 1] - start[tno]
             pairs = np.concatenate([[0], np.cumsum(clauses)])[first]
             lo = 0
-            while lo < batch.num_rows:
+            while lo < n_rows:
                 full = int(np.searchsorted(pairs, pairs[lo] + PAIRS, "right")) - 1
-                hi = max(lo + 1, min(batch.num_rows, lo + CELLS // n_queries, full))
+                hi = max(lo + 1, min(n_rows, lo + CELLS // n_queries, full))
                 mine = slice(first[lo], first[hi])
                 n = clauses[mine]
                 of = np.repeat(np.arange(len(n)), n)
@@ -95,9 +120,9 @@ def score_all(parts: DataFrame, keys: list[str], few: FewQueries) -> DataFrame:
                 matched = np.bincount(cell, times[entry], (hi - lo) * n_queries).reshape(-1, n_queries).astype(np.int32)
                 total = np.bincount(cell, weight[entry] * part[mine][of], (hi - lo) * n_queries).reshape(-1, n_queries)
                 row, q = np.nonzero(matched >= needed)
-                at = pa.array(row + lo)
+                at = pa.array(begin[row + lo])
                 yield pa.RecordBatch.from_arrays(
-                    [query_ids.take(pa.array(q)), *[batch.column(c).take(at) for c in names], pa.array(matched[row, q]), pa.array(total[row, q])],
+                    [query_ids.take(pa.array(q)), *[postings.column(c).take(at) for c in names], pa.array(matched[row, q]), pa.array(total[row, q])],
                     names=["query_id", *names, "matched", "score"],
                 )
                 lo = hi

@@ -94,12 +94,15 @@ def _hit_batch(query_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> pa
 
 
 def _scan(query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """Running top k of every query over the batches of one partition."""
+    """Running top k of every query over the batches of one partition. Vectors have the right length; others that can't be compared are left out."""
     step = SCORED_QUERIES
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray] | None] = [None] * (-(-len(query_ids) // step))
         for batch in batches:
+            numbers = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, queries.shape[1])
+            fine = np.isfinite(numbers).all(axis=1) & numbers.any(axis=1)
+            batch = batch if fine.all() else batch.filter(pa.array(fine))
             if batch.num_rows == 0:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -140,10 +143,10 @@ def semantic_search(
     dims = dims or dims_of(vectors)
     if dims is None:
         return _ranked(queries.sparkSession.createDataFrame([], _HITS), k)
-    queries, vectors = usable(queries, dims), usable(vectors, dims)
+    queries = usable(queries, dims)
     if at_most(queries, max(broadcast_bytes // (8 * dims), 0)):
         return vector_scan(queries, vectors, k, dims)
-    cells = Cells.build(vectors, dims, n_cells)
+    cells = Cells.build(usable(vectors, dims), dims, n_cells)
     near = cells.probe(queries, k)
     kth = near.groupBy("query_id").agg(
         F.when(F.count("*") < k, F.lit(-1.0)).otherwise(F.min("similarity")).alias("kth")
@@ -153,13 +156,16 @@ def semantic_search(
 
 
 def vector_scan(queries: DataFrame, vectors: DataFrame, k: int, dims: int) -> DataFrame:
-    """All vectors against a query table whose size has been checked. No vector is shuffled."""
+    """All vectors against a query table whose size has been checked. No vector is shuffled.
+
+    Only the length of a vector is looked at by Spark, as its numbers are read much faster in the scan.
+    """
     table = queries.select(F.col("query_id").cast("bigint"), "embedding").toArrow()
     query_ids = table.column(0).to_numpy()
     if not len(query_ids):
         return _ranked(vectors.sparkSession.createDataFrame([], _HITS), k)
     scan = _scan(query_ids, _unit_rows(table.column(1), dims), k)
-    hits = vectors.select(F.col("id").cast("bigint"), "embedding").mapInArrow(scan, _HITS)
+    hits = vectors.where(F.size("embedding") == dims).select(F.col("id").cast("bigint"), "embedding").mapInArrow(scan, _HITS)
     return _ranked(hits, k)
 
 
