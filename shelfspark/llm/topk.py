@@ -21,14 +21,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.graph import stored
-from shelfspark.llm.vector_blocks import first_of_each, matrix, packed, products, renewed, unpacked, whole_vectors
+from shelfspark.llm.vector_blocks import first_of_each, large, matrix, packed, products, renewed, small, unpacked, whole_vectors
 
 #: Vectors in a chunk, and queries in a block.
-CHUNK_ROWS, QUERY_ROWS = 8192, 1024
+CHUNK_ROWS, QUERY_ROWS = 4096, 1024
 #: Slices of a vector.
 LISTS = 2
 #: Queries multiplied with a chunk at a time.
@@ -36,13 +36,12 @@ _STRIP = 128
 #: Cutoff of a query with fewer candidates than wanted.
 _NONE = -(1 << 62)
 
-ENTRIES = "qb long, chunk long, list int, qi array<int>, idx array<int>, part array<long>, cutoff array<long>, at array<int>"
+#: The entries of a query block and a chunk in one row; numbers take as few bytes as they can, so a row stays a small object.
+ENTRIES = "qb long, chunk long, list int, qi array<int>, idx binary, part binary, cutoff binary, at binary"
 
 
 def _placed(df: DataFrame, block: str, place: str, rows: int, total: int) -> DataFrame:
     """Deals distinct vectors to blocks of about ``rows``, by length and hash, with a place in the block."""
-    from pyspark.sql import Window
-
     blocks = max(1, -(-total // rows))
     dealt = df.withColumn("n", F.size("vec").cast("long")).withColumn(block, F.expr(f"n * 4294967296 + pmod(xxhash64(vec), {blocks})"))
     return dealt.withColumn(place, F.row_number().over(Window.partitionBy(block).orderBy("vec")).cast("int") - 1)
@@ -79,16 +78,10 @@ def _strips(left: pa.Table, right: pa.Table):
         yield lo, products(q[lo : lo + _STRIP], x)
 
 
-def _lists(values, kind: pa.DataType) -> pa.Array:
-    return pa.array([values], pa.list_(kind))
-
-
 def _entries(qb: int, chunk: int, which: int, qi, idx, part, cutoff, at=()) -> dict:
-    return {
-        "qb": pa.array([qb], pa.int64()), "chunk": pa.array([chunk], pa.int64()), "list": pa.array([which], pa.int32()),
-        "qi": _lists(qi, pa.int32()), "idx": _lists(idx, pa.int32()), "part": _lists(part, pa.int64()),
-        "cutoff": _lists(cutoff, pa.int64()), "at": _lists(at, pa.int32()),
-    }
+    ids = {"qb": pa.array([qb], pa.int64()), "chunk": pa.array([chunk], pa.int64()), "list": pa.array([which], pa.int32())}
+    numbers = {"idx": idx, "part": part, "cutoff": cutoff, "at": at}
+    return ids | {"qi": pa.array([qi], pa.list_(pa.int32()))} | {c: pa.array([small(x)], pa.binary()) for c, x in numbers.items()}
 
 
 _ARROW = pa.table(_entries(0, 0, 0, [], [], [], [])).schema
@@ -141,10 +134,12 @@ def _unresolved(lists: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         qb, chunk = (x.as_py() for x in key)
-        cutoff = table.column("cutoff")[0].values.to_numpy()
-        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        counts = np.array([len(x) for x in table.column("qi")])
-        codes, at = np.unique(flat("qi").astype(np.int64) << 32 | flat("idx"), return_inverse=True)
+        cutoff = large(table.column("cutoff")[0].as_py())
+        each = {c: [large(x) for x in table.column(c).to_pylist()] for c in ("idx", "part")}
+        each["qi"] = [x.values.to_numpy().astype(np.int64) for x in table.column("qi")]
+        flat = lambda c: np.concatenate(each[c])
+        counts = np.array([len(x) for x in each["qi"]])
+        codes, at = np.unique(flat("qi") << 32 | flat("idx"), return_inverse=True)
         part = np.zeros((lists, len(codes)), np.int64)
         known = np.zeros((lists, len(codes)), bool)
         which = np.repeat(table.column("list").to_numpy(), counts)
@@ -168,7 +163,7 @@ def _answers(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """Phase 3 in a chunk of a list: the parts asked for."""
     if not left.num_rows or not right.num_rows:
         return _ARROW.empty_table()
-    qi, idx, at = (right.column(c)[0].values.to_numpy() for c in ("qi", "idx", "at"))
+    qi, idx, at = right.column("qi")[0].values.to_numpy(), *(large(right.column(c)[0].as_py()) for c in ("idx", "at"))
     part = np.zeros(len(qi), np.int64)
     order = np.argsort(qi, kind="stable")
     for lo, s in _strips(left, right):
@@ -186,7 +181,7 @@ def _resolved(k: int):
         got = {"qi": None}
         more = []
         for row in (r.slice(i, 1) for r in rows for i in range(r.num_rows)):
-            value = lambda c: row.column(c)[0].values.to_numpy()  # noqa: B023, E731
+            value = lambda c: row.column(c)[0].values.to_numpy() if c == "qi" else large(row.column(c)[0].as_py())  # noqa: B023, E731
             if row.column("list")[0].as_py() == -1:
                 got = {c: value(c) for c in ("qi", "idx", "part", "cutoff")}
             else:
@@ -266,6 +261,9 @@ def top_k(
     answers = chunks.cogroup(requests.groupBy(*nodes)).applyInArrow(_answers, ENTRIES)
     exact = left.where("list < 0").unionByName(answers).groupBy("qb", "chunk").applyInArrow(*_resolved(wanted))
 
+    # Each class has an id at least, so what comes after the best classes and their ties can't be wanted; their vectors aren't looked up.
+    place = F.rank().over(Window.partitionBy("qb", "qi").orderBy(F.col("score").desc()))
+    exact = exact.withColumn("_place", place).where(F.col("_place") <= wanted).drop("_place")
     named = exact.join(classes.select("chunk", "idx", "ids", "vec"), ["chunk", "idx"]).join(query_classes.select("qb", "qi", F.col("vec").alias("query")), ["qb", "qi"])
     each = named.select("qb", "qi", "score", (F.col("vec") == F.col("query")).alias("own"), F.explode("ids").alias("id"))
     best = first_of_each(each, ["qb", "qi"], [F.col("score").desc(), F.col("id")], wanted)

@@ -23,12 +23,25 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1) if len(values) else np.zeros((0, 0), np.int32)
 
 
+def small(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest of them takes; the first byte tells how many."""
+    values = np.asarray(values, np.int64)
+    most = max(int(values.max()), -1 - int(values.min())) if values.size else 0
+    size = next(n for n in (1, 2, 4, 8) if most < 1 << 8 * n - 1)
+    return bytes([size]) + values.astype(f"<i{size}").tobytes()
+
+
+def large(data: bytes) -> np.ndarray:
+    """The numbers of ``small``, flat."""
+    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64)
+
+
 def packed(rows: np.ndarray) -> bytes:
-    return np.ascontiguousarray(rows, np.int32).tobytes()
+    return small(rows)
 
 
 def unpacked(data: bytes, rows: int) -> np.ndarray:
-    return np.frombuffer(data, np.int32).reshape(rows, -1) if rows else np.zeros((0, 0), np.int32)
+    return large(data).astype(np.int32).reshape(rows, -1) if rows else np.zeros((0, 0), np.int32)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
